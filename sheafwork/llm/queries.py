@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sheafwork.llm.common import table
 from sheafwork.llm.decontamination import leak_report
 from sheafwork.llm.exact_dedup import exact_owners
+from sheafwork.llm.quality import score_quality
 from sheafwork.llm.sharding import assign_shards
 from sheafwork.llm.simhash import near_groups
 
@@ -36,8 +37,12 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op6_simhash": op6_simhash, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op6_simhash": op6_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
