@@ -10,6 +10,7 @@ from sheafwork.llm.common import table
 from sheafwork.llm.decontamination import leak_report
 from sheafwork.llm.exact_dedup import exact_owners
 from sheafwork.llm.quality import score_quality
+from sheafwork.llm.repeats import repeat_report
 from sheafwork.llm.sharding import assign_shards
 from sheafwork.llm.simhash import near_groups
 
@@ -18,6 +19,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"), length=400)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -42,7 +47,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op6_simhash": op6_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_quality": op9_quality}
+    return {"op1_sharding": op1_sharding, "op2_repeats": op2_repeats, "op3_decontamination": op3_decontamination, "op6_simhash": op6_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
