@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from sheafwork.llm.common import table
 from sheafwork.llm.decontamination import leak_report
 from sheafwork.llm.exact_dedup import exact_owners
+from sheafwork.llm.html_text import extract_text
 from sheafwork.llm.quality import score_quality
 from sheafwork.llm.repeats import repeat_report
+from sheafwork.llm.sentence_spans import span_report
 from sheafwork.llm.sharding import assign_shards
 from sheafwork.llm.simhash import near_groups
 
@@ -27,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
@@ -35,6 +41,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_owners(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(table(spark, sf_dir, "documents"), sentences=2, words=24)
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -47,7 +57,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_repeats": op2_repeats, "op3_decontamination": op3_decontamination, "op6_simhash": op6_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_quality": op9_quality}
+    return {"op1_sharding": op1_sharding, "op2_repeats": op2_repeats, "op3_decontamination": op3_decontamination, "op4_html_text": op4_html_text, "op6_simhash": op6_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_quality": op9_quality, "op10_sentence_spans": op10_sentence_spans}
 
 
 def oracle_sql() -> dict[str, str]:
