@@ -10,6 +10,8 @@ from sheafwork.llm.common import table
 from sheafwork.llm.decontamination import leak_report
 from sheafwork.llm.exact_dedup import exact_owners
 from sheafwork.llm.html_text import extract_text
+from sheafwork.llm.mixing import mixed
+from sheafwork.llm.pseudo_likelihood import score_documents
 from sheafwork.llm.quality import score_quality
 from sheafwork.llm.repeats import repeat_report
 from sheafwork.llm.sentence_spans import span_report
@@ -33,10 +35,22 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+#: Shares of the mixture's expected tokens.
+TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_owners(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -57,7 +71,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_repeats": op2_repeats, "op3_decontamination": op3_decontamination, "op4_html_text": op4_html_text, "op6_simhash": op6_simhash, "op8_exact_dedup": op8_exact_dedup, "op9_quality": op9_quality, "op10_sentence_spans": op10_sentence_spans}
+    found = [op1_sharding, op2_repeats, op3_decontamination, op4_html_text, op5_mixing, op6_simhash, op7_pseudo_likelihood, op8_exact_dedup, op9_quality, op10_sentence_spans]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
