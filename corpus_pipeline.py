@@ -3,10 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from sheafwork.llm.common import table, written
+from sheafwork.llm.decontamination import find_leaks
+from sheafwork.llm.mixing import take_mixed
+from sheafwork.llm.quality import keep_quality
+from sheafwork.llm.sharding import assign_shards
+from sheafwork.llm.simhash import Check, near_dedup
+
+#: Shares of expected tokens. What is good now stays; the rest is brought down to its share of that.
+TARGETS = {"good": 0.99, "poor": 0.01, "toxic": 0.0}
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest identifier.
+
+    Candidates: fingerprints of different words within 4 bits, by covering masks. Decision: a similarity of 0.8 or more in
+    shingles of five words, as a second fingerprint tells.
+    """
+    return near_dedup(docs, shingle=0, radius=4, check=Check(shingle=5))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in occurrences of ten consecutive benchmark words go, and the rest of the document stays."""
+    names = docs.columns
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark"), window=10, keep=names, clean=True)
+    found = found.withColumn("text", F.col("clean_text"))
+    if "n_chars" in names:
+        found = found.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*names)
+
+
+def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as its rate says: good ones once, toxic and poor ones as far as their targets reach."""
+    return take_mixed(docs, table(spark, sf_dir, "labels"), TARGETS, anchor="good", snap=0.25)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return assign_shards(docs, 40)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing to target weights", mixing_to_targets),
+    ("sharding", sharding),
+]
+
+#: The fitted models and near-duplicate groups can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

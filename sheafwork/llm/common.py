@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,23 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def id_key(c: str = "doc_id"):
+def id_key(c: str = "doc_id") -> Column:
     """Text of an id, as the checks of folds hash it."""
     return F.col(c).cast("string")
+
+
+def training_rows(labels: DataFrame, label_cols: list[str], sample_rows: int) -> DataFrame:
+    """id and labels of labelled rows outside the held-out fold, about sample_rows of them at most, chosen by a hash of the identifier.
+
+    Their number is bounded whatever the table's size, so that they can be sent to the documents.
+    """
+    known = labels.select(F.col("doc_id").alias("id"), *[F.col(c).cast("int").alias(c) for c in label_cols]).filter(" and ".join(f"{c} in (0, 1)" for c in label_cols)).filter(fold() != 0)
+    n = known.count()
+    if n > sample_rows:
+        known = known.filter(F.shiftrightunsigned(F.xxhash64("id"), 34) < int((1 << 30) * sample_rows / n))
+    return known
+
+
+def fold(id_col: str = "id") -> Column:
+    """Remainder by which rows are held out: 0."""
+    return F.crc32(F.coalesce(id_key(id_col), F.lit("")).cast("binary")) % 5

@@ -32,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import binary_column, id_key, written
+from sheafwork.llm.common import binary_column, id_key, training_rows, written
 from sheafwork.llm.decontamination import words_of
-from sheafwork.llm.quality import FEATURES, AdditiveModel, features_of, fold
+from sheafwork.llm.quality import FEATURES, AdditiveModel, features_of
 
 DOMAINS = ("good", "poor", "toxic")
 WORD_FEATURES = 5
@@ -46,7 +46,7 @@ WIDE = len(FEATURES) + WORD_FEATURES
 
 def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int) -> DataFrame:
     """Texts with labels of the training folds. A labelled table of a small, counted size is sent to the documents; else both are exchanged."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).filter("quality in (0, 1) and toxic in (0, 1)").filter(fold() != 0)
+    known = training_rows(labels, ["quality", "toxic"], 1 << 62)
     if known.count() <= broadcast_rows:
         known = F.broadcast(known)
     return docs.join(known, "id")
@@ -90,42 +90,63 @@ def word_features(text: bytes, weights: dict[bytes, float]) -> list[float]:
     return [found[0], found[1] if len(found) > 1 else 0.0, float(sum(w > 1 for w in found)), float(sum(w > 2.5 for w in found)), float(sum(w for w in found if w > 0.5))]
 
 
-def feature_table(docs: DataFrame, weights: dict[bytes, float]) -> DataFrame:
-    """id, tokens, x."""
+def table_of(texts: list[bytes], weights: dict[bytes, float]) -> np.ndarray:
+    return np.array([features_of(t) + word_features(t, weights) for t in texts], np.float32).astype(float).reshape(len(texts), WIDE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = binary_column(batch, "text")
-            table = np.array([features_of(t) + word_features(t, weights) for t in texts], np.float32).reshape(len(texts), WIDE)
-            tokens = pa.array([len(words_of(t)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), tokens, pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), WIDE).cast(pa.list_(pa.float32()))], ["id", "tokens", "x"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tokens long, x array<float>")
+class Membership:
+    """Word weights and the two models."""
 
+    def __init__(self, weights: dict[bytes, float], x: np.ndarray, quality: np.ndarray, toxic: np.ndarray):
+        self.weights = weights
+        self.quality = AdditiveModel(rounds=100, pair_rounds=40).fit(x[:, : len(FEATURES)], quality)
+        self.toxic = AdditiveModel(rounds=100, pair_rounds=40).fit(self._words(x), toxic)
 
-def fit_models(rows: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[AdditiveModel, AdditiveModel]:
-    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).filter("quality in (0, 1) and toxic in (0, 1)").filter(fold() != 0)
-    n = known.count()
-    if n > sample_rows:
-        known = known.filter(F.shiftrightunsigned(F.xxhash64("id"), 34) < int((1 << 30) * sample_rows / n))
-    got = rows.join(known, "id").select("id", "x", "quality", "toxic").toPandas().sort_values(["id", "quality", "toxic"])  # about sample_rows rows
-    x = np.array(got["x"].tolist(), float).reshape(-1, WIDE)
-    wide = len(FEATURES)
-    size = np.concatenate((x[:, wide:], x[:, 1:2]), axis=1)
-    return AdditiveModel(rounds=100, pair_rounds=40).fit(x[:, :wide], got["quality"].to_numpy(float)), AdditiveModel(rounds=100, pair_rounds=40).fit(size, got["toxic"].to_numpy(float))
+    @staticmethod
+    def _words(x: np.ndarray) -> np.ndarray:
+        return np.concatenate((x[:, len(FEATURES) :], x[:, 1:2]), axis=1)
 
+    def posteriors(self, texts: list[bytes]) -> np.ndarray:
+        """A column for each domain."""
+        x = table_of(texts, self.weights)
+        q, t = self.quality.score(x[:, : len(FEATURES)]), self.toxic.score(self._words(x))
+        return np.stack((q * (1 - t), 1 - q, q * t), axis=1)
 
-def posteriors(rows: DataFrame, quality: AdditiveModel, toxic: AdditiveModel) -> DataFrame:
+
+def fit_membership(docs: DataFrame, labels: DataFrame, sample_rows: int, broadcast_rows: int) -> Membership:
+    """docs: id, text."""
+    weights = word_weights(labelled(docs, labels, broadcast_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = table_of(binary_column(batch, "text"), weights).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDE).cast(pa.list_(pa.float32()))], ["id", "quality", "toxic", "x"])
+
+    known = training_rows(labels, ["quality", "toxic"], sample_rows)
+    marked = docs.join(F.broadcast(known), "id").select("id", "quality", "toxic", "text")
+    got = marked.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, quality int, toxic int, x array<float>").toPandas().sort_values(["id", "quality", "toxic"])  # about sample_rows rows
+    return Membership(weights, np.array(got["x"].tolist(), float).reshape(-1, WIDE), got["quality"].to_numpy(float), got["toxic"].to_numpy(float))
+
+
+def member_table(docs: DataFrame, model: Membership) -> DataFrame:
     """id, tokens, good, poor, toxic."""
-    wide = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, WIDE)
-            q, t = quality.score(x[:, :wide]), toxic.score(np.concatenate((x[:, wide:], x[:, 1:2]), axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(q * (1 - t)), pa.array(1 - q), pa.array(q * t)], ["id", "tokens", *DOMAINS])
+            texts = binary_column(batch, "text")
+            p = model.posteriors(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(words_of(t)) for t in texts], pa.int64()), *(pa.array(p[:, k].copy()) for k in range(len(DOMAINS)))], ["id", "tokens", *DOMAINS])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tokens long, good double, poor double, toxic double")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tokens long, good double, poor double, toxic double")
+
+
+def snapped(rate: np.ndarray, snap: float) -> np.ndarray:
+    return np.where(rate < snap, 0.0, np.where(np.abs(rate - 1) < snap, 1.0, rate))
+
+
+def chance(c: str) -> Column:
+    """A number from 0 to 1 by a hash of the identifier."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(id_key(c), F.lit(""))), 11) / float(1 << 53)
 
 
 def rates_after(p: np.ndarray, steps: list[tuple[np.ndarray, float, float]], pull: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,29 +203,37 @@ def fit_rates(members: DataFrame, targets: dict[str, float], *, pull: float, mos
     return steps, scale
 
 
+def fitted(narrow: DataFrame, labels: DataFrame, targets: dict[str, float], pull: float, most_steps: int, tolerance: float, anchor: str | None, sample_rows: int, broadcast_rows: int) -> tuple[DataFrame, Membership, list, float]:
+    model = fit_membership(narrow, labels, sample_rows, broadcast_rows)
+    members = written(member_table(narrow, model), "mix-members")
+    return members, model, *fit_rates(members, targets, pull=pull, most_steps=most_steps, tolerance=tolerance, anchor=anchor)
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, pull: float = 1e-4, most_steps: int = 60, tolerance: float = 2e-3, snap: float = 0.02, anchor: str | None = None, sample_rows: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row for each row of docs: id, tokens, good, poor, toxic (posteriors), rate, copies."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    weights = word_weights(labelled(narrow, labels, broadcast_rows))
-    rows = written(feature_table(narrow, weights), "mix-x")
-    members = written(posteriors(rows, *fit_models(rows, labels, sample_rows)), "mix-members")
-    steps, scale = fit_rates(members, targets, pull=pull, most_steps=most_steps, tolerance=tolerance, anchor=anchor)
+    members, _, steps, scale = fitted(narrow, labels, targets, pull, most_steps, tolerance, anchor, sample_rows, broadcast_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.stack([batch.column(i + 2).to_numpy() for i in range(len(DOMAINS))], axis=1)
-            rate = rates_after(p, steps, pull, scale)[0]
-            rate = np.where(rate < snap, 0.0, np.where(np.abs(rate - 1) < snap, 1.0, rate))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(snapped(rates_after(p, steps, pull, scale)[0], snap))], [*batch.schema.names, "rate"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    found = members.mapInArrow(run, f"id {id_type}, tokens long, good double, poor double, toxic double, rate double")
-    u = F.shiftrightunsigned(F.xxhash64(F.coalesce(id_key("id"), F.lit(""))), 11) / float(1 << 53)
-    return found.withColumn("copies", F.floor(F.col("rate") + u).cast("int")).withColumnRenamed("id", id_col)
+    found = members.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, tokens long, good double, poor double, toxic double, rate double")
+    return found.withColumn("copies", F.floor(F.col("rate") + chance("id")).cast("int")).withColumnRenamed("id", id_col)
 
 
-def take_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, each as often as its copies say, with all their columns. Rows of one identifier take the largest copies among them."""
-    copies = mixed(docs, labels, targets, id_col, text_col, **how).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
-    found = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__id"))).filter("__copies > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
+def take_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, pull: float = 1e-4, most_steps: int = 60, tolerance: float = 2e-3, snap: float = 0.02, anchor: str | None = None, sample_rows: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs, each as often as its copies say, with all their columns. Rates are computed where the rows stand; no text is exchanged."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    _, model, steps, scale = fitted(narrow, labels, targets, pull, most_steps, tolerance, anchor, sample_rows, broadcast_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = batch.column(batch.num_columns - 1).to_numpy()
+            rate = snapped(rates_after(model.posteriors(binary_column(batch, text_col)), steps, pull, scale)[0], snap)
+            copies = np.floor(rate + u).astype(np.int64)
+            yield batch.take(pa.array(np.repeat(np.arange(len(copies)), copies))).select(names)
+
+    names = docs.columns
+    return docs.withColumn("__chance", chance(id_col)).mapInArrow(run, docs.schema)

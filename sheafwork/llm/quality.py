@@ -23,10 +23,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import binary_column, id_key, written
+from sheafwork.llm.common import binary_column, fold, training_rows
 
 FEATURES = (
     "log_bytes", "log_words", "upper", "digit", "space", "newline", "beyond_ascii", "stop_marks", "commas", "loud_marks", "bars", "symbols", "brackets",
@@ -66,14 +66,8 @@ def features_of(text: bytes) -> list[float]:
     ]
 
 
-def feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = binary_column(batch, "text")
-            table = np.array([features_of(t) for t in texts], np.float32).reshape(len(texts), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], ["id", "x"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, x array<float>")
+def table_of(texts: list[bytes]) -> np.ndarray:
+    return np.array([features_of(t) for t in texts], np.float32).reshape(len(texts), len(FEATURES))
 
 
 class AdditiveModel:
@@ -201,37 +195,39 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-raw))
 
 
-def fold(id_col: str = "id") -> Column:
-    return F.crc32(F.coalesce(id_key(id_col), F.lit("")).cast("binary")) % 5
+def train(docs: DataFrame, labels: DataFrame, label_col: str, sample_rows: int) -> AdditiveModel:
+    """docs: id, text. Features of the training rows alone are made and collected; their number is bounded."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = table_of(binary_column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], ["id", "y", "x"])
 
-def train(rows: DataFrame, labels: DataFrame, label_col: str, sample_rows: int) -> AdditiveModel:
-    """rows: id, x. The rows collected are about sample_rows at most, whatever the tables' sizes."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)").filter(fold() != 0)
-    n = known.count()
-    if n > sample_rows:
-        known = known.filter(F.shiftrightunsigned(F.xxhash64("id"), 34) < int((1 << 30) * sample_rows / n))
-    # Few labels and many rows: both sides are exchanged by id, so that neither has to fit in a task.
-    got = rows.join(known, "id").select("id", "x", "y").toPandas().sort_values(["id", "y"])  # one order, so that sums are the same each time
-    x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return AdditiveModel().fit(x, got["y"].to_numpy(float))
+    known = training_rows(labels, [label_col], sample_rows)
+    marked = docs.join(F.broadcast(known), "id").select("id", F.col(label_col).alias("y"), "text")
+    got = marked.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, y int, x array<float>").toPandas().sort_values(["id", "y"])  # one order, so that sums are the same each time
+    return AdditiveModel().fit(np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, threshold: float = 0.3, sample_rows: int = 30_000) -> DataFrame:
     """One row for each row of docs: id, held_out, score, predicted."""
-    rows = written(feature_rows(docs, id_col, text_col), "quality-x")
-    model = train(rows, labels, label_col, sample_rows)
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    model = train(narrow, labels, label_col, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(table_of(binary_column(batch, "text")).astype(float)))], ["id", "score"])
 
-    scored = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
+    scored = narrow.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(id_col), (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns. An identifier's rows are judged together: one accepted row keeps them."""
-    stay = score_quality(docs, labels, id_col, text_col, **how).filter("predicted = 1").select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, threshold: float = 0.3, sample_rows: int = 30_000) -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns; each row is judged by itself, where it stands."""
+    model = train(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels, label_col, sample_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(table_of(binary_column(batch, text_col)).astype(float)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

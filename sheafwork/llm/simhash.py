@@ -350,5 +350,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs whose identifier is the smallest of its group, one row each, with all their columns."""
-    stay = near_groups(docs, id_col, text_col, **how).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates([id_col])
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    stay = near_groups(docs, id_col, text_col, **how).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
