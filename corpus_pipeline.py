@@ -24,10 +24,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest identifier.
 
-    Candidates: fingerprints of different words within 4 bits, by covering masks. Decision: a similarity of 0.8 or more in
+    Candidates: fingerprints of different words within 5 bits, by covering masks. Decision: a similarity of 0.8 or more in
     shingles of five words, as a second fingerprint tells.
     """
-    return near_dedup(docs, shingle=0, radius=4, check=Check(shingle=5))
+    return near_dedup(docs, shingle=0, radius=5, check=Check(shingle=5))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

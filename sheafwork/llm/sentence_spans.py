@@ -8,7 +8,8 @@ A task passes on the first span of each hash that it has and knows at once that
 a task once, however often it is there. Spans are then dealt out by hash and sorted, which puts the first one in front: no
 hash is gathered, and rows of one hash pass one at a time.
 
-Sentences end after . ! or ? before white space, and at line ends. A removed sentence takes the white space after it along.
+Sentences end after . ! or ? before white space, and at line ends. A sentence of over 40 words is cut in pieces, each of which
+counts as a sentence; else text without marks could not repeat. A removed sentence takes the white space after it along.
 
 Defined results: null and empty texts have no sentences; texts that never reach a span's length have none and lose nothing.
 Rows with the same identifier and the same text are one document, of which all rows lose the same sentences and none loses
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +35,35 @@ from sheafwork.llm.common import binary_column, tasks
 BREAK = re.compile(rb"(?<=[.!?])\s+|\n\s*")
 
 
+NOT_SPACE = re.compile(rb"\S+")
+LONG = 40  # words
+
+
 def sentences_of(text: bytes) -> list[tuple[int, int]]:
     """Start of each sentence and of the next one."""
     edges = [0] + [m.end() for m in BREAK.finditer(text)]
     if edges[-1] != len(text):
         edges.append(len(text))
-    return [(a, b) for a, b in zip(edges, edges[1:]) if text[a:b].strip()]
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        n = len(text[a:b].split()) if b - a > LONG else 1
+        if n > LONG:
+            out += pieces_of(text, a, b)
+        elif n and text[a:b].strip():
+            out.append((a, b))
+    return out
+
+
+def pieces_of(text: bytes, a: int, b: int) -> list[tuple[int, int]]:
+    """A long sentence's pieces. They end after words with a certain hash, so that equal passages have equal ends, or else after LONG words."""
+    out, start, n, ended = [], a, 0, False
+    for m in NOT_SPACE.finditer(text, a, b):
+        if ended:
+            out.append((start, m.start()))
+            start, n = m.start(), 0
+        n += 1
+        ended = n == LONG or zlib.crc32(m[0].lower()) % 16 == 0
+    return [*out, (start, b)]
 
 
 def spans_of(text: bytes, least: int, words: int) -> Iterator[tuple[bytes, int, int]]:

@@ -52,7 +52,7 @@ class Check:
     """
 
     shingle: int = 5
-    bits: int = 21
+    bits: int = 22
 
 
 def word_list(text: bytes) -> list[bytes]:
