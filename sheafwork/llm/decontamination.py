@@ -36,6 +36,7 @@ FOLD = bytes(x if x in WORD else x + 32 if 65 <= x <= 90 else 32 for x in range(
 SAMPLE = 8
 SHARD_BYTES = 24 << 20
 SHARD_WORDS = 1 << 20
+BLOCK_UNIT = 1 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -277,7 +278,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     keep = [id_col] if keep is None else keep
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-size // (block_mb << 20)))
+    blocks = max(1, -(-size // (block_mb * BLOCK_UNIT)))
     names = [f"__keep{i}" for i in range(len(keep))]
     kinds = [docs.schema[c].dataType for c in keep]
     state = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("text"), F.lit(b"").alias("spans"), F.array().cast("array<long>").alias("items"))

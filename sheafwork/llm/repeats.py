@@ -184,9 +184,8 @@ class RunLengthIndex:
     def __init__(self, data: bytes):
         text = np.frombuffer(data + END, np.uint8)
         n = len(data)
-        order = suffix_array_of_bytes(text[:n])
-        bwt = text[:n][order - 1]
-        bwt[order == 0] = END[0] - 1  # nothing stands before the first
+        order = suffix_array_of_bytes(text[: n + 1])  # with one end mark, which is as good as a symbol: without it a border can be missed
+        bwt = text[: n + 1][order - 1]
         border = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
         self.n = n
         self.heads = bwt[np.concatenate(([0], border))]
@@ -215,16 +214,16 @@ class RunLengthIndex:
 
     def statistics(self) -> np.ndarray:
         """For each text position the longest match that starts at another one: the larger of those with both neighbours in suffix order."""
-        best = np.zeros(self.n, np.int64)
-        place = np.arange(self.n)
+        size = self.n + 1
+        best, place = np.zeros(size, np.int64), np.arange(size)
         for samples in (self.first, self.last):
-            at = np.full(self.n, -1, np.int64)
-            common = np.zeros(self.n, np.int64)
+            at = np.full(size, -1, np.int64)
+            common = np.zeros(size, np.int64)
             at[samples] = samples
             common[samples] = self.common
             at = np.maximum.accumulate(at)
             np.maximum(best, np.where(at >= 0, common[np.maximum(at, 0)] - (place - at), 0), out=best)
-        return best
+        return best[: self.n]
 
 
 def runs_of(marked: np.ndarray) -> list[tuple[int, int]]:
