@@ -24,20 +24,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest identifier.
 
-    Candidates: fingerprints of different words within 5 bits, by covering masks. Decision: a similarity of 0.8 or more in
-    shingles of five words, as a second fingerprint tells.
+    Candidates: six fingerprints of the different words, of which one is within 2 bits, by covering masks. Decision: a
+    similarity of 0.8 or more in shingles of five words, as a fingerprint of 128 bits tells.
     """
-    return near_dedup(docs, shingle=0, radius=5, check=Check(shingle=5))
+    return near_dedup(docs, shingle=0, radius=2, check=Check(shingle=5))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in occurrences of ten consecutive benchmark words go, and the rest of the document stays."""
-    names = docs.columns
-    found = find_leaks(docs, table(spark, sf_dir, "benchmark"), window=10, keep=names, clean=True)
-    found = found.withColumn("text", F.col("clean_text"))
-    if "n_chars" in names:
-        found = found.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*names)
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark"), window=10, keep=docs.columns, clean=True, prefix="__leak_")
+    hit = F.col("__leak_n_hit") > 0
+    changed = {"text": F.col("__leak_clean_text"), "n_chars": F.when(hit, F.char_length("__leak_clean_text").cast("long")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

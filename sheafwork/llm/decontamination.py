@@ -272,9 +272,9 @@ def scan(phrases: Phrases, names: list[str], clean: bool, last: bool):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", *, window: int = 10, keep: list[str] | None = None, clean: bool = False, block_mb: int = 32) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", *, window: int = 10, keep: list[str] | None = None, clean: bool = False, block_mb: int = 32, prefix: str = "") -> DataFrame:
     """One row for each row of docs: the kept columns (by default the identifier), n_words, n_hit, items, word spans (pairs of
-    longs, first word and word after the last) and, if `clean`, the text without the hit words."""
+    longs, first word and word after the last) and, if `clean`, the text without the hit words. prefix: before the results' names."""
     keep = [id_col] if keep is None else keep
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -290,7 +290,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         kept = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)] + ([] if last else [T.StructField("text", T.StringType())])
         schema = T.StructType(kept + T.StructType.fromDDL(RESULT_DDL).fields)
         state = state.select(*names, "text", "spans", "items").mapInArrow(scan(phrases, carried, clean, last), schema)
-    return state.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "n_words", "n_hit", "items", "spans", *(["clean_text"] if clean else []))
+    results = ["n_words", "n_hit", "items", "spans", *(["clean_text"] if clean else [])]
+    return state.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[F.col(n).alias(prefix + n) for n in results])
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

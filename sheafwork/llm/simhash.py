@@ -15,7 +15,9 @@ out again, with nothing dropped:
 * Plain links with an even radius: every fingerprint of the bucket is sent to all points within half the radius of it, and
   those that meet in a point are linked to the point's smallest. Two fingerprints are within the radius just if they share
   such a point.
-* Links with a second fingerprint, or an odd radius: the bucket is cut in blocks and one task compares each pair of blocks.
+* Links with a check, or an odd radius: the bucket is cut in blocks and one task compares each pair of blocks.
+
+With a check (see Check), several fingerprints are searched and a longer one decides.
 
 Components come from a distributed forest of smallest neighbours, of which each round is written to the shared folder.
 
@@ -44,15 +46,17 @@ HASH_SEED = 42
 
 @dataclass(frozen=True)
 class Check:
-    """A second fingerprint of 128 bits, over shingles of `shingle` words, that must be within `bits` bits too.
+    """Candidates are decided by a fingerprint of 128 bits over shingles of `shingle` words: linked if within `bits` bits.
 
     Two random vectors' signs differ with probability angle / pi; for two sets of similarity (Jaccard) j and equal sizes
     the cosine is 2j / (1 + j). For 0.8 that is 27.3 degrees or 19.4 of 128 bits; with the fingerprint's own spread of 4
-    bits, `bits` is where a pair at that similarity is likelier linked than not.
+    bits, `bits` is where a pair at that similarity is likelier linked than not. Candidates are the pairs that one of
+    `prints` independent fingerprints of 64 bits has within the radius, and what else meets in their tables.
     """
 
     shingle: int = 5
     bits: int = 22
+    prints: int = 6
 
 
 def word_list(text: bytes) -> list[bytes]:
@@ -85,18 +89,28 @@ def joined_shingles(words: list[bytes], k: int) -> list[bytes]:
     return [whole[a:b] for a, b in zip(starts, ends[k - 1 :])]
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def features(text: bytes, shingle: int) -> list[bytes]:
     """shingle 0: the different words, once each; else the runs of so many words, repeats included."""
     words = word_list(text)
-    features = sorted(set(words)) if shingle == 0 else joined_shingles(words, shingle)
+    return sorted(set(words)) if shingle == 0 else joined_shingles(words, shingle)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, HASH_SEED) for x in features], ">u8").view(np.uint8)
+    hashes = np.array([digest(x, HASH_SEED) for x in features(text, shingle)], ">u8").view(np.uint8)
     return int.from_bytes(majority(hashes, 64), "big")
 
 
-def second_fingerprint(text: bytes, shingle: int) -> bytes:
+def long_fingerprint(text: bytes, shingle: int, seed: int = HASH_SEED) -> bytes:
+    """128 bits."""
     digest = xxhash.xxh3_128_digest
-    return majority(np.frombuffer(b"".join([digest(x, HASH_SEED) for x in joined_shingles(word_list(text), shingle)]), np.uint8), 128)
+    return majority(np.frombuffer(b"".join([digest(x, seed) for x in features(text, shingle)]), np.uint8), 128)
+
+
+def searched_fingerprints(text: bytes, shingle: int, prints: int) -> list[int]:
+    """Several independent fingerprints of 64 bits."""
+    whole = b"".join(long_fingerprint(text, shingle, HASH_SEED + 1 + k) for k in range(-(-prints // 2)))
+    return [int.from_bytes(whole[8 * k : 8 * k + 8], "big", signed=True) for k in range(prints)]
 
 
 def signed(x: int) -> int:
@@ -104,17 +118,16 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, check: Check | None) -> DataFrame:
-    """id, fp (as a signed long) and, where links are checked, second (16 bytes)."""
-    more = check.shingle if check else None
+    """id, fp (as a signed long), fps (all that are searched) and, where links are checked, second (16 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary_column(batch, "text")
-            fps = pa.array([signed(fingerprint(t, shingle)) for t in texts], pa.int64())
-            second = pa.array([second_fingerprint(t, more) if more else b"" for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, second], ["id", "fp", "second"])
+            fps = [searched_fingerprints(t, shingle, check.prints) if check else [signed(fingerprint(t, shingle))] for t in texts]
+            second = [long_fingerprint(t, check.shingle) if check else b"" for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in fps], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(second, pa.binary())], ["id", "fp", "fps", "second"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, second binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, fps array<long>, second binary")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -137,11 +150,10 @@ def unite(parent: dict[int, int], a: int, b: int) -> None:
 
 
 def near(fp: np.ndarray, second: np.ndarray | None, i: int, others: slice | np.ndarray, radius: int, bits: int) -> np.ndarray:
-    """Which of the others are linked to i."""
-    found = np.bitwise_count(fp[others] ^ fp[i]) <= radius
+    """Which of the others, that all met i in a table, are linked to it."""
     if second is not None:
-        found &= np.bitwise_count(second[others] ^ second[i]).sum(axis=1) <= bits
-    return found
+        return np.bitwise_count(second[others] ^ second[i]).sum(axis=1) <= bits
+    return np.bitwise_count(fp[others] ^ fp[i]) <= radius
 
 
 def link_block(node: np.ndarray, fp: np.ndarray, second: np.ndarray | None, radius: int, bits: int, parent: dict[int, int]) -> None:
@@ -290,11 +302,12 @@ def large_blocks(rows: DataFrame, radius: int, check: Check | None, block: int)
 
 
 def near_links(nodes: DataFrame, radius: int, check: Check | None, bucket_limit: int) -> DataFrame:
-    """Links (a, b), a < b, that join all nodes (node, fp, second) within the radius."""
+    """Links (a, b), a < b, that join all nodes (node, fps, second) that are linked."""
     spark = nodes.sparkSession
     masks = covering_masks(radius)
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
-    met = nodes.select(F.explode(keys).alias("bucket"), "node", "fp", "second").repartition(tasks(spark), "bucket").sortWithinPartitions("bucket")
+    searched = nodes.select("node", "second", F.posexplode("fps").alias("print", "fp"))
+    keys = F.array(*[F.xxhash64("print", F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
+    met = searched.select(F.explode(keys).alias("bucket"), "node", "fp" if check is None else F.lit(0).cast("long").alias("fp"), "second").repartition(tasks(spark), "bucket").sortWithinPartitions("bucket")
     found = written(met.mapInArrow(bucket_links(radius, check, bucket_limit), LINKS_DDL), "sim-links")
     links = found.filter("b is not null").select("a", "b")
     if not found.filter("b is null").isEmpty():
@@ -335,11 +348,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of docs: id, fingerprint (16 hex digits), component_id.
 
     shingle: words of a feature, 0 for single different words. radius: bits in which linked fingerprints may differ.
-    check: a second fingerprint that linked texts must be near in, too.
+    check: a longer fingerprint that decides, where the others only search; the fingerprint returned is then the first of those.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle, check), "sim-fp")
-    nodes = written(marked.groupBy("fp", "second").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "sim-nodes")
-    found = written(components(near_links(nodes.select("node", "fp", "second"), radius, check, bucket_limit)), "sim-cc")
+    nodes = written(marked.groupBy("fp", "second").agg(F.min("id").alias("least"), F.first("fps").alias("fps")).withColumn("node", F.monotonically_increasing_id()), "sim-nodes")
+    found = written(components(near_links(nodes.select("node", "fps", "second"), radius, check, bucket_limit)), "sim-cc")
     placed = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed.select("fp", "second", "least", "component"), "sim-placed")
     smallest = written(placed.groupBy("component").agg(F.min("least").alias("component_id")), "sim-small")

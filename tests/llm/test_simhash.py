@@ -57,11 +57,14 @@ def test_groups_match_brute_force(spark, limit):
 @pytest.mark.parametrize("limit", [4096, 2])
 def test_checked_links(spark, limit):
     rows = corpus(7)
-    out = {x.doc_id: x.component_id for x in S.near_groups(documents(spark, rows), shingle=0, radius=3, check=S.Check(5, 22), bucket_limit=limit).collect()}
-    a = [S.fingerprint((t or "").encode(), 0) for _, t in rows]
-    b = [int.from_bytes(S.second_fingerprint((t or "").encode(), 5), "big") for _, t in rows]
-    want = components([i for i, _ in rows], lambda i, j: (a[i] ^ a[j]).bit_count() <= 3 and (b[i] ^ b[j]).bit_count() <= 22)
+    out = {x.doc_id: x.component_id for x in S.near_groups(documents(spark, rows), shingle=0, radius=3, check=S.Check(5, 22, 3), bucket_limit=limit).collect()}
+    a = [[x & (1 << 64) - 1 for x in S.searched_fingerprints((t or "").encode(), 0, 3)] for _, t in rows]
+    b = [int.from_bytes(S.long_fingerprint((t or "").encode(), 5), "big") for _, t in rows]
+    masks = S.covering_masks(3)
+    want = components([i for i, _ in rows], lambda i, j: (b[i] ^ b[j]).bit_count() <= 22 and any(x & m == y & m for x, y in zip(a[i], a[j], strict=True) for m in masks))
     assert out == {i: c for (i, _), c in zip(rows, want, strict=True)}
+    near = components([i for i, _ in rows], lambda i, j: (b[i] ^ b[j]).bit_count() <= 22 and any((x ^ y).bit_count() <= 3 for x, y in zip(a[i], a[j], strict=True)))
+    assert all(out[i] == out[j] for (i, _), c in zip(rows, near, strict=True) for (j, _), d in zip(rows, near, strict=True) if c == d)
 
 
 def test_components_of_long_chains_and_stars(spark):
