@@ -22,15 +22,16 @@ from sheafwork.plans import choose
 from sheafwork.plans.leaves import Leaf, Lookup, bool_leaves, float_leaves, int_leaves, read_ints, read_leaf, text_leaves
 
 BRANCHES = "field string, path string, types string, encoding string, chunk_id long, n_values long, byte_size long, payload binary"
-ROOT = "$"
+#: These have no payload, or one that the id could hold, as the first value of runs of truth values.
+ID_ONLY = {"Void", "RLE", "Dictionary", "RLE Boolean", "Nullable", "Object", "Variable Length", "Zigzag"}
 
 
 def stored_bytes(encoding: str, payload: bytes) -> int:
     """Bytes of a leaf: its type id, its payload, and the payload's length where it has one."""
-    if encoding in ("Void", "RLE", "Dictionary"):
-        return 1
-    if encoding == "RLE Boolean":  # the first value is in the id
+    if encoding in ID_ONLY:
         return 1
+    if encoding == "Fixed Length":
+        return 1 + choose.varint_size(int.from_bytes(payload, "little"))
     return 1 + len(payload) + choose.varint_size(len(payload))
 
 
@@ -181,6 +182,8 @@ class Chunk:
             return pa.StructArray.from_arrays(parts, fields=list(arrow))
         if isinstance(kind, (T.ArrayType, T.MapType)):
             return self._list(path, kind, types, encoding, n)
+        if encoding in ("Object", "Fixed Length", "Variable Length"):
+            raise SchemaMismatch(f"{path} is a {types}")
         return self._leaf(path, kind, types, n).cast(arrow)
 
     def _list(self, path: str, kind: T.ArrayType | T.MapType, types: str, encoding: str, n: int) -> pa.Array:
