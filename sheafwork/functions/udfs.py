@@ -5,15 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import sheafwork
 from sheafwork.functions import codecs
 
-cloudpickle.register_pickle_by_value(sheafwork)  # workers get the functions with the task
-
 
 @F.arrow_udf(T.LongType())
 def double_bits(c: pa.Array) -> pa.Array:
