@@ -2,10 +2,3 @@
 
 Nothing else in the library imports this subpackage.
 """
-
-from pyspark import cloudpickle
-
-import sheafwork
-
-# Worker processes get the code of the operators with each task, so that a cluster needs no copy of the package.
-cloudpickle.register_pickle_by_value(sheafwork)
