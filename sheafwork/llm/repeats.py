@@ -6,8 +6,9 @@ included. Strings are judged on the input.
 1. Winnowing finds candidates without loss. Each string of `length` bytes is filed under the smallest hash of its 32-byte
    pieces, so equal strings are filed under one hash. Neighbouring strings of a document with one smallest hash form a
    context. Contexts leave a task once for each content, with their number; the others are known to repeat as a whole.
-2. Contexts are dealt out by hash and sorted. A hash with a single context has no repeats, unless its smallest piece comes
-   twice in it; contexts of equal content repeat as a whole; where a hash has contexts of different content, one of each content goes on, with its bytes.
+2. Contexts are dealt out by hash and content, so that no hash is gathered, and those of equal content repeat as a whole.
+   Contents are counted by hash. A hash with a single content has no repeats, unless its smallest piece comes twice in it;
+   of the others one context of each content goes on, with its bytes.
 3. Those bytes are gathered by hash in blocks. Each block gets a run-length index: suffix array, run-compressed
    Burrows-Wheeler transform, and the suffix positions on both sides of each run's border with their common length.
    From one such sample the neighbour in suffix order and the common length of all later text positions follow, up to the
@@ -16,7 +17,8 @@ included. Strings are judged on the input.
 4. Marked strings are united for each document, and the rest of its bytes is put together.
 
 A hash under which more than `block_bytes` x 8 of different contexts are filed does not go through an index: the strings of
-its contexts are hashed (128 bits) and dealt out by that hash, which no number of contexts can make too large for a task.
+its contexts are hashed (128 bits), once for each task, and dealt out by that hash. No number of contexts makes that too
+large for a task.
 
 Defined results: null and empty texts have no bytes. Every row is a document, so strings of rows that come twice repeat, also
 if their identifiers are equal; rows of one identifier and different texts are told apart by the text. Null identifiers are
@@ -122,59 +124,37 @@ def filed_contexts(length: int, most: int = 150_000):
     return run
 
 
-FOUND = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("a", pa.int32()), ("e", pa.int32()), ("open", pa.bool_())])
-FOUND_DDL = "hash long, id long, version long, a int, e int, open boolean"
+FOUND = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("a", pa.int32()), ("e", pa.int32()), ("inner", pa.bool_()), ("open", pa.bool_())])
+FOUND_DDL = "hash long, id long, version long, a int, e int, inner boolean, open boolean"
 
 
-def compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by (hash, c1, c2) to: those that repeat as a whole (hash null), and one of each content for the index (hash set;
-    open: whether it is still to be decided). Rows of one hash are held one content at a time."""
-    key = content = None
-    firsts: list[tuple] = []  # the hash's first content, until there is a second one
-    several = False
-    held: tuple | None = None  # the content's first row
+def merged_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by (hash, c1, c2) to those that repeat as a whole (hash null) and one of each content (open: whether it may hold repeats that aren't known)."""
+    content: tuple | None = None
+    held: tuple | None = None
     count = 0
     out: list[tuple] = []
 
-    def end_content() -> None:
-        nonlocal held, count, several
-        if held is None:
-            return
-        h, i, version, a, e, inner = held
-        if count > 1:
-            out.append((None, i, version, a, e, False))
-        row = (h, i, version, a, e, count == 1)
-        if not several and not firsts and inner and count == 1:
-            out.append(row)
-            several = True
-        elif several:
-            out.append(row)
-        elif firsts:
-            out.extend((firsts.pop(), row))
-            several = True
-        else:
-            firsts.append(row)
-        held, count = None, 0
+    def end() -> None:
+        if held is not None:
+            h, i, version, a, e, inner = held
+            if count > 1:
+                out.append((None, i, version, a, e, False, False))
+            out.append((h, i, version, a, e, inner, count == 1))
 
     for batch in batches:
-        c = [x.to_pylist() for x in batch.columns]
-        for h, c1, c2, i, version, a, e, inner, n in zip(*c, strict=True):
+        for h, c1, c2, i, version, a, e, inner, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if n == 0:
-                out.append((None, i, version, a, e, False))
-                continue
-            if (h, c1, c2) != (key, *(content or ())):
-                end_content()
-                if h != key:
-                    firsts.clear()
-                    several = False
-                key, content = h, (c1, c2)
-                held, count = (h, i, version, a, e, inner), n
-            else:
-                out.append((None, i, version, a, e, False))
+                out.append((None, i, version, a, e, False, False))
+            elif (h, c1, c2) == content:
+                out.append((None, i, version, a, e, False, False))
                 count += n
+            else:
+                end()
+                content, held, count = (h, c1, c2), (h, i, version, a, e, inner), n
         yield table_of(out, FOUND)
         out.clear()
-    end_content()
+    end()
     yield table_of(out, FOUND)
 
 
@@ -232,12 +212,12 @@ def runs_of(marked: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-MARKS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("a", pa.int32()), ("e", pa.int32()), ("hash", pa.int64()), ("bytes", pa.binary())])
-MARKS_DDL = "id long, version long, a int, e int, hash long, bytes binary"
+MARKS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("a", pa.int32()), ("e", pa.int32())])
+MARKS_DDL = "id long, version long, a int, e int"
 
 
 def index_blocks(length: int, block_bytes: int):
-    """Contexts with bytes, sorted by hash, to the starts that repeat (bytes null); contexts of a hash with too many go through with their bytes."""
+    """Contexts with bytes, sorted by hash, to the starts that repeat. A block holds whole hashes."""
 
     def marks(block: list[tuple]) -> list[tuple]:
         starts = np.cumsum([0] + [len(x[5]) + 1 for x in block])
@@ -245,95 +225,116 @@ def index_blocks(length: int, block_bytes: int):
         out = []
         for (_, i, version, a, is_open, data), at in zip(block, starts.tolist(), strict=False):
             if is_open:
-                out += [(i, version, a + x, a + y, None, None) for x, y in runs_of(best[at : at + len(data) - length + 1] >= length)]
+                out += [(i, version, a + x, a + y) for x, y in runs_of(best[at : at + len(data) - length + 1] >= length)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
         group: list[tuple] = []
         sizes = [0, 0]  # of the block and of the hash at hand
-        key = over = None
-
-        def join() -> None:
-            if any(x[4] for x in group):
-                block.extend(group)
-                sizes[0] += sizes[1]
-            group.clear()
-            sizes[1] = 0
-
+        key = None
         for batch in batches:
             out = []
             for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                h, size = row[0], len(row[5]) + 1
-                if h != key:
-                    if sizes[0] + sizes[1] > block_bytes and block:
+                if row[0] != key:
+                    if block and sizes[0] + sizes[1] > block_bytes:
                         out += marks(block)
                         block.clear()
                         sizes[0] = 0
-                    join()
-                    key = h
-                if over == h:
-                    out.append((row[1], row[2], row[3], None, h, row[5]))
-                    continue
-                group.append(row)
-                sizes[1] += size
-                if sizes[1] > 8 * block_bytes:
-                    out += [(x[1], x[2], x[3], None, h, x[5]) for x in group]
+                    block += group
+                    sizes = [sizes[0] + sizes[1], 0]
                     group.clear()
-                    sizes[1], over = 0, h
+                    key = row[0]
+                group.append(row)
+                sizes[1] += len(row[5]) + 1
             yield table_of(out, MARKS)
-        join()
-        if block:
-            yield table_of(marks(block), MARKS)
+        if block + group:
+            yield table_of(marks(block + group), MARKS)
 
     return run
 
 
-def string_hashes(length: int):
-    """Contexts with bytes to a row for each string."""
+STRINGS_DDL = "h1 long, h2 long, id long, version long, s int, a int, e int"
+
+
+def string_hashes(length: int, most: int = 500_000):
+    """Contexts with bytes to one row for each different string of the task (s set), and to the starts that repeat in the task (a, e set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             for i, version, a, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 n = len(data) - length + 1
-                table = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[k : k + length]) for k in range(n)]), ">i8").astype(np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(table[:, 0].copy()), pa.array(table[:, 1].copy()), pa.array([i] * n, pa.int64()), pa.array([version] * n, pa.int64()), pa.array(np.arange(a, a + n, dtype=np.int32))], ["h1", "h2", "id", "version", "s"])
+                digests = b"".join([xxhash.xxh3_128_digest(data[k : k + length]) for k in range(n)])
+                held.append((i, version, a, np.frombuffer(digests, ">i8").astype(np.int64).reshape(n, 2)))
+                size += n
+                if size >= most:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
+    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        table = np.concatenate([h[3] for h in held])
+        _, first, which, counts = np.unique(table, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        repeats = counts[which.ravel()] > 1
+        ends = np.cumsum([0] + [len(h[3]) for h in held])
+        rows = []
+        owner = np.searchsorted(ends, first, "right") - 1
+        for k, o, n in zip(first.tolist(), owner.tolist(), counts.tolist(), strict=True):
+            i, version, a, own = held[o]
+            # A string that repeats here is marked here; the row that stands for it is only there for other tasks.
+            rows.append((int(table[k, 0]), int(table[k, 1]), i if n == 1 else None, version, a + k - int(ends[o]) if n == 1 else None, None, None))
+        for (i, version, a, own), at in zip(held, ends.tolist(), strict=False):
+            rows += [(version ^ (a + x), 0, i, version, None, a + x, a + y) for x, y in runs_of(repeats[at : at + len(own)])]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+        names = ["h1", "h2", "id", "version", "s", "a", "e"]
+        for at in range(0, len(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 100_000], strict=True), kinds, strict=True)], names)
 
     return run
 
 
 def equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h1, h2) to those with a neighbour of the same hash."""
-    held: tuple | None = None
+    """Rows sorted by (h1, h2) to the starts that repeat: those that are known, and those with a neighbour of the same hash."""
+    last: tuple | None = None
     matched = False
     for batch in batches:
         out = []
-        for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            same = held is not None and row[:2] == held[:2]
-            if held is not None and (same or matched):
-                out.append((held[2], held[3], held[4], held[4], None, None))
-            held, matched = row, same
+        for h1, h2, i, version, s, a, e in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if a is not None:
+                out.append((i, version, a, e))
+                continue
+            same = last is not None and (h1, h2) == last[:2]
+            if last is not None and (same or matched) and last[4] is not None:
+                out.append((last[2], last[3], last[4], last[4]))
+            last, matched = (h1, h2, i, version, s), same
         yield table_of(out, MARKS)
-    if held is not None and matched:
-        yield table_of([(held[2], held[3], held[4], held[4], None, None)], MARKS)
+    if last is not None and matched and last[4] is not None:
+        yield table_of([(last[2], last[3], last[4], last[4])], MARKS)
 
 
 def repeated_starts(docs: DataFrame, length: int, block_bytes: int) -> DataFrame:
     """docs: id, version, text. id, version, a, e: starts of strings that also start elsewhere."""
     n = tasks(docs.sparkSession)
     filed = docs.select("id", "version", "text").mapInArrow(filed_contexts(length), FILED_DDL)
-    found = written(filed.repartition(n, "hash").sortWithinPartitions("hash", "c1", "c2").mapInArrow(compare_contexts, FOUND_DDL), "repeat-found")
-    known = found.filter("hash is null").select("id", "version", "a", "e")
-    wanted = found.filter("hash is not null").groupBy("id", "version").agg(F.collect_list(F.struct("hash", "a", "e", "open")).alias("wanted"))  # of one document's contexts
+    found = written(filed.repartition(n, "hash", "c1", "c2").sortWithinPartitions("hash", "c1", "c2").mapInArrow(merged_contents, FOUND_DDL), "repeat-found")
+    starts = found.filter("hash is null").select("id", "version", "a", "e")
+    contents = found.filter("hash is not null")
+    by_hash = contents.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("e") - F.col("a") + length + 1).alias("bytes"), F.max("open").alias("any_open"), F.max(F.col("open") & F.col("inner")).alias("any_inner"))
+    by_hash = written(by_hash.filter("any_open and kinds > 1 or any_inner").select("hash", (F.col("bytes") > 8 * block_bytes).alias("large")), "repeat-hashes")
+    # Both sides are plain exchanges, so that a hash with very many contents is split over tasks.
+    wanted = contents.join(by_hash, "hash").groupBy("id", "version").agg(F.collect_list(F.struct("hash", "a", "e", "open", "large")).alias("wanted"))  # of one document
     cut = docs.join(wanted, same_document(docs, wanted)).select(docs["id"], docs["version"], docs["text"].cast("binary").alias("text"), F.explode("wanted").alias("w"))
-    cut = cut.select("w.hash", "id", "version", "w.a", "w.open", F.expr(f"substring(text, w.a + 1, w.e - w.a + {length})").alias("bytes"))
-    marks = written(cut.repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(index_blocks(length, block_bytes), MARKS_DDL), "repeat-marks")
-    starts = known.unionByName(marks.filter("bytes is null").select("id", "version", "a", "e"))
-    large = marks.filter("bytes is not null").select("id", "version", "a", "bytes")
-    if not large.isEmpty():
-        strings = large.mapInArrow(string_hashes(length), "h1 long, h2 long, id long, version long, s int").repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2")
-        starts = starts.unionByName(strings.mapInArrow(equal_neighbours, MARKS_DDL).select("id", "version", "a", "e"))
-    return starts
+    cut = cut.select("w.hash", "id", "version", "w.a", "w.open", F.expr(f"substring(text, w.a + 1, w.e - w.a + {length})").alias("bytes"), "w.large")
+    some_large = not by_hash.filter("large").isEmpty()
+    if some_large:
+        cut = written(cut, "repeat-cut")
+        strings = cut.filter("large").select("id", "version", "a", "bytes").mapInArrow(string_hashes(length), STRINGS_DDL)
+        starts = starts.unionByName(strings.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(equal_neighbours, MARKS_DDL))
+        cut = cut.filter("not large")
+    return starts.unionByName(cut.drop("large").repartition(n, "hash").sortWithinPartitions("hash").mapInArrow(index_blocks(length, block_bytes), MARKS_DDL))
 
 
 def same_document(a: DataFrame, b: DataFrame):
