@@ -2,10 +2,16 @@
 
 A chunk is a run of rows in order; each chunk of each schema path is encoded by itself, so chunks are coded in parallel, in
 bounded memory. Shredding works on Arrow columns, which already hold one flat array for each path.
+
+Metadata of a field tells what Spark's types can't: {"union": True} makes a struct a tagged union, whose field `tag` names the
+one other field that is set, or none for a variant without data; {"tuple": True} lets a struct be read only with as many
+fields as were written; {"fixed_length": n} lets a list be read only if all its lists have n elements. A reader's
+{"variants": [...]} names all variants that it knows, for unions with variants without data.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sheafwork.errors import InvalidFormat, SchemaMismatch
+from sheafwork.functions import codecs
 from sheafwork.names import canonical
 from sheafwork.options import DecodeOptions, EncodeOptions
 from sheafwork.plans import choose
@@ -23,7 +30,7 @@ from sheafwork.plans.leaves import Leaf, Lookup, bool_leaves, float_leaves, int_
 
 BRANCHES = "field string, path string, types string, encoding string, chunk_id long, n_values long, byte_size long, payload binary"
 #: These have no payload, or one that the id could hold, as the first value of runs of truth values.
-ID_ONLY = {"Void", "RLE", "Dictionary", "RLE Boolean", "Nullable", "Object", "Variable Length", "Zigzag"}
+ID_ONLY = {"Void", "RLE", "Dictionary", "RLE Boolean", "Nullable", "Object", "Union", "Variable Length", "Zigzag"}
 
 
 def stored_bytes(encoding: str, payload: bytes) -> int:
@@ -35,7 +42,7 @@ def stored_bytes(encoding: str, payload: bytes) -> int:
     return 1 + len(payload) + choose.varint_size(len(payload))
 
 
-def shred(path: str, kind: T.DataType, column: pa.Array, options: EncodeOptions) -> Iterator[Leaf]:
+def shred(path: str, kind: T.DataType, column: pa.Array, options: EncodeOptions, told: dict | None = None) -> Iterator[Leaf]:
     """Leaves of a column; a nullable part is a flag for each value and the values that are there."""
     if column.null_count and not isinstance(kind, T.NullType):
         if column.null_count == len(column):
@@ -43,13 +50,15 @@ def shred(path: str, kind: T.DataType, column: pa.Array, options: EncodeOptions)
             return
         yield path, "Nullable", "Nullable", len(column), b""
         yield from bool_leaves(f"{path}.opt", np.asarray(column.is_valid()), options)
-        yield from shred(f"{path}.values", kind, column.drop_null(), options)
+        yield from shred(f"{path}.values", kind, column.drop_null(), options, told)
         return
     n = len(column)
-    if isinstance(kind, T.StructType):
-        yield path, "Object", "Object", n, b""
+    if isinstance(kind, T.StructType) and told and told.get("union"):
+        yield from union_leaves(path, kind, column, options)
+    elif isinstance(kind, T.StructType):
+        yield path, "Object", "Object", n, bytes(codecs.prefix_varints(np.array([len(kind.fields)], np.uint64)))
         for i, f in enumerate(kind.fields):
-            yield from shred(f"{path}.{canonical(f.name)}", f.dataType, column.flatten()[i], options)
+            yield from shred(f"{path}.{canonical(f.name)}", f.dataType, column.flatten()[i], options, f.metadata)
     elif isinstance(kind, T.ArrayType):
         lengths, values = np.asarray(column.value_lengths()).astype(np.uint64), column.flatten()
         yield from listed(path, lengths, "List", options)
@@ -77,6 +86,20 @@ def shred(path: str, kind: T.DataType, column: pa.Array, options: EncodeOptions)
         yield from signed_leaves(path, as_integers(kind, column), options)
 
 
+def union_leaves(path: str, kind: T.StructType, column: pa.Array, options: EncodeOptions) -> Iterator[Leaf]:
+    """Codes of variants by first appearance, and a branch of values for each variant that appears and has some."""
+    parts = dict(zip((f.name for f in kind.fields), column.flatten(), strict=True))
+    names, codes = choose.dictionary_of(parts["tag"].to_pylist())
+    if None in names:
+        raise SchemaMismatch(f"a value of {path} has no tag")
+    yield path, "Union", "Union", len(column), json.dumps(names).encode()
+    yield from int_leaves(f"{path}.discriminants", codes, options)
+    for code, name in enumerate(names):
+        for f in kind.fields:
+            if f.name != "tag" and canonical(f.name) == canonical(name):
+                yield from shred(f"{path}.{canonical(name)}", f.dataType, parts[f.name].filter(pa.array(codes == code)), options, f.metadata)
+
+
 def as_integers(kind: T.DataType, column: pa.Array) -> np.ndarray:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return np.asarray(column.cast(pa.timestamp("us", getattr(column.type, "tz", None))).cast(pa.int64()))
@@ -108,7 +131,7 @@ def encode_chunk(schema: T.StructType, chunk_id: int, batch: pa.Table, options:
         column = batch.column(f.name).combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         name = canonical(f.name)
-        for path, types, encoding, n, payload in shred(name, f.dataType, column, options):
+        for path, types, encoding, n, payload in shred(name, f.dataType, column, options, f.metadata):
             rows.append((name, path, types, encoding, chunk_id, n, stored_bytes(encoding, payload), payload))
     kinds = [pa.string()] * 4 + [pa.int64()] * 3 + [pa.binary()]
     names = ["field", "path", "types", "encoding", "chunk_id", "n_values", "byte_size", "payload"]
@@ -155,7 +178,7 @@ class Chunk:
         self.options = options
         self.look: Lookup = self.leaves.get
 
-    def column(self, path: str, kind: T.DataType, nullable: bool, n: int) -> pa.Array:
+    def column(self, path: str, kind: T.DataType, nullable: bool, n: int, told: dict | None = None) -> pa.Array:
         """Values of a path as an Arrow array of the reader's type."""
         arrow = arrow_type(kind)
         found = self.leaves.get(path)
@@ -172,27 +195,56 @@ class Chunk:
             if not nullable:
                 raise SchemaMismatch(f"{path} has nulls")
             valid = np.asarray(read_leaf(f"{path}.opt", self.look)).astype(bool)[:n]
-            values = self.column(f"{path}.values", kind, False, int(valid.sum()))
+            values = self.column(f"{path}.values", kind, False, int(valid.sum()), told)
             index = np.where(valid, np.cumsum(valid) - 1, 0)
             return values.take(pa.array(index, mask=~valid))
+        told = told or {}
         if isinstance(kind, T.StructType):
-            if types != "Object":
-                raise SchemaMismatch(f"{path} is no struct")
-            parts = [self.column(f"{path}.{canonical(f.name)}", f.dataType, f.nullable, n) for f in kind.fields]
+            if types != ("Union" if told.get("union") else "Object"):
+                raise SchemaMismatch(f"{path} is a {types}")
+            if types == "Union":
+                return self._union(path, kind, n, told)
+            if told.get("tuple") and int(codecs.read_prefix_varints(found[3])[0]) != len(kind.fields):
+                raise SchemaMismatch(f"{path} has another number of parts")
+            parts = [self.column(f"{path}.{canonical(f.name)}", f.dataType, f.nullable, n, f.metadata) for f in kind.fields]
             return pa.StructArray.from_arrays(parts, fields=list(arrow))
         if isinstance(kind, (T.ArrayType, T.MapType)):
-            return self._list(path, kind, types, encoding, n)
-        if encoding in ("Object", "Fixed Length", "Variable Length"):
+            return self._list(path, kind, types, encoding, n, told.get("fixed_length"))
+        if encoding in ("Object", "Union", "Fixed Length", "Variable Length"):
             raise SchemaMismatch(f"{path} is a {types}")
         return self._leaf(path, kind, types, n).cast(arrow)
 
-    def _list(self, path: str, kind: T.ArrayType | T.MapType, types: str, encoding: str, n: int) -> pa.Array:
+    def _union(self, path: str, kind: T.StructType, n: int, told: dict) -> pa.Array:
+        names, codes = json.loads(self.leaves[path][3]), read_ints(f"{path}.discriminants", self.look).astype(np.int64)
+        if len(codes) and codes.max() >= len(names):
+            raise InvalidFormat(f"a code of {path} has no variant")
+        fields = {canonical(f.name): f for f in kind.fields if f.name != "tag"}
+        known = {canonical(v) for v in told["variants"]} if "variants" in told else None
+        for name in map(canonical, names):
+            if name not in fields and (f"{path}.{name}" in self.leaves or known is not None and name not in known):
+                raise SchemaMismatch(f"{path} has a variant {name} that the reader doesn't know")
+        parts = []
+        for f in kind.fields:
+            if f.name == "tag":
+                parts.append(pa.array([names[c] for c in codes.tolist()], pa.string()))
+                continue
+            here = np.isin(codes, [k for k, name in enumerate(names) if canonical(name) == canonical(f.name)])
+            if not here.any():
+                parts.append(pa.nulls(n, arrow_type(f.dataType)))
+                continue
+            values = self.column(f"{path}.{canonical(f.name)}", f.dataType, True, int(here.sum()), f.metadata)
+            parts.append(values.take(pa.array(np.where(here, np.cumsum(here) - 1, 0), mask=~here)))
+        return pa.StructArray.from_arrays(parts, fields=list(arrow_type(kind)))
+
+    def _list(self, path: str, kind: T.ArrayType | T.MapType, types: str, encoding: str, n: int, fixed: int | None) -> pa.Array:
         if not types.startswith("Map" if isinstance(kind, T.MapType) else "List"):
             raise SchemaMismatch(f"{path} is a {types}")
         if encoding == "Fixed Length":
             lengths = np.full(n, int.from_bytes(self.leaves[path][3], "little"), np.int64)
         else:
             lengths = read_ints(f"{path}.len", self.look).astype(np.int64)
+        if fixed is not None and (lengths != fixed).any():
+            raise SchemaMismatch(f"{path} has lists that don't have {fixed} elements")
         offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
         total = int(lengths.sum())
         if isinstance(kind, T.ArrayType):
@@ -276,7 +328,7 @@ def decode(branches: DataFrame, schema: T.StructType, options: DecodeOptions = D
         columns = [leaves.column(c).to_pylist() for c in ("path", "types", "encoding", "n_values", "payload")]
         chunk = Chunk(zip(*columns, strict=True), options)
         n = max((chunk.leaves[w][2] for w in wanted if w in chunk.leaves), default=0)
-        arrays = [chunk.column(w, f.dataType, f.nullable, n) for w, f in zip(wanted, schema.fields, strict=True)]
+        arrays = [chunk.column(w, f.dataType, f.nullable, n, f.metadata) for w, f in zip(wanted, schema.fields, strict=True)]
         return pa.table(arrays, names=[f.name for f in schema.fields])
 
     return needed.groupBy("chunk_id").applyInArrow(run, relaxed(schema))

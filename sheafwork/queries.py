@@ -505,6 +505,23 @@ def union_roundtrip(spark, sf_dir):
     return B.undo_union({k: B.variant(b, k) for k in kinds})
 
 
+@query("SELECT event_id, event_type AS tag, CASE WHEN event_type = 'error' THEN value END AS error_value, CASE WHEN event_type = 'signup' THEN user_id END AS signup_user FROM events")
+def union_encode_decode(spark, sf_dir):
+    """Events as a tagged union: errors hold a value, signups a user, and the other variants nothing."""
+    t = table(spark, sf_dir, "events")
+    parts = F.struct(F.col("event_type").alias("tag"), F.when(F.col("event_type") == "error", F.col("value")).alias("error"), F.when(F.col("event_type") == "signup", F.col("user_id")).alias("signup"))
+    packed = t.select("event_id", parts.alias("event", metadata={"union": True}))
+    back = decode(encode(packed, ["event_id"]), packed.schema)
+    return back.select("event_id", "event.tag", F.col("event.error").alias("error_value"), F.col("event.signup").alias("signup_user"))
+
+
+@query("SELECT vec_id, embedding FROM embeddings")
+def fixed_list_decode(spark, sf_dir):
+    """Lists that must have 64 elements each."""
+    t = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return decode(encode(t, ["vec_id"]), T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()), True, {"fixed_length": 64})]))
+
+
 # Structs and tuples
 
 @query("SELECT n_nationkey AS pos, n_name AS name, n_regionkey AS region FROM nation")

@@ -158,3 +158,45 @@ def test_maps_with_a_key_twice_fail(spark):
 def test_windows_stay_in_chunks(spark):
     b = B.branch(spark.range(10_000).withColumn("v", F.lit("same")), "id", "v", 4096)
     assert sorted((r.chunk_id, r.extra) for r in B.rle(b).collect()) == [(0, 4095), (1, 4095), (2, 10_000 - 8192 - 1)]
+
+
+MIXED = T.StructType([T.StructField("tag", T.StringType()), T.StructField("one", T.LongType()), T.StructField("my_list", T.ArrayType(T.StringType()))])
+
+
+def unions(spark):
+    rows = [(0, ("Ex", None, None)), (1, ("One", 10, None)), (2, ("myList", None, ["a", None])), (3, ("One", None, None)), (4, None), (5, ("Ex", None, None)), (6, ("One", -3, None))]
+    return spark.createDataFrame(rows, T.StructType([T.StructField("k", T.LongType()), T.StructField("u", MIXED, True, {"union": True})]))
+
+
+def test_tagged_unions(spark):
+    df = unions(spark)
+    branches = encode(df, ["k"], partitions=1).cache()
+    assert same(decode(branches, df.schema), df)
+    paths = {r.path for r in branches.collect()}
+    assert "u.values.one.values.zigzag" in paths and not any("ex" in p.split(".") for p in paths)
+    less = T.StructType([T.StructField("tag", T.StringType()), T.StructField("one", T.LongType())])
+    known = {"union": True, "variants": ["One", "myList"]}
+    for kind, told in ((less, {"union": True}), (MIXED, known), (MIXED, {})):
+        with pytest.raises(PythonException, match="SchemaMismatch"):
+            decode(branches, T.StructType([T.StructField("u", kind, True, told)])).collect()
+    assert decode(branches, T.StructType([T.StructField("u", MIXED, True, {"union": True, "variants": ["Ex", "One", "MyList"]})])).count() == 7
+    branches.unpersist()
+
+
+def test_codes_without_a_variant(spark):
+    branches = encode(unions(spark), ["k"], partitions=1)
+    broken = branches.withColumn("payload", F.when(F.col("encoding") == "Union", F.lit(b'["Ex"]')).otherwise(F.col("payload")))
+    with pytest.raises(PythonException, match="InvalidFormat"):
+        decode(broken, unions(spark).schema).collect()
+
+
+def test_tuples_and_fixed_lists(spark):
+    pair = T.StructType([T.StructField("_0", T.LongType()), T.StructField("_1", T.LongType())])
+    triple = T.StructType([*pair.fields, T.StructField("_2", T.LongType())])
+    df = spark.createDataFrame([(0, (1, 2), [1, 2]), (1, (3, 4), [5, 6])], T.StructType([T.StructField("k", T.LongType()), T.StructField("t", pair), T.StructField("l", T.ArrayType(T.LongType()))]))
+    branches = encode(df, ["k"])
+    assert decode(branches, T.StructType([T.StructField("t", pair, True, {"tuple": True}), T.StructField("l", T.ArrayType(T.LongType()), True, {"fixed_length": 2})])).count() == 2
+    assert {r.t["_2"] for r in decode(branches, T.StructType([T.StructField("t", triple)])).collect()} == {None}
+    for bad in (T.StructField("t", triple, True, {"tuple": True}), T.StructField("l", T.ArrayType(T.LongType()), True, {"fixed_length": 3})):
+        with pytest.raises(PythonException, match="SchemaMismatch"):
+            decode(branches, T.StructType([bad])).collect()
