@@ -20,3 +20,11 @@ def size_totals(branches: DataFrame, stored_bytes: int | None = None) -> DataFra
     """Bytes accounted for by branches, the rest, and the total, which is what is stored if that is given."""
     total = F.col("accounted") if stored_bytes is None else F.lit(stored_bytes).cast("long")
     return branches.agg(F.coalesce(F.sum("byte_size"), F.lit(0)).alias("accounted")).select("accounted", (total - F.col("accounted")).alias("other"), total.alias("total"))
+
+
+def size_breakdown(branches: DataFrame, stored_bytes: int | None = None) -> str:
+    """The three reports as text. Their rows are as many as paths and encodings, whatever the data's size."""
+    paths = [f"{r.bytes:>14} {r.path} ({r.types})" for r in size_by_path(branches).collect()]
+    encodings = [f"{r.bytes:>14} {r.encoding} ({r.branches} branches)" for r in size_by_encoding(branches).collect()]
+    whole = size_totals(branches, stored_bytes).first()
+    return "\n".join(["by path", *paths, "by encoding", *encodings, "totals", f"{whole.accounted:>14} accounted", f"{whole.other:>14} other", f"{whole.total:>14} total"])

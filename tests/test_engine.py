@@ -12,7 +12,7 @@ from sheafwork.names import canonical
 from sheafwork.operators import branches as B
 from sheafwork.options import DecodeOptions, EncodeOptions, options
 from sheafwork.plans.encoding import decode, encode
-from sheafwork.plans.report import size_by_encoding, size_by_path, size_totals
+from sheafwork.plans.report import size_breakdown, size_by_encoding, size_by_path, size_totals
 from sheafwork.sources.store import open_store, read_store, write_store
 from sheafwork.streaming.chunks import store_stream
 
@@ -108,6 +108,8 @@ def test_reports(spark):
     whole = size_totals(branches, stored_bytes=10**6).first()
     assert sum(r.bytes for r in paths) == sum(r.bytes for r in encodings) == whole.accounted == 10**6 - whole.other
     assert [r.bytes for r in paths] == sorted((r.bytes for r in paths), reverse=True)
+    text = size_breakdown(branches)
+    assert all(f"{r.bytes:>14} {r.path} " in text for r in paths) and f"{whole.accounted:>14} accounted" in text
     assert {"key", "tags.opt", "inner.values.name.values", "nothing"} <= {r.path for r in paths}
     branches.unpersist()
 
