@@ -40,6 +40,7 @@ from sheafwork.llm.common import binary_column, tasks, written
 from sheafwork.llm.suffixes import suffix_array_of_bytes
 
 PIECE = 32
+PART = 1 << 22
 GAP = b"\xff"  # no byte of UTF-8
 END = b"\xfe" * 16
 
@@ -71,15 +72,14 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 def contexts(text: bytes, length: int) -> Iterator[tuple[int, int, int, bool]]:
     """Hash of each of a text's contexts, the first and last start of its strings, and whether its smallest piece comes twice, so that it may repeat within itself."""
-    if len(text) < length:
-        return
     width = length - PIECE + 1
-    pieces = piece_hashes(np.frombuffer(text, np.uint8))
-    least = sliding_min(pieces, width)
-    first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
-    last = np.concatenate((first[1:], [len(least)])) - 1
-    for h, signed, a, e in zip(least[first], least[first].view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-        yield signed, a, e, bool(np.count_nonzero(pieces[a : e + width] == h) > 1)
+    for at in range(0, len(text) - length + 1, PART):  # parts of a very long text; a context that is cut in two is two contexts
+        pieces = piece_hashes(np.frombuffer(text[at : at + PART + length - 1], np.uint8))
+        least = sliding_min(pieces, width)
+        first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+        last = np.concatenate((first[1:], [len(least)])) - 1
+        for h, signed, a, e in zip(least[first], least[first].view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
+            yield signed, at + a, at + e, bool(np.count_nonzero(pieces[a : e + width] == h) > 1)
 
 
 FILED = pa.schema([("hash", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("a", pa.int32()), ("e", pa.int32()), ("inner", pa.bool_()), ("n", pa.int64())])

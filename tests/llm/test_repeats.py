@@ -65,6 +65,13 @@ def test_report_matches_brute_force(spark, block):
     assert got == expected(rows, 90)
 
 
+def test_parts_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(R, "PART", 37)
+    rows = [(i, t) for i, t in corpus(4) if t is None or len(t) < 3000]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in R.repeat_report(documents(spark, rows), length=90).collect())
+    assert got == expected(rows, 90)
+
+
 def test_kept_bytes_and_spans(spark):
     rows = [(1, "-" + "abcdefghij" * 10 + "+"), (2, "abcdefghij" * 10)]
     out = {r.doc_id: r for r in R.without_repeats(documents(spark, rows), length=50).collect()}
