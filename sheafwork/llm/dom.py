@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 #: One tag, comment or declaration; also one that the page's end cuts off.
 MARKUP = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|[!?/][^>]*(?:>|\Z)|[a-zA-Z][^>]*(?:>|\Z))""", re.S)
@@ -47,11 +48,23 @@ class Page:
         self.texts: list[tuple[int, bool, str]] = []  # node, whether a block begins, text
 
 
+@lru_cache(maxsize=4096)
+def word_marks(word: str) -> int:
+    """Marks of a word, or of known words of four letters or more that it begins or ends with."""
+    if word in KNOWN_TOKEN:
+        return KNOWN_TOKEN[word]
+    found = 0
+    for known, mark in KNOWN_TOKEN.items():
+        if len(known) >= 4 and (word.startswith(known) or word.endswith(known)) or known == "nav" and (word.startswith(known) or word.endswith(known)):
+            found |= mark
+    return found
+
+
 def attribute_marks(attributes: str) -> int:
     found = 0
     for m in TOKEN.finditer(attributes):
         for word in WORD.findall((m[1] or m[2] or m[3] or "").lower()):
-            found |= KNOWN_TOKEN.get(word, 0)
+            found |= word_marks(word)
     return found
 
 

@@ -4,9 +4,10 @@ Nodes are a page's block elements. A node's features are its subtree's text, lin
 and the parent, its depth, place and neighbours among its siblings, its kind of element and that of its ancestors, and words
 of class, id and role attributes, its own and its ancestors'. Boosted trees give each node log-odds that it holds main text.
 
-Decoding is hierarchical: a node can be kept only if its ancestors are. Of all such choices the one with the largest sum of
-log-odds is taken, by one pass from the leaves up and one down. So no kept block stands in a dropped one, and a container
-is kept just if it and what it holds are worth it together.
+Decoding is hierarchical: a node can be kept only if its ancestors are, and a node without text of its own only if something in
+it is. Of all such choices the one with the largest sum of log-odds is taken, by one pass from the leaves up and one down. So
+no kept block stands in a dropped one, no kept container is empty, and a container is kept just if it and what it holds
+are worth it together.
 
 No table has labelled pages. The trees are fitted on pages that are generated here with labels, from a seed: `pages` of them,
 with menus, mastheads, sidebars, notices, adverts, forms, related links, reader comments and footers, with and without
@@ -85,58 +86,61 @@ def node_features(pages: list[Page]) -> np.ndarray:
 
 
 class BoostedTrees:
-    """Trees of fixed depth on binned features, fitted to the gradient of the logistic loss. A tree is arrays by node, in level order."""
+    """Trees of fixed depth on binned features, fitted to the gradient of the logistic loss, each on half the rows and a third of the
+    features. A tree is arrays by node, in level order."""
 
-    def __init__(self, trees: int = 60, depth: int = 4, bins: int = 24, rate: float = 0.2):
-        self.trees, self.depth, self.bins, self.rate = trees, depth, bins, rate
+    def __init__(self, trees: int = 120, depth: int = 5, bins: int = 24, rate: float = 0.15, seed: int = 3):
+        self.trees, self.depth, self.bins, self.rate, self.seed = trees, depth, bins, rate, seed
         self.base = 0.0
         self.feature, self.cut, self.value = (np.zeros((0, 0)) for _ in range(3))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         n, wide = x.shape
+        rng = np.random.default_rng(self.seed)
         edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(wide)]
         binned = np.stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(edges)], axis=1)
-        offset = np.arange(wide) * self.bins
-        inner = (1 << self.depth) - 1
         self.base = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+        inner = (1 << self.depth) - 1
         self.feature, self.cut = np.zeros((self.trees, inner), np.int64), np.full((self.trees, inner), np.inf, np.float32)
         self.value = np.zeros((self.trees, 1 << self.depth))
         raw = np.full(n, self.base)
-        flat = (binned + offset).ravel()
+        some = max(1, wide // 3)
         for t in range(self.trees):
-            p = 1 / (1 + np.exp(-raw))
-            g, h = y - p, p * (1 - p)
-            at = np.zeros(n, np.int64)
+            rows, columns = rng.permutation(n)[: -(-n // 2)], np.sort(rng.permutation(wide)[:some])
+            own = x[rows]
+            p = 1 / (1 + np.exp(-raw[rows]))
+            g, h = y[rows] - p, p * (1 - p)
+            flat = (binned[rows][:, columns] + np.arange(some) * self.bins).ravel()
+            many_g, many_h = np.repeat(g, some), np.repeat(h, some)
+            at = np.zeros(len(rows), np.int64)
             for level in range(self.depth):
                 width = 1 << level
-                slots = width * wide * self.bins
-                key = np.repeat(at * wide * self.bins, wide) + flat
-                sg, sh = (np.bincount(key, np.repeat(w, wide), slots).reshape(width, wide, self.bins).cumsum(axis=2) for w in (g, h))
+                key = np.repeat(at * some * self.bins, some) + flat
+                sg, sh = (np.bincount(key, w, width * some * self.bins).reshape(width, some, self.bins).cumsum(axis=2) for w in (many_g, many_h))
                 tg, th = sg[:, :1, -1:], sh[:, :1, -1:]
                 won = sg**2 / (sh + 1) + (tg - sg) ** 2 / (th - sh + 1) - tg**2 / (th + 1)
                 won[:, :, -1] = 0
                 best = won.reshape(width, -1).argmax(axis=1)
                 gains = won.reshape(width, -1)[np.arange(width), best]
-                feature, b = best // self.bins, best % self.bins
+                feature, b = columns[best // self.bins], best % self.bins
                 for k in range(width):
                     if gains[k] > 1e-3 and b[k] < len(edges[feature[k]]):
                         self.feature[t, width - 1 + k], self.cut[t, width - 1 + k] = feature[k], edges[feature[k]][b[k]]
-                f = self.feature[t, width - 1 + at]
-                at = 2 * at + (x[np.arange(n), f] >= self.cut[t, width - 1 + at])
+                at = 2 * at + (own[np.arange(len(rows)), self.feature[t, width - 1 + at]] >= self.cut[t, width - 1 + at])
             leaf_g, leaf_h = (np.bincount(at, w, 1 << self.depth) for w in (g, h))
             self.value[t] = self.rate * leaf_g / (leaf_h + 1)
-            raw += self.value[t][at]
+            raw += self._tree(x, t)
         return self
 
+    def _tree(self, x: np.ndarray, t: int) -> np.ndarray:
+        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for level in range(self.depth):
+            k = (1 << level) - 1 + at
+            at = 2 * at + (x[rows, self.feature[t, k]] >= self.cut[t, k])
+        return self.value[t][at]
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        raw, rows = np.full(len(x), self.base), np.arange(len(x))
-        for t in range(self.trees):
-            at = np.zeros(len(x), np.int64)
-            for level in range(self.depth):
-                k = (1 << level) - 1 + at
-                at = 2 * at + (x[rows, self.feature[t, k]] >= self.cut[t, k])
-            raw += self.value[t][at]
-        return raw
+        return self.base + sum(self._tree(x, t) for t in range(self.trees))
 
 
 class PageMaker:
@@ -144,6 +148,8 @@ class PageMaker:
 
     def __init__(self, seed: int):
         self.r = Random(seed)
+        self.block = "p"  # what paragraphs of this page are made of
+        self.told = 0.65  # how often attributes tell what an element is
 
     def words(self, low: int, high: int) -> str:
         r, out, n = self.r, [], self.r.randint(low, high)
@@ -154,7 +160,7 @@ class PageMaker:
 
     def tag(self, kind: int, names: list[str], body: str, tokens: list[str] | None = None) -> str:
         name = self.r.choice(names)
-        told = tokens and self.r.random() < 0.65
+        told = tokens and self.r.random() < self.told
         attributes = f' {self.r.choice(["class", "id"])}="{self.r.choice(tokens)}{self.r.choice(["", "-1", " box", "_w"])}"' if told else ""
         return f'<{name} data-kind="{kind}"{attributes}>{body}</{name}>'
 
@@ -165,14 +171,14 @@ class PageMaker:
         return f'<ul data-kind="0">{"".join(items)}</ul>'
 
     def menu(self) -> str:
-        return self.tag(0, ["nav", "nav", "div", "ul"], self.link_list(2, 12), ["nav", "menu", "navigation", "breadcrumb"])
+        return self.tag(0, ["nav", "nav", "div", "ul"], self.link_list(2, 12), ["nav", "menu", "navigation", "breadcrumb", "topnav", "navbar", "main-menu"])
 
     def masthead(self) -> str:
         return self.tag(0, ["header", "div"], f'<div data-kind="0">{self.words(1, 6)}</div>' + (self.menu() if self.r.random() < 0.5 else ""), ["header", "masthead", "topbar", "logo"])
 
     def advert(self) -> str:
         body = self.words(3, 40) if self.r.random() < 0.8 else f'<a href="/buy">{self.words(2, 8)}</a>'
-        return self.tag(0, ["div", "div", "aside", "section"], body if self.r.random() < 0.7 else f'<p data-kind="0">{body}</p>', ["ad", "ads", "advert", "banner", "sponsored", "promo"])
+        return self.tag(0, ["div", "div", "aside", "section"], body if self.r.random() < 0.7 else f'<p data-kind="0">{body}</p>', ["ad", "ads", "advert", "banner", "sponsored", "promo", "ad-box", "advertisement-top"])
 
     def notice(self) -> str:
         return self.tag(0, ["div", "section", "dialog"], f'<p data-kind="0">{self.words(5, 40)}</p><a href="#">{self.words(1, 2)}</a>', ["cookie", "notice", "consent", "popup", "alert"])
@@ -185,13 +191,15 @@ class PageMaker:
         return self.tag(0, ["aside", "aside", "div"], f'<h3 data-kind="0">{self.words(1, 3)}</h3>' + parts, ["sidebar", "widget", "rail", "side"])
 
     def related(self) -> str:
-        return self.tag(0, ["div", "section", "aside"], f'<h3 data-kind="0">{self.words(1, 3)}</h3>' + self.link_list(2, 8), ["related", "recommended", "share", "social", "popular"])
+        return self.tag(0, ["div", "section", "aside"], f'<h3 data-kind="0">{self.words(1, 3)}</h3>' + self.link_list(2, 8), ["related", "recommended", "share", "social", "popular", "related-posts", "sharebar"])
 
     def comments(self) -> str:
-        each = lambda: self.tag(0, ["div", "li", "article"], f'<div data-kind="0">{self.words(1, 3)}</div><p data-kind="0">{self.words(3, 70)}</p>', ["comment", "reply", "comment-body"])
-        body = f'<h2 data-kind="0">{self.words(1, 2)}</h2>' + "".join(each() for _ in range(self.r.randint(1, 6)))
-        name = self.r.choice(["section", "div", "div", "ol"])
-        return f'<{name} data-kind="0" {self.r.choice(["id", "class"])}="{self.r.choice(["comments", "comment-list", "discussion", "respond"])}">{body}</{name}>'
+        said = lambda: f'<p data-kind="0">{self.words(3, 70)}</p>' if self.r.random() < 0.7 else self.words(3, 70)
+        by = lambda: f'<div data-kind="0">{self.words(1, 3)}</div>' if self.r.random() < 0.7 else ""
+        each = lambda: self.tag(0, ["div", "li", "article"], by() + said(), ["comment", "reply", "comment-body"])
+        body = (f'<h2 data-kind="0">{self.words(1, 2)}</h2>' if self.r.random() < 0.7 else "") + "".join(each() for _ in range(self.r.randint(1, 6)))
+        name = self.r.choice(["section", "div", "div", "ol", "ul"])
+        return f'<{name} data-kind="0" {self.r.choice(["id", "class"])}="{self.r.choice(["comments", "comment-list", "commentlist", "discussion", "respond", "replies", "reader-comments"])}">{body}</{name}>'
 
     def footer(self) -> str:
         body = f"&copy; {self.words(1, 3)} &middot; {self.words(2, 25)}"
@@ -199,16 +207,16 @@ class PageMaker:
 
     def paragraph(self) -> str:
         r = self.r
-        text = self.words(3, 12) if r.random() < 0.25 else self.words(10, 160)
+        text = self.words(3, 12) if r.random() < 0.2 else self.words(10, r.choice([35, 70, 160]))
         if r.random() < 0.15:
             text = text.replace(" ", f' <a href="/r">{self.words(1, 3)}</a> ', 1)
-        if r.random() < 0.2:
+        if r.random() < 0.2 and self.block == "p":
             return f'<p data-kind="1"><b>{text}<br>'  # never ended
-        return f'<p data-kind="1">{text}</p>'
+        return f'<{self.block} data-kind="1">{text}</{self.block}>'
 
     def article(self) -> str:
         r = self.r
-        parts = [f'<h1 data-kind="1">{self.words(3, 12)}</h1>'] if r.random() < 0.85 else []
+        parts = [f'<h1 data-kind="1">{self.words(1, 12)}</h1>'] if r.random() < 0.85 else []
         for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
             parts.append(self.paragraph())
             if r.random() < 0.12:
@@ -217,14 +225,25 @@ class PageMaker:
                 parts.append('<ul data-kind="1">' + "".join(f'<li data-kind="1">{self.words(3, 25)}</li>' for _ in range(r.randint(2, 6))) + "</ul>")
             if r.random() < 0.06:
                 parts.append(f'<blockquote data-kind="1">{self.words(8, 50)}</blockquote>')
+            if r.random() < 0.05:
+                parts.append(f'<pre data-kind="1">{self.words(1, 30)}</pre>')
             if r.random() < 0.05:
                 parts.append('<table data-kind="1">' + "".join(f'<tr data-kind="1"><td data-kind="1">{self.words(1, 3)}</td><td data-kind="1">{self.words(1, 3)}</td></tr>' for _ in range(r.randint(2, 5))) + "</table>")
-            if r.random() < 0.06:
-                parts.append(r.choice([self.advert, self.related, self.form])())
-        return self.tag(1, ["article", "article", "article", "main", "div", "section"], "".join(parts), ["article", "content", "post", "entry", "story", "main"])
+            if r.random() < 0.15:
+                self.told = 1.0 if self.block == "div" else 0.65  # else nothing would tell them from the paragraphs
+                parts.append(r.choice([self.advert, self.related, self.form, self.notice])())
+                self.told = 0.65
+        if len(parts) > 3 and r.random() < 0.25:  # some parts in a box of their own
+            k = r.randint(1, len(parts) - 2)
+            parts[k:] = [f'<{(name := r.choice(["div", "section"]))} data-kind="1">{"".join(parts[k:])}</{name}>']
+        body = "".join(parts)
+        if self.block == "div" or r.random() < 0.3:
+            return self.tag(1, ["div", "div", "section"], body, ["article", "content", "post", "entry", "story", "main", "entry-content", "post-body", "article-text"])
+        return self.tag(1, ["article", "article", "article", "main"], body, ["article", "content", "post", "entry", "story", "main"])
 
     def page(self) -> str:
         r = self.r
+        self.block = "div" if r.random() < 0.35 else "p"
         maybe = lambda make, p: make() if r.random() < p else ""
         top = maybe(self.notice, 0.2) + maybe(self.masthead, 0.35) + maybe(self.menu, 0.75) + maybe(self.advert, 0.5)
         middle = maybe(self.sidebar, 0.2) + (self.article() if r.random() < 0.97 else "") + maybe(self.related, 0.2) + maybe(self.comments, 0.25) + maybe(self.sidebar, 0.2) + maybe(self.advert, 0.15) + maybe(self.form, 0.15)
@@ -244,22 +263,35 @@ def node_labels(page: Page) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def fitted(pages: int = 500, seed: int = 7) -> BoostedTrees:
+def fitted(pages: int = 2500, seed: int = 7) -> BoostedTrees:
     maker = PageMaker(seed)
     parsed = [parse(maker.page()) for _ in range(pages)]
     return BoostedTrees().fit(node_features(parsed), np.concatenate([node_labels(p) for p in parsed]))
 
 
 def choose(page: Page, odds: list[float]) -> list[bool]:
-    """The best choice of nodes in which each kept node's parent is kept."""
+    """The best choice of nodes in which each kept node's parent is kept, and each kept node has text or a kept node in it."""
     parent = page.parent
+    n = len(parent)
     worth = [max(-4.0, min(4.0, x)) for x in odds]
-    for i in range(len(parent) - 1, 0, -1):
+    best: list[tuple[float, int]] = [(-1e9, -1)] * n  # the best child, for a node that has no text and no child worth keeping
+    gain = [0.0] * n
+    for i in range(n - 1, 0, -1):
+        if gain[i] > 0 or page.own[i]:
+            worth[i] += gain[i]
+        else:
+            worth[i] += best[i][0]
+        above = parent[i]
         if worth[i] > 0:
-            worth[parent[i]] += worth[i]
-    kept = [True] * len(parent)  # the page itself holds whatever is kept
-    for i in range(1, len(parent)):
-        kept[i] = kept[parent[i]] and worth[i] > 0
+            gain[above] += worth[i]
+        if worth[i] > best[above][0]:
+            best[above] = (worth[i], i)
+    kept = [True] * n  # the page itself holds whatever is kept
+    forced = [False] * n
+    for i in range(1, n):
+        kept[i] = kept[parent[i]] and (worth[i] > 0 or forced[i])
+        if kept[i] and not gain[i] > 0 and not page.own[i]:
+            forced[best[i][1]] = True
     return kept
 
 
@@ -276,7 +308,7 @@ def main_texts(pages: list[str], model: BoostedTrees) -> list[str]:
     return out
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, training_pages: int = 500) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, training_pages: int = 2500) -> DataFrame:
     """One row for each row of pages: id, url, text, n_chars."""
     model = fitted(training_pages)
 

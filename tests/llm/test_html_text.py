@@ -45,22 +45,27 @@ def test_any_markup_parses_to_a_tree(page):
     blocks_of(p, [True] * n)
 
 
+def sound(p, kept):
+    """Kept nodes stand in kept ones, and have text or a kept node in them."""
+    full = {p.parent[i] for i in range(1, len(kept)) if kept[i]}
+    return all(kept[p.parent[i]] and (p.own[i] or i in full) for i in range(1, len(kept)) if kept[i])
+
+
 @given(st.data())
-def test_no_kept_node_in_a_dropped_one(data):
+def test_no_contradictions(data):
     p = parse(PAGE)
     odds = data.draw(st.lists(st.floats(-6, 6), min_size=len(p.parent), max_size=len(p.parent)))
-    kept = H.choose(p, odds)
-    assert all(kept[p.parent[i]] for i in range(1, len(kept)) if kept[i])
+    assert sound(p, H.choose(p, odds))
 
 
 def test_choice_is_the_best():
     p = parse("<div><p>a</p><ul><li>b</li><li>c</li></ul></div><div>d</div>")
     n = len(p.parent)
     rng = np.random.default_rng(0)
-    for _ in range(30):
+    for _ in range(60):
         odds = rng.uniform(-3, 3, n).tolist()
         kept = H.choose(p, odds)
-        best = max(sum(odds[i] for i in range(1, n) if m >> i & 1) for m in range(1 << n) if m & 1 and all(m >> p.parent[i] & 1 for i in range(1, n) if m >> i & 1))
+        best = max(sum(odds[i] for i in range(1, n) if m >> i & 1) for m in range(1, 1 << n, 2) if sound(p, [bool(m >> i & 1) for i in range(n)]))
         assert abs(sum(odds[i] for i in range(1, n) if kept[i]) - best) < 1e-9
 
 
