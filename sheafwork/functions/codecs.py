@@ -26,35 +26,51 @@ def varint_sizes(values: np.ndarray) -> np.ndarray:
 
 def prefix_varints(values: np.ndarray) -> bytes:
     """The first byte's trailing zeros tell how many bytes follow."""
-    out = bytearray()
-    for v, n in zip(values.tolist(), varint_sizes(values).tolist(), strict=True):
-        if n == 9:
-            out += b"\0" + v.to_bytes(8, "little")
-        else:
-            out += ((v << n) | (1 << (n - 1))).to_bytes(n, "little")
-    return bytes(out)
+    v = values.astype(np.uint64)
+    sizes = varint_sizes(v)
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    starts = ends - sizes
+    # Up to eight bytes hold the value and the mark below it; nine are a zero and the value.
+    n = np.minimum(sizes, 8).astype(np.uint64)
+    word = np.where(sizes == 9, v, (v << n) | (np.uint64(1) << (n - np.uint64(1))))
+    shift = np.where(sizes == 9, 1, 0)
+    for k in range(8):
+        here = np.flatnonzero(sizes - shift > k)
+        out[starts[here] + shift[here] + k] = (word[here] >> np.uint64(8 * k)).astype(np.uint8)
+    return out.tobytes()
+
+
+def varint_starts(data: bytes, count: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value begins and its bytes."""
+    raw = np.frombuffer(data, np.uint8)
+    length_at = np.where(raw == 0, 9, trailing_zeros(raw) + 1).tolist()
+    starts, at, size = [], 0, len(data)
+    while at < size if count is None else len(starts) < count:
+        if at >= size:
+            raise InvalidFormat("a variable-length integer is cut off")
+        starts.append(at)
+        at += length_at[at]
+    if at > size:
+        raise InvalidFormat("a variable-length integer is cut off")
+    found = np.array(starts, np.int64)
+    return found, np.array([length_at[x] for x in starts], np.int64)
 
 
 def read_prefix_varints(data: bytes, count: int | None = None) -> np.ndarray:
-    out, at = [], 0
-    while at < len(data) if count is None else len(out) < count:
-        if at >= len(data):
-            raise InvalidFormat("a variable-length integer is cut off")
-        first = data[at]
-        n = 9 if first == 0 else (first & -first).bit_length()
-        if at + n > len(data):
-            raise InvalidFormat("a variable-length integer is cut off")
-        out.append(int.from_bytes(data[at + 1 : at + 9], "little") if n == 9 else int.from_bytes(data[at : at + n], "little") >> n)
-        at += n
-    return np.array(out, np.uint64)
+    starts, sizes = varint_starts(data, count)
+    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(9, np.uint8)))
+    shift = np.where(sizes == 9, 1, 0)
+    word = np.zeros(len(starts), np.uint64)
+    for k in range(8):
+        here = np.flatnonzero(sizes - shift > k)
+        word[here] |= raw[starts[here] + shift[here] + k].astype(np.uint64) << np.uint64(8 * k)
+    return np.where(sizes == 9, word, word >> np.minimum(sizes, 8).astype(np.uint64))
 
 
 def suffix_varints(values: np.ndarray) -> bytes:
     """As prefix_varints, with the telling byte last, to be read from the end."""
-    out = bytearray()
-    for v, n in zip(values.tolist(), varint_sizes(values).tolist(), strict=True):
-        out += prefix_varints(np.array([v], np.uint64))[:n][::-1]
-    return bytes(out)
+    return prefix_varints(np.asarray(values)[::-1])[::-1]
 
 
 def read_suffix_varints(data: bytes) -> np.ndarray:
@@ -62,25 +78,28 @@ def read_suffix_varints(data: bytes) -> np.ndarray:
     return read_prefix_varints(data[::-1])[::-1]
 
 
-def simple16_layout(values: list[int]) -> list[tuple[int, int]]:
+def simple16_layout(values: np.ndarray) -> list[tuple[int, int]]:
     """(layout, numbers taken) of each word: the layout that takes the most, the first of equals."""
+    n = len(values)
+    widths = np.maximum(1, bit_lengths(np.asarray(values, np.uint64)))
+    if n and widths.max() > 28:
+        raise ValueError("a number doesn't fit in 28 bits")
+    ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate((widths, np.zeros(28, np.int64))), 28)[:n]
+    best = np.zeros(n, np.int64)
+    for k in range(len(LAYOUTS) - 1, -1, -1):  # which layout fits from each place on
+        best[(ahead[:, : len(LAYOUTS[k])] <= LAYOUTS[k]).all(axis=1)] = k
+    best = best.tolist()
     out, at = [], 0
-    widths = [max(1, v.bit_length()) for v in values]
-    while at < len(values):
-        for k, layout in enumerate(LAYOUTS):
-            n = min(len(layout), len(values) - at)
-            if all(widths[at + i] <= layout[i] for i in range(n)):
-                out.append((k, n))
-                at += n
-                break
-        else:
-            raise ValueError("a number doesn't fit in 28 bits")
+    while at < n:
+        taken = min(len(LAYOUTS[best[at]]), n - at)
+        out.append((best[at], taken))
+        at += taken
     return out
 
 
 def simple16(values: np.ndarray) -> bytes:
-    values, out, at = values.tolist(), bytearray(), 0
-    for k, n in simple16_layout(values):
+    layout, values, out, at = simple16_layout(values), values.tolist(), bytearray(), 0
+    for k, n in layout:
         word, shift = k << 28, 0
         for v, bits in zip(values[at : at + n], LAYOUTS[k], strict=False):
             word |= v << shift
@@ -239,8 +258,9 @@ def read_text_block(data: bytes, lengths: list[int]) -> list[bytes]:
 
 
 def length_prefixed(texts: list[bytes]) -> bytes:
-    heads = [prefix_varints(np.array([len(t)], np.uint64)) for t in texts]
-    return b"".join(x for pair in zip(heads, texts, strict=True) for x in pair)
+    lengths = np.array([len(t) for t in texts], np.uint64)
+    heads, ends = prefix_varints(lengths), np.cumsum(varint_sizes(lengths)).tolist()
+    return b"".join(x for t, a, b in zip(texts, [0, *ends], ends, strict=False) for x in (heads[a:b], t))
 
 
 def read_length_prefixed(data: bytes, count: int) -> list[bytes]:
@@ -250,7 +270,7 @@ def read_length_prefixed(data: bytes, count: int) -> list[bytes]:
             raise InvalidFormat("too few texts")
         first = data[at]
         n = 9 if first == 0 else (first & -first).bit_length()
-        size = int(read_prefix_varints(data[at : at + n], 1)[0])
+        size = int.from_bytes(data[at + 1 : at + 9], "little") if n == 9 else int.from_bytes(data[at : at + n], "little") >> n
         at += n
         if at + size > len(data):
             raise InvalidFormat("a text is cut off")

@@ -44,7 +44,7 @@ def width_of(values: np.ndarray) -> str:
 def int_candidates(values: np.ndarray, top: int, width: str, options: EncodeOptions, in_runs: bool) -> dict[str, int]:
     found = {}
     if width != "u64" and top <= codecs.SIMPLE16_MAX:
-        found["Simple16"] = 4 * len(codecs.simple16_layout(values.tolist()))
+        found["Simple16"] = 4 * len(codecs.simple16_layout(values))
     if width == "u32" and len(values) >= 2 and not in_runs:
         found["DeltaZig"] = int(codecs.varint_sizes(codecs.delta_zigzag(values)).sum())
     if width == "u8":

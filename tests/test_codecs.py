@@ -29,7 +29,7 @@ def test_varints_of_few_bits():
 def test_simple16(values):
     a = np.array(values, np.uint64)
     data = K.simple16(a)
-    assert len(data) == 4 * len(K.simple16_layout(values)) and K.read_simple16(data, len(values)).tolist() == values
+    assert len(data) == 4 * len(K.simple16_layout(a)) and K.read_simple16(data, len(values)).tolist() == values
 
 
 def test_simple16_limits():
