@@ -16,7 +16,7 @@ included. Strings are judged on the input.
    statistics of `length` or more are marked.
 4. Marked strings are united for each document, and the rest of its bytes is put together.
 
-A hash under which more than `block_bytes` x 8 of different contexts are filed does not go through an index: the strings of
+A hash under which more than `block_bytes` of different contexts are filed does not go through an index: the strings of
 its contexts are hashed (128 bits), once for each task, and dealt out by that hash. No number of contexts makes that too
 large for a task.
 
@@ -323,7 +323,7 @@ def repeated_starts(docs: DataFrame, length: int, block_bytes: int) -> DataFrame
     starts = found.filter("hash is null").select("id", "version", "a", "e")
     contents = found.filter("hash is not null")
     by_hash = contents.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("e") - F.col("a") + length + 1).alias("bytes"), F.max("open").alias("any_open"), F.max(F.col("open") & F.col("inner")).alias("any_inner"))
-    by_hash = written(by_hash.filter("any_open and kinds > 1 or any_inner").select("hash", (F.col("bytes") > 8 * block_bytes).alias("large")), "repeat-hashes")
+    by_hash = written(by_hash.filter("any_open and kinds > 1 or any_inner").select("hash", (F.col("bytes") > block_bytes).alias("large")), "repeat-hashes")
     # Both sides are plain exchanges, so that a hash with very many contents is split over tasks.
     wanted = contents.join(by_hash, "hash").groupBy("id", "version").agg(F.collect_list(F.struct("hash", "a", "e", "open", "large")).alias("wanted"))  # of one document
     cut = docs.join(wanted, same_document(docs, wanted)).select(docs["id"], docs["version"], docs["text"].cast("binary").alias("text"), F.explode("wanted").alias("w"))
