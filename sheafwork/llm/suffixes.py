@@ -46,7 +46,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
 
 
 def suffix_array_of_bytes(text: np.ndarray) -> np.ndarray:
-    """As suffix_array, from the order by eight bytes at once. The byte 0xFE must not occur: it stands for the end."""
+    """As suffix_array, from the order by eight bytes at once. The last byte must be 0xFE, which occurs nowhere else."""
     if len(text) < 2:
         return np.arange(len(text))
     padded = np.concatenate((text, np.full(7, 0xFE, np.uint8)))
