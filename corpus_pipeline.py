@@ -10,7 +10,7 @@ from sheafwork.llm.decontamination import find_leaks
 from sheafwork.llm.mixing import take_mixed
 from sheafwork.llm.quality import keep_quality
 from sheafwork.llm.sharding import assign_shards
-from sheafwork.llm.simhash import Check, near_dedup
+from sheafwork.llm.simhash import Similar, similar_dedup
 
 #: Shares of expected tokens. What is good now stays; the rest is brought down to its share of that.
 TARGETS = {"good": 0.99, "poor": 0.01, "toxic": 0.0}
@@ -24,10 +24,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest identifier.
 
-    Candidates: six fingerprints of the different words, of which one is within 2 bits, by covering masks. Decision: a
-    similarity of 0.8 or more in shingles of five words, as a fingerprint of 128 bits tells.
+    Candidates: fingerprints of shingles of five words within 2 bits, by covering masks, and 42 bands of min-wise hashes of the
+    same shingles. Decision: an exact Jaccard similarity of 0.8 or more in these shingles.
     """
-    return near_dedup(docs, shingle=0, radius=2, check=Check(shingle=5))
+    return similar_dedup(docs, radius=2, similar=Similar(shingle=5, least=0.8))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,10 @@ out again, with nothing dropped:
 
 With a check (see Check), several fingerprints are searched and a longer one decides.
 
+With a similarity (see Similar), pairs are decided by the exact Jaccard similarity of their texts' sets of shingles. Candidates
+are what meets in the covering tables of the shingles' fingerprint or in one of the bands of min-wise hashes of the same shingles,
+which depend on the similarity alone and not on the kind of edit.
+
 Components come from a distributed forest of smallest neighbours, of which each round is written to the shared folder.
 
 Defined results: null and empty texts, and texts without words, have fingerprint 0, which is linked like any other. Texts of
@@ -59,6 +63,21 @@ class Check:
     prints: int = 6
 
 
+@dataclass(frozen=True)
+class Similar:
+    """Linked if the sets of shingles of `shingle` words have a Jaccard similarity of `least` or more, counted exactly.
+
+    A pair of similarity j agrees in a min-wise hash with probability j, so it misses all `bands` bands of `rows` hashes with
+    (1 - j ** rows) ** bands: 6e-8 at 0.8, less above. Buckets of up to `few` texts give pairs; larger ones are decided whole.
+    """
+
+    shingle: int = 5
+    least: float = 0.8
+    bands: int = 42
+    rows: int = 5
+    few: int = 16
+
+
 def word_list(text: bytes) -> list[bytes]:
     """Words of a text: A-Z in lower case, parted by space and \\x09-\\x0D."""
     return text.lower().split()
@@ -361,6 +380,162 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(words: bytes, shingle: int) -> set[bytes]:
+    return set(joined_shingles(words.split(), shingle))
+
+
+def alike(a: set[bytes], b: set[bytes], least: float) -> bool:
+    if not a or not b:
+        return len(a) == len(b)
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= least * (len(a) + len(b) - both)
+
+
+def search_keys(shingles: set[bytes], how: Similar, radius: int) -> list[int]:
+    """A key for each covering table of the shingles' fingerprint and one for each band."""
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(x, HASH_SEED) for x in shingles), np.uint64, len(shingles))
+    fp = int.from_bytes(majority(hashes.astype(">u8").view(np.uint8), 64), "big")
+    odd = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, how.bands * how.rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(odd), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (odd[:, None] * hashes[None, at : at + 1024]).min(axis=1), out=least)
+    bands = least.reshape(how.bands, how.rows)
+    return [signed(fp & m) for m in covering_masks(radius)] + [signed(digest(b.tobytes())) for b in bands]
+
+
+def bucket_pairs(few: int):
+    """Rows (bucket, node) sorted by both to pairs (a, b) of buckets of up to `few` nodes, and to rows (a, null, bucket) of larger ones."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # of the bucket that may go on
+        last = None
+
+        def finish(out: list) -> None:
+            nodes = np.concatenate(held)
+            if 1 < len(nodes) <= few:
+                x, y = np.triu_indices(len(nodes), 1)
+                out.append((nodes[x], nodes[y], None))
+            elif len(nodes) > few:  # equal buckets of several tables have one name
+                out.append((nodes, None, signed(xxhash.xxh64_intdigest(nodes.tobytes()))))
+
+        def rows(out: list) -> Iterator[pa.RecordBatch]:
+            for a, b, bucket in out:
+                n = len(a)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b), pa.nulls(n, pa.int64()) if bucket is None else pa.array(np.full(n, bucket))], schema=schema)
+
+        def merged(out: list) -> Iterator[pa.RecordBatch]:
+            pairs = [x for x in out if x[1] is not None]
+            if pairs:
+                pairs = [(np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs]), None)]
+            yield from rows(pairs + [x for x in out if x[1] is None])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, node = (batch.column(i).to_numpy() for i in range(2))
+            edges = np.flatnonzero(np.diff(bucket)) + 1
+            starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(bucket)]))
+            wide = (ends - starts > 1) | (starts == 0) | (ends == len(bucket))
+            out: list = []
+            for s, e in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True):
+                if held and last != bucket[s]:
+                    finish(out)
+                    held.clear()
+                last = bucket[s]
+                held.append(node[s:e])
+            yield from merged(out)
+        if held:
+            out = []
+            finish(out)
+            yield from merged(out)
+
+    return run
+
+
+def linked_sets(node: list[int], sets: list[set[bytes]], least: float, across: int = 0) -> list[tuple[int, int]]:
+    """Links that join all alike sets; across: only those before that place with those from it on. A pair that is joined already isn't compared."""
+    label, out = np.arange(len(sets)), []
+    for i in range(across or 1, len(sets)):
+        for j in range(across or i):
+            if label[j] != label[i] and alike(sets[i], sets[j], least):
+                label[label == label[i]] = label[j]
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+    return out
+
+
+def similar_links(marked: DataFrame, radius: int, how: Similar, block: int) -> DataFrame:
+    """Links (a, b) that join all alike nodes; marked: node, keys, words."""
+    spark = marked.sparkSession
+    searched = marked.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.posexplode("keys").alias("table", "key"))
+    met = searched.select(F.xxhash64("table", "key").alias("bucket"), "node").repartition(tasks(spark), "bucket").sortWithinPartitions("bucket", "node")
+    found = written(met.mapInArrow(bucket_pairs(how.few), "a long, b long, bucket long"), "sim-pairs")
+    pairs = written(found.filter("b is not null").select("a", "b").distinct(), "sim-different")
+    large = written(found.filter("b is null").select("bucket", F.col("a").alias("node")).distinct(), "sim-large")
+    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct(), "sim-wanted")
+    texts = written(marked.select("node", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sim-texts")
+    first, second = (texts.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}")) for c in "ab")
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, last, own = [], None, set()
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if b != last:
+                    last, own = b, shingle_set(y, how.shingle)
+                if alike(shingle_set(x, how.shingle), own, how.least):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    links = pairs.join(first, "a").join(second, "b").select("a", "b", "words_a", "words_b").mapInArrow(decided, "a long, b long")
+    if large.isEmpty():
+        return links
+    sizes = written(large.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "sim-sizes")
+    cut = large.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = cut.select("bucket", "own", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node").join(texts, "node")
+
+    def whole(key, rows):
+        rows = rows.sort_by([("own", "ascending"), ("node", "ascending")])
+        own = rows.column("own").to_numpy()
+        across = 0 if key[1].as_py() == key[2].as_py() else int((own == key[1].as_py()).sum())
+        alone = key[1].as_py() != key[2].as_py() and across in (0, len(own))
+        out = [] if alone else linked_sets(rows.column("node").to_pylist(), [shingle_set(w, how.shingle) for w in rows.column("words").to_pylist()], how.least, across)
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return links.unionByName(dealt.groupBy("bucket", "x", "y").applyInArrow(whole, "a long, b long"))
+
+
+def row_key(id_col: str, text_col: str):
+    """The identifier (or none) and the text of a row, as a string."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("none")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 2, similar: Similar = Similar(), block: int = 512) -> DataFrame:
+    """One row for each row of docs: id, key (see row_key), component. Texts of equal words are one node, by a hash of 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [b" ".join(word_list(t)) for t in binary_column(batch, "text")]
+            keys = [search_keys(shingle_set(w, similar.shingle), similar, radius) for w in words]
+            node = [signed(xxhash.xxh3_64_intdigest(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], ["id", "key", "node", "keys", "words"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    marked = written(narrow.mapInArrow(run, "id long, key string, node long, keys array<long>, words binary"), "sim-marked")
+    found = written(components(similar_links(marked, radius, similar, block)), "sim-cc")
+    return marked.select("id", "key", "node").join(found, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
+
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each group, with all its columns: the one with the smallest identifier; one without only if none has one."""
+    chosen = similar_groups(docs, id_col, text_col, **how).groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least"))
+    stay = chosen.select(F.col("least.key").alias("__key"))
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs whose identifier is the smallest of its group, one row each, with all their columns."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))

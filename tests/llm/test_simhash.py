@@ -67,6 +67,33 @@ def test_checked_links(spark, limit):
     assert all(out[i] == out[j] for (i, _), c in zip(rows, near, strict=True) for (j, _), d in zip(rows, near, strict=True) if c == d)
 
 
+def edited(r, words, kind):
+    n, k = len(words), len(words) // 10
+    if kind == "append":
+        return words + [f"new{r.random()}" for _ in range(k)]
+    if kind == "truncate":
+        return words[: n - k]
+    at = r.randrange(k, n - 2 * k)
+    if kind == "block":
+        return words[:at] + [f"new{r.random()}" for _ in range(k)] + words[at + k :]
+    return [f"new{r.random()}" if i % 50 == 7 else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_all_kinds_of_edits_are_linked(spark, few):
+    r, rows = random.Random(3), corpus(7)
+    for k in range(80):
+        words = [f"{r.choice('abcdefghij')}{r.randrange(400)}" for _ in range(r.randint(80, 500))]
+        rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join(edited(r, words, ["append", "truncate", "block", "word"][k % 4])))]
+    sets = [S.shingle_set(b" ".join(S.word_list((t or "").encode())), 5) for _, t in rows]
+    want = components([i for i, _ in rows], lambda i, j: (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1) >= 0.8)
+    groups = {}
+    for x in S.similar_groups(documents(spark, rows), similar=S.Similar(few=few), block=8).collect():
+        groups.setdefault(x.component, []).append(x.id)
+    assert {i: min(g) for g in groups.values() for i in g} == {i: c for (i, _), c in zip(rows, want, strict=True)}
+    assert sum(c != i for (i, _), c in zip(rows, want, strict=True)) > 50
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 150)] + [(200, 201), (201, 200), (300, 300)]
     out = {r.node: r.component for r in S.components(spark.createDataFrame(links, "a long, b long")).collect()}
