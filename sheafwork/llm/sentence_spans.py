@@ -1,7 +1,7 @@
 """Substring deduplication by sentences: sliding sentence spans.
 
-Each sentence starts a span: as many consecutive sentences as are needed to have `sentences` of them and `words` words. Spans
-are hashed (128 bits, A-Z in lower case, white space as one space) and joined over the whole corpus; of spans with one hash
+Each sentence starts a span: as many consecutive sentences as are needed to have `sentences` of them and `words` words. With no
+minimum of words, as the query has it, every longer repeated run is covered by its spans to its last sentence. Spans are hashed (128 bits, A-Z in lower case, white space as one space) and joined over the whole corpus; of spans with one hash
 the first, by identifier and then by place, stays, and each sentence that a later one covers is removed.
 
 A task passes on the first span of each hash that it has and knows at once that its others are later ones; so a span leaves

@@ -66,6 +66,39 @@ def test_report_matches_brute_force(spark):
     assert got == want and any(w[2] for w in want)
 
 
+def removed_runs(texts, weigh, least, parts_of):
+    """Parts of later occurrences of all runs, of any length, that weigh enough."""
+    first, gone = {}, set()
+    for i, t in enumerate(texts):
+        parts = parts_of(t)
+        for a in range(len(parts)):
+            for e in range(a + 1, len(parts) + 1):
+                if sum(weigh(p) for p in parts[a:e]) >= least and first.setdefault(str([p[0] for p in parts[a:e]]), (i, a)) != (i, a):
+                    gone.update((i, k) for k in range(a, e))
+    return gone
+
+
+def test_all_runs_of_sentences_without_a_minimum_of_words(spark):
+    from sheafwork.llm import queries
+
+    tail = "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18. x1 x2 x3 x4 x5 x6 x7. y1 y2 y3 y4 y5."
+    rows = [(1, f"Own start here. {tail} Its own end."), (2, f"Another one here. {tail} And another end of it."), (3, "Short one. And two. Alone is this."), (4, "Not this. Short one. And two.")]
+    gone = removed_runs([t for _, t in rows], lambda p: 1, 2, lambda t: [(t[a:b].strip(), 1) for a, b in cut(t)])
+    seen = {}
+    for r in queries.span_report(documents(spark, rows), **how_of(queries.op10_sentence_spans)).collect():
+        seen[r.doc_id] = r.n_removed
+    assert seen == {i + 1: sum(k[0] == i for k in gone) for i in range(4)} == {1: 0, 2: 3, 3: 0, 4: 2}
+
+
+def how_of(query):
+    """What a query passes to span_report."""
+    from unittest.mock import patch
+
+    with patch("sheafwork.llm.queries.table"), patch("sheafwork.llm.queries.span_report") as asked:
+        query(None, "")
+    return asked.call_args.kwargs
+
+
 def test_sentences():
     assert [b"One. Two?\nThree"[a:b] for a, b in sentences_of(b"One. Two?\nThree")] == [b"One. ", b"Two?\n", b"Three"]
     assert sentences_of(b"") == sentences_of(b" \n ") == []
