@@ -56,7 +56,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_report(table(spark, sf_dir, "documents"), sentences=2, words=0)
+    return span_report(table(spark, sf_dir, "documents"), sentences=2, words=0, pieces=5)
 
 
 OP2_SQL = """

@@ -9,7 +9,10 @@ a task once, however often it is there. Spans are then dealt out by hash and sor
 hash is gathered, and rows of one hash pass one at a time.
 
 Sentences end after . ! or ? before white space, and at line ends. A sentence of over 40 words is cut in pieces, each of which
-counts as a sentence; else text without marks could not repeat. A removed sentence takes the white space after it along.
+counts as a sentence; else text without marks could not repeat. With `pieces` the cuts are dense: after the word whose hash is the
+least of seven consecutive words, for every seven. So equal passages have equal cuts from their seventh word on, none over seven
+words apart, and `pieces` pieces weigh as much as `sentences` sentences. Spans are then the shortest runs that weigh enough,
+from every start and to every end; every repeated run that weighs enough is covered by them whole. A removed sentence takes the white space after it along.
 
 Defined results: null and empty texts have no sentences; texts that never reach a span's length have none and lose nothing.
 Rows with the same identifier and the same text are one document, of which all rows lose the same sentences and none loses
@@ -39,8 +42,16 @@ NOT_SPACE = re.compile(rb"\S+")
 LONG = 40  # words
 
 
-def sentences_of(text: bytes) -> list[tuple[int, int]]:
+REACH = 7  # words
+
+
+def sentences_of(text: bytes, dense: bool = False) -> list[tuple[int, int]]:
     """Start of each sentence and of the next one."""
+    return [(a, b) for a, b, _ in parts_of(text, dense)]
+
+
+def parts_of(text: bytes, dense: bool) -> list[tuple[int, int, bool]]:
+    """Start of each sentence or piece and of the next one, and whether it is a piece."""
     edges = [0] + [m.end() for m in BREAK.finditer(text)]
     if edges[-1] != len(text):
         edges.append(len(text))
@@ -48,12 +59,35 @@ def sentences_of(text: bytes) -> list[tuple[int, int]]:
     for a, b in zip(edges, edges[1:]):
         n = len(text[a:b].split()) if b - a > LONG else 1
         if n > LONG:
-            out += pieces_of(text, a, b)
+            out += [(x, y, True) for x, y in (dense_pieces if dense else pieces_of)(text, a, b)]
         elif n and text[a:b].strip():
-            out.append((a, b))
+            out.append((a, b, False))
     return out
 
 
+def dense_pieces(text: bytes, a: int, b: int) -> list[tuple[int, int]]:
+    words = [(m.start(), zlib.crc32(m[0].lower())) for m in NOT_SPACE.finditer(text, a, b)]
+    hashes = np.array([h for _, h in words], np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, REACH)[:, ::-1].argmin(axis=1)  # the last of equal ones
+    ends = np.unique(np.arange(len(least)) + REACH - 1 - least) + 1
+    edges = [a, *[words[k][0] for k in ends.tolist() if k < len(words)], b]
+    return list(zip(edges, edges[1:]))
+
+
+def windows_of(text: bytes, sentences: int, pieces: int) -> Iterator[tuple[bytes, int, int]]:
+    """Hash, first part and number of parts of the shortest runs that weigh enough, from every start and to every end."""
+    parts = parts_of(text, True)
+    digests = [xxhash.xxh3_128_digest(b" ".join(text[a:b].lower().split())) for a, b, _ in parts]
+    weight = np.cumsum([0] + [sentences if piece else pieces for _, _, piece in parts])
+    starts = np.arange(len(parts))
+    ends = np.searchsorted(weight, weight[:-1] + sentences * pieces)
+    froms = np.searchsorted(weight, weight[1:] - sentences * pieces, side="right") - 1
+    found = set(zip(starts[ends <= len(parts)].tolist(), ends[ends <= len(parts)].tolist()))
+    found.update(zip(froms[froms >= 0].tolist(), (starts[froms >= 0] + 1).tolist()))
+    for i, e in sorted(found):
+        yield xxhash.xxh3_128_digest(b"".join(digests[i:e])), i, e - i
+
+
 def pieces_of(text: bytes, a: int, b: int) -> list[tuple[int, int]]:
     """A long sentence's pieces. They end after words with a certain hash, so that equal passages have equal ends, or else after LONG words."""
     out, start, n, ended = [], a, 0, False
@@ -91,7 +125,7 @@ def order_of(i: int | None, version: int, at: int) -> tuple:
     return (i is not None, i or 0, version, at)
 
 
-def local_firsts(least: int, words: int, most: int = 200_000):
+def local_firsts(least: int, words: int, pieces: int = 0, most: int = 200_000):
     """Documents (id, version, text) to the task's first span of each hash, and to its later ones, which are dealt out anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +133,7 @@ def local_firsts(least: int, words: int, most: int = 200_000):
         for batch in batches:
             out: list[tuple] = []
             for text, i, version in zip(binary_column(batch, "text"), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for h, at, n in spans_of(text, least, words):
+                for h, at, n in windows_of(text, least, pieces) if pieces else spans_of(text, least, words):
                     own, new = first.get(h), (i, version, at, n)
                     if own is None:
                         first[h] = new
@@ -167,12 +201,14 @@ RESULT = pa.schema([("id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed
 RESULT_DDL = "id long, n_sentences long, n_removed long, bytes_removed long, kept_sha256 string, kept string"
 
 
-def without_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sentences: int = 2, words: int = 24, texts: bool = True) -> DataFrame:
+def without_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sentences: int = 2, words: int = 24, pieces: int = 0, texts: bool = True) -> DataFrame:
     """One row for each row of docs: id, n_sentences, n_removed, bytes_removed, kept_sha256 and, if `texts`, the kept text."""
-    n = tasks(docs.sparkSession)
+    if words and pieces:
+        raise ValueError("spans are by words or by pieces")
+    n, dense = tasks(docs.sparkSession), pieces > 0
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    spans = narrow.mapInArrow(local_firsts(sentences, words), ROWS_DDL)
+    spans = narrow.mapInArrow(local_firsts(sentences, words, pieces), ROWS_DDL)
     later = spans.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2", "id", "version", "at").mapInArrow(later_spans, LATER_DDL)
     gone = later.groupBy("id", "version").agg(F.collect_list(F.struct("at", "n")).alias("gone"))  # of one document's sentences
     joined = narrow.join(gone, narrow["id"].eqNullSafe(gone["id"]) & (narrow["version"] == gone["version"]), "left").select(narrow["id"], narrow["text"], "gone")
@@ -181,7 +217,7 @@ def without_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             out = []
             for i, data, own in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), batch.column(2).to_pylist(), strict=True):
-                parts = sentences_of(data)
+                parts = sentences_of(data, dense)
                 marked = np.zeros(len(parts) + 1, np.int64)
                 for x in own or ():
                     marked[x["at"]] += 1

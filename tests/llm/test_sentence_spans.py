@@ -90,6 +90,26 @@ def test_all_runs_of_sentences_without_a_minimum_of_words(spark):
     assert seen == {i + 1: sum(k[0] == i for k in gone) for i in range(4)} == {1: 0, 2: 3, 3: 0, 4: 2}
 
 
+def test_passages_without_marks(spark):
+    import random
+
+    from sheafwork.llm import queries
+    from sheafwork.llm import sentence_spans as S
+
+    r, rows = random.Random(5), []
+    words = lambda n: " ".join("".join(r.choice("abcdeiorstn") for _ in range(r.randint(2, 7))) for _ in range(n))
+    for k in range(40):
+        passage = words(50)
+        rows += [(2 * k, f"{words(60)} {passage} {words(60)}"), (2 * k + 1, f"{words(45)} {passage} {words(70)}. {words(6)}.")]
+    rows += [(100, f"{rows[0][1]}. Two more. {words(50)}"), (101, f"Two more. {rows[2][1]}. Two more. {words(44)}")]
+    out = {x.doc_id: x for x in queries.span_report(documents(spark, rows), **how_of(queries.op10_sentence_spans)).collect()}
+    for k in range(40):
+        assert out[2 * k].n_removed == 0 and out[2 * k + 1].bytes_removed > 36 * 3
+    parts = lambda t: [(t[a:b].strip().lower(), piece) for a, b, piece in S.parts_of(t.encode(), True)]
+    gone = removed_runs([t for _, t in rows], lambda p: 2 if p[1] else 5, 10, parts)
+    assert {i: x.n_removed for i, x in out.items()} == {i: sum(g[0] == k for g in gone) for k, (i, _) in enumerate(rows)}
+
+
 def how_of(query):
     """What a query passes to span_report."""
     from unittest.mock import patch
