@@ -126,3 +126,32 @@ def test_sentences():
 
 def test_empty_table(spark):
     assert without_spans(empty(spark)).count() == 0
+
+
+def test_later_spans_across_batches():
+    import random
+
+    import pyarrow as pa
+
+    from sheafwork.llm import sentence_spans as S
+
+    r = random.Random(3)
+    for ids, kind in ((range(3), pa.int64()), ("abc", pa.string())):
+        rows = [(r.randint(0, 4), r.randint(0, 1), r.choice([None, *ids]), r.randint(0, 1), r.randint(0, 2), 2, False) for _ in range(300)]
+        rows.sort(key=lambda x: (x[:2], x[2] is not None, x[2] or ids[0], x[3:5]))
+        want, lead = [], {}
+        for x in rows:
+            if lead.setdefault(x[:2], x[2:5]) != x[2:5]:
+                want.append(x[2:6])
+        batches, at = [], 0
+        while at < len(rows):
+            some = rows[at : at + r.randint(1, 40)]
+            at += len(some)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), [pa.int64(), pa.int64(), kind, pa.int64(), pa.int32(), pa.int32(), pa.bool_()])], S.NAMES))
+        assert [tuple(x.values()) for b in S.later_spans(iter(batches)) for x in b.to_pylist()] == want
+
+
+def test_text_identifiers(spark):
+    rows = [("b", "One here now. Two there then. Three."), ("a", "Zero. One here now. Two there then."), (None, "Nothing. One here now. Two there then.")]
+    got = {x.doc_id: x.n_removed for x in without_spans(spark.createDataFrame(rows, "doc_id string, text string"), words=0, pieces=5).collect()}
+    assert got == {None: 0, "a": 2, "b": 2}
