@@ -10,18 +10,16 @@ So every pair within the radius meets in some of the 2^(radius + 1) - 1 tables;
 
 Only different fingerprints enter the tables, however many rows share one. A bucket's fingerprints are compared in blocks
 and only a spanning forest of the links leaves the task, never all pairs. A bucket over `bucket_limit` fingerprints is dealt
-out again, with nothing dropped:
+out again, with nothing dropped: each of its fingerprints is sent to all points within `near` bits of it, half the radius rounded
+down, and to those within `far` bits, the rest of the radius. Two fingerprints are within the radius just if one has a near
+point that is a far point of the other, so all that meet in a point that is near for someone are linked to that one.
 
-* Plain links with an even radius: every fingerprint of the bucket is sent to all points within half the radius of it, and
-  those that meet in a point are linked to the point's smallest. Two fingerprints are within the radius just if they share
-  such a point.
-* Links with a check, or an odd radius: the bucket is cut in blocks and one task compares each pair of blocks.
-
-With a check (see Check), several fingerprints are searched and a longer one decides.
-
-With a similarity (see Similar), pairs are decided by the exact Jaccard similarity of their texts' sets of shingles. Candidates
+With a similarity (see Similar), pairs are decided by the Jaccard similarity of their texts' sets of shingles. Candidates
 are what meets in the covering tables of the shingles' fingerprint or in one of the bands of min-wise hashes of the same shingles,
-which depend on the similarity alone and not on the kind of edit.
+which depend on the similarity alone and not on the kind of edit. A bucket of few texts gives its pairs. In a larger one all
+are compared with one of them, and with a second one if not all are in one component then. What still stands in different
+components of a bucket is compared in blocks: blocks of the bucket's largest component only with blocks of the others. So a
+group of many copies costs a comparison for each copy and bucket, and no pair that could join two components is left out.
 
 Components come from a distributed forest of smallest neighbours, of which each round is written to the shared folder.
 
@@ -42,33 +40,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheafwork.llm.common import binary_column, tasks, written
 
 HASH_SEED = 42
 
 
-@dataclass(frozen=True)
-class Check:
-    """Candidates are decided by a fingerprint of 128 bits over shingles of `shingle` words: linked if within `bits` bits.
-
-    Two random vectors' signs differ with probability angle / pi; for two sets of similarity (Jaccard) j and equal sizes
-    the cosine is 2j / (1 + j). For 0.8 that is 27.3 degrees or 19.4 of 128 bits; with the fingerprint's own spread of 4
-    bits, `bits` is where a pair at that similarity is likelier linked than not. Candidates are the pairs that one of
-    `prints` independent fingerprints of 64 bits has within the radius, and what else meets in their tables.
-    """
-
-    shingle: int = 5
-    bits: int = 22
-    prints: int = 6
-
-
 @dataclass(frozen=True)
 class Similar:
-    """Linked if the sets of shingles of `shingle` words have a Jaccard similarity of `least` or more, counted exactly.
+    """Linked if the sets of shingles of `shingle` words, told apart by hashes of 64 bits, have a Jaccard similarity of `least` or more.
 
     A pair of similarity j agrees in a min-wise hash with probability j, so it misses all `bands` bands of `rows` hashes with
-    (1 - j ** rows) ** bands: 6e-8 at 0.8, less above. Buckets of up to `few` texts give pairs; larger ones are decided whole.
+    (1 - j ** rows) ** bands: 6e-8 at 0.8, less above. Buckets of up to `few` texts give pairs; larger ones are decided whole, in blocks of `block`.
     """
 
     shingle: int = 5
@@ -76,6 +60,7 @@ class Similar:
     bands: int = 42
     rows: int = 5
     few: int = 16
+    block: int = 512
 
 
 def word_list(text: bytes) -> list[bytes]:
@@ -120,33 +105,24 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(majority(hashes, 64), "big")
 
 
-def long_fingerprint(text: bytes, shingle: int, seed: int = HASH_SEED) -> bytes:
-    """128 bits."""
-    digest = xxhash.xxh3_128_digest
-    return majority(np.frombuffer(b"".join([digest(x, seed) for x in features(text, shingle)]), np.uint8), 128)
-
-
-def searched_fingerprints(text: bytes, shingle: int, prints: int) -> list[int]:
-    """Several independent fingerprints of 64 bits."""
-    whole = b"".join(long_fingerprint(text, shingle, HASH_SEED + 1 + k) for k in range(-(-prints // 2)))
-    return [int.from_bytes(whole[8 * k : 8 * k + 8], "big", signed=True) for k in range(prints)]
-
-
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, check: Check | None) -> DataFrame:
-    """id, fp (as a signed long), fps (all that are searched) and, where links are checked, second (16 bytes)."""
+def id_kind(docs: DataFrame, id_col: str) -> str:
+    """Identifiers are whole numbers or else text."""
+    return "long" if isinstance(docs.schema[id_col].dataType, T.IntegralType) else "string"
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """id, fp (as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary_column(batch, "text")
-            fps = [searched_fingerprints(t, shingle, check.prints) if check else [signed(fingerprint(t, shingle))] for t in texts]
-            second = [long_fingerprint(t, check.shingle) if check else b"" for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in fps], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(second, pa.binary())], ["id", "fp", "fps", "second"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signed(fingerprint(t, shingle)) for t in binary_column(batch, "text")], pa.int64())], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, fps array<long>, second binary")
+    kind = id_kind(docs, id_col)
+    return docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -168,18 +144,11 @@ def unite(parent: dict[int, int], a: int, b: int) -> None:
         parent[max(a, b)] = min(a, b)
 
 
-def near(fp: np.ndarray, second: np.ndarray | None, i: int, others: slice | np.ndarray, radius: int, bits: int) -> np.ndarray:
-    """Which of the others, that all met i in a table, are linked to it."""
-    if second is not None:
-        return np.bitwise_count(second[others] ^ second[i]).sum(axis=1) <= bits
-    return np.bitwise_count(fp[others] ^ fp[i]) <= radius
-
-
-def link_block(node: np.ndarray, fp: np.ndarray, second: np.ndarray | None, radius: int, bits: int, parent: dict[int, int]) -> None:
+def link_block(node: np.ndarray, fp: np.ndarray, radius: int, parent: dict[int, int]) -> None:
     """Unite the nodes of a bucket that are linked. Labels are kept as an array, so that a dense bucket costs no union for each pair."""
     label = np.arange(len(fp))
     for i in range(1, len(fp)):
-        own = label[:i][near(fp, second, i, slice(0, i), radius, bits)]
+        own = label[:i][np.bitwise_count(fp[:i] ^ fp[i]) <= radius]
         if len(own):
             first = own.min()
             if (own != first).any():
@@ -189,45 +158,35 @@ def link_block(node: np.ndarray, fp: np.ndarray, second: np.ndarray | None, radi
         unite(parent, int(node[i]), int(node[label[i]]))
 
 
-def words_of(second: np.ndarray | list) -> np.ndarray:
-    return np.frombuffer(b"".join(second), np.uint64).reshape(len(second), 2)
-
-
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("fp", pa.int64()), ("second", pa.binary())])
-LINKS_DDL = "a long, b long, bucket long, fp long, second binary"
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fp", pa.int64())])
+LINKS_DDL = "a long, b long, fp long"
 
 
 def forest_batch(parent: dict[int, int]) -> pa.RecordBatch:
     pairs = [(root(parent, x), x) for x in list(parent)]
     pairs = [(a, b) for a, b in pairs if a != b]
-    n = len(pairs)
-    none = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), none, none, pa.nulls(n, pa.binary())], schema=LINKS)
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.nulls(len(pairs), pa.int64())], schema=LINKS)
 
 
-def bucket_links(radius: int, check: Check | None, limit: int):
-    """Rows (bucket, node, fp, second) sorted by bucket to links; a bucket over the limit goes through as rows of its own."""
-    bits = check.bits if check else 0
+def bucket_links(radius: int, limit: int):
+    """Rows (bucket, node, fp) sorted by bucket to links; the rows of a bucket over the limit go through, without a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
         held: list[tuple] = []  # arrays of the bucket that may go on in the next batch
         over = None  # a bucket that is passed through
 
-        def passed(bucket, node, fp, second) -> pa.RecordBatch:
-            n = len(node)
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket)), pa.array(fp.view(np.int64)), pa.array(second, pa.binary())], schema=LINKS)
+        def passed(_, node, fp) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(fp.view(np.int64))], schema=LINKS)
 
         def finish() -> None:
             if len(held) > 1 or held and len(held[0][1]) > 1:
-                node, fp, second = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-                link_block(node, fp, words_of(second) if check else None, radius, bits, parent)
+                link_block(*(np.concatenate([h[i] for h in held]) for i in (1, 2)), radius, parent)
             held.clear()
 
         for batch in batches:
             bucket, node, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             fp = fp.view(np.uint64)
-            second = batch.column(3)
             if not len(bucket):
                 continue
             edges = np.flatnonzero(np.diff(bucket)) + 1
@@ -238,7 +197,7 @@ def bucket_links(radius: int, check: Check | None, limit: int):
                 b = int(bucket[s])
                 if held and held[0][0] != b:
                     finish()
-                part = (b, node[s:e], fp[s:e], np.array(second.slice(s, e - s).to_pylist(), object))
+                part = (b, node[s:e], fp[s:e])
                 if over == b:
                     yield passed(*part)
                     continue
@@ -261,80 +220,48 @@ def bucket_links(radius: int, check: Check | None, limit: int):
 
 
 def star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (point, node) sorted to a link of each node with the point's smallest."""
+    """Rows (point, far, node) sorted to a link of each node with the point's smallest near one, if it has one."""
     last, first = None, None
     for batch in batches:
         out = []
-        for point, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for point, far, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if point != last:
-                last, first = point, node
-            elif node != first:
+                last, first = point, None if far else node
+            elif first is not None and node != first:
                 out.append((first, node))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
 
-def ball(fp: int, reach: int) -> list[int]:
-    """All points within `reach` bits."""
-    return [fp] + [fp ^ sum(1 << b for b in some) for k in range(1, reach + 1) for some in combinations(range(64), k)]
+def flips(reach: int, least: int = 0) -> np.ndarray:
+    """All numbers of `least` to `reach` bits."""
+    return np.array([sum(1 << b for b in some) for k in range(least, reach + 1) for some in combinations(range(64), k)], np.uint64)
 
 
-def large_plain(rows: DataFrame, radius: int) -> DataFrame:
-    """Links inside buckets that are too large, by shared points; for an even radius."""
+def large_buckets(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of the nodes (node, fp) of buckets that are too large, by shared points."""
+    inner, outer = flips(radius // 2), flips(radius - radius // 2, radius // 2 + 1)  # none but near ones, for an even radius
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.array(ball(0, radius // 2), np.uint64)
         for batch in batches:
             node, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            for at in range(0, len(fp), 2048):
-                met = (fp[at : at + 2048, None] ^ flips).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.repeat(node[at : at + 2048], len(flips)))], ["point", "node"])
+            for some, far in ((inner, False), (outer, True)):
+                step = max(1, (1 << 20) // max(1, len(some)))
+                for at in range(0, len(fp) if len(some) else 0, step):
+                    met = (fp[at : at + step, None] ^ some).ravel().view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.full(len(met), far)), pa.array(np.repeat(node[at : at + step], len(some)))], ["point", "far", "node"])
 
-    n = tasks(rows.sparkSession)
-    met = rows.select("node", "fp").distinct().mapInArrow(points, "point long, node long")
-    return met.repartition(n, "point").sortWithinPartitions("point", "node").mapInArrow(star_links, "a long, b long")
+    met = rows.select("node", "fp").distinct().mapInArrow(points, "point long, far boolean, node long")
+    return met.repartition(tasks(rows.sparkSession), "point").sortWithinPartitions("point", "far", "node").mapInArrow(star_links, "a long, b long")
 
 
-def large_blocks(rows: DataFrame, radius: int, check: Check | None, block: int) -> DataFrame:
-    """Links inside buckets that are too large, each pair of blocks in one task's hands."""
-    sizes = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "sim-sizes")
-    cut = rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = cut.select("bucket", "own", "node", "fp", "second", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "fp", "second")
-    bits = check.bits if check else 0
-
-    def run(key, found):
-        fp = found.column("fp").to_numpy().view(np.uint64)
-        node, own = found.column("node").to_numpy(), found.column("own").to_numpy()
-        second = words_of(found.column("second").to_pylist()) if check else None
-        parent: dict[int, int] = {}
-        if key[1].as_py() == key[2].as_py():
-            link_block(node, fp, second, radius, bits, parent)
-        else:
-            left = np.flatnonzero(own == key[1].as_py())
-            for i in np.flatnonzero(own == key[2].as_py()):
-                for j in left[near(fp, second, i, left, radius, bits)]:
-                    unite(parent, int(node[i]), int(node[j]))
-        forest = forest_batch(parent)
-        return pa.table({"a": forest.column(0), "b": forest.column(1)})
-
-    return pairs.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
-
-
-def near_links(nodes: DataFrame, radius: int, check: Check | None, bucket_limit: int) -> DataFrame:
-    """Links (a, b), a < b, that join all nodes (node, fps, second) that are linked."""
-    spark = nodes.sparkSession
-    masks = covering_masks(radius)
-    searched = nodes.select("node", "second", F.posexplode("fps").alias("print", "fp"))
-    keys = F.array(*[F.xxhash64("print", F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
-    met = searched.select(F.explode(keys).alias("bucket"), "node", "fp" if check is None else F.lit(0).cast("long").alias("fp"), "second").repartition(tasks(spark), "bucket").sortWithinPartitions("bucket")
-    found = written(met.mapInArrow(bucket_links(radius, check, bucket_limit), LINKS_DDL), "sim-links")
+def near_links(nodes: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """Links (a, b) that join all nodes (node, fp) that are linked."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(covering_masks(radius))])
+    met = nodes.select(F.explode(keys).alias("bucket"), "node", "fp").repartition(tasks(nodes.sparkSession), "bucket").sortWithinPartitions("bucket")
+    found = written(met.mapInArrow(bucket_links(radius, bucket_limit), LINKS_DDL), "sim-links")
     links = found.filter("b is not null").select("a", "b")
     if not found.filter("b is null").isEmpty():
-        rows = found.filter("b is null").select("bucket", F.col("a").alias("node"), "fp", "second")
-        if check is None and radius % 2 == 0:
-            links = links.unionByName(large_plain(rows, radius))
-        else:
-            links = links.unionByName(large_blocks(rows, radius, check, bucket_limit // 2 or 1))
+        links = links.unionByName(large_buckets(found.filter("b is null").select(F.col("a").alias("node"), "fp"), radius))
     return links
 
 
@@ -363,40 +290,43 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 2, check: Check | None = None, bucket_limit: int = 4096) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 2, bucket_limit: int = 4096) -> DataFrame:
     """One row for each row of docs: id, fingerprint (16 hex digits), component_id.
 
     shingle: words of a feature, 0 for single different words. radius: bits in which linked fingerprints may differ.
-    check: a longer fingerprint that decides, where the others only search; the fingerprint returned is then the first of those.
     """
-    marked = written(fingerprints(docs, id_col, text_col, shingle, check), "sim-fp")
-    nodes = written(marked.groupBy("fp", "second").agg(F.min("id").alias("least"), F.first("fps").alias("fps")).withColumn("node", F.monotonically_increasing_id()), "sim-nodes")
-    found = written(components(near_links(nodes.select("node", "fps", "second"), radius, check, bucket_limit)), "sim-cc")
+    marked = written(fingerprints(docs, id_col, text_col, shingle), "sim-fp")
+    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "sim-nodes")
+    found = written(components(near_links(nodes.select("node", "fp"), radius, bucket_limit)), "sim-cc")
     placed = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = written(placed.select("fp", "second", "least", "component"), "sim-placed")
+    placed = written(placed.select("fp", "least", "component"), "sim-placed")
     smallest = written(placed.groupBy("component").agg(F.min("least").alias("component_id")), "sim-small")
-    homes = written(placed.join(smallest, "component").select("fp", "second", "component_id"), "sim-homes")
-    out = marked.join(homes, ["fp", "second"])
+    homes = written(placed.join(smallest, "component").select("fp", "component_id"), "sim-homes")
+    out = marked.join(homes, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(words: bytes, shingle: int) -> set[bytes]:
-    return set(joined_shingles(words.split(), shingle))
+def shingle_set(words: bytes, shingle: int) -> np.ndarray:
+    """Different hashes of a text's shingles, in order."""
+    digest = xxhash.xxh64_intdigest
+    found = joined_shingles(words.split(), shingle)
+    return np.unique(np.fromiter((digest(x, HASH_SEED) for x in found), np.uint64, len(found)))
 
 
-def alike(a: set[bytes], b: set[bytes], least: float) -> bool:
-    if not a or not b:
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if not len(a) or not len(b):
         return len(a) == len(b)
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b):
         return False
-    both = len(a & b)
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return both >= least * (len(a) + len(b) - both)
 
 
-def search_keys(shingles: set[bytes], how: Similar, radius: int) -> list[int]:
+def search_keys(hashes: np.ndarray, how: Similar, radius: int) -> list[int]:
     """A key for each covering table of the shingles' fingerprint and one for each band."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, HASH_SEED) for x in shingles), np.uint64, len(shingles))
     fp = int.from_bytes(majority(hashes.astype(">u8").view(np.uint8), 64), "big")
     odd = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, how.bands * how.rows, np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(len(odd), np.iinfo(np.uint64).max)
@@ -456,32 +386,25 @@ def bucket_pairs(few: int):
     return run
 
 
-def linked_sets(node: list[int], sets: list[set[bytes]], least: float, across: int = 0) -> list[tuple[int, int]]:
-    """Links that join all alike sets; across: only those before that place with those from it on. A pair that is joined already isn't compared."""
-    label, out = np.arange(len(sets)), []
+def linked_sets(node: list[int], label: np.ndarray, sets: list[np.ndarray], least: float, across: int = 0) -> list[tuple[int, int]]:
+    """Links that join all alike sets of different labels; across: only those before that place with those from it on."""
+    label, out = np.unique(label, return_inverse=True)[1], []
     for i in range(across or 1, len(sets)):
-        for j in range(across or i):
+        for j in np.flatnonzero(label[: across or i] != label[i]).tolist():
             if label[j] != label[i] and alike(sets[i], sets[j], least):
                 label[label == label[i]] = label[j]
                 out.append((min(node[i], node[j]), max(node[i], node[j])))
     return out
 
 
-def similar_links(marked: DataFrame, radius: int, how: Similar, block: int) -> DataFrame:
-    """Links (a, b) that join all alike nodes; marked: node, keys, words."""
-    spark = marked.sparkSession
-    searched = marked.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.posexplode("keys").alias("table", "key"))
-    met = searched.select(F.xxhash64("table", "key").alias("bucket"), "node").repartition(tasks(spark), "bucket").sortWithinPartitions("bucket", "node")
-    found = written(met.mapInArrow(bucket_pairs(how.few), "a long, b long, bucket long"), "sim-pairs")
-    pairs = written(found.filter("b is not null").select("a", "b").distinct(), "sim-different")
-    large = written(found.filter("b is null").select("bucket", F.col("a").alias("node")).distinct(), "sim-large")
-    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct(), "sim-wanted")
-    texts = written(marked.select("node", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sim-texts")
+def decided(texts: DataFrame, pairs: DataFrame, how: Similar) -> DataFrame:
+    """The pairs (a, b) of nodes that are alike. texts: node, words. Both joins are plain exchanges, so that a node of very many pairs is split over tasks."""
     first, second = (texts.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}")) for c in "ab")
 
-    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
         for batch in batches:
-            out, last, own = [], None, set()
+            out = []
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if b != last:
                     last, own = b, shingle_set(y, how.shingle)
@@ -489,43 +412,82 @@ def similar_links(marked: DataFrame, radius: int, how: Similar, block: int) -> D
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
 
-    links = pairs.join(first, "a").join(second, "b").select("a", "b", "words_a", "words_b").mapInArrow(decided, "a long, b long")
-    if large.isEmpty():
-        return links
-    sizes = written(large.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "sim-sizes")
-    cut = large.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = cut.select("bucket", "own", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node").join(texts, "node")
-
-    def whole(key, rows):
-        rows = rows.sort_by([("own", "ascending"), ("node", "ascending")])
-        own = rows.column("own").to_numpy()
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
+
+
+def star_pairs(rows: DataFrame, salt: int) -> DataFrame:
+    """One node of each bucket with all that have another label. rows: bucket, node, label."""
+    chosen = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "bucket", F.lit(salt))).alias("one"))
+    met = rows.join(written(chosen, "sim-chosen"), "bucket").filter(F.col("label") != F.col("one.label"))
+    return met.select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
+
+
+def block_links(rows: DataFrame, texts: DataFrame, how: Similar) -> DataFrame:
+    """Links between the components of each bucket (bucket, node, label), in blocks: those of the largest component meet those of the others, and the others each other."""
+    sizes = written(rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), "sim-labels")
+    whole = written(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")), "sim-sizes")
+    ceil = lambda c: F.ceil(c / how.block).cast("int")
+    cut = rows.join(whole, "bucket").withColumn("p", ceil(F.col("n_main"))).withColumn("m", ceil(F.col("n") - F.col("n_main")))
+    is_main = F.col("label") == F.col("main")
+    cut = cut.withColumn("own", F.when(is_main, F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("m"))).cast("int"))
+    others = F.explode(F.sequence(F.when(is_main, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("m") - 1))
+    dealt = cut.select("bucket", "own", "node", "label", others.alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label").join(texts, "node")
+
+    def run(key, found):
+        found = found.sort_by([("own", "ascending"), ("node", "ascending")])
+        own = found.column("own").to_numpy()
         across = 0 if key[1].as_py() == key[2].as_py() else int((own == key[1].as_py()).sum())
         alone = key[1].as_py() != key[2].as_py() and across in (0, len(own))
-        out = [] if alone else linked_sets(rows.column("node").to_pylist(), [shingle_set(w, how.shingle) for w in rows.column("words").to_pylist()], how.least, across)
+        out = [] if alone else linked_sets(found.column("node").to_pylist(), found.column("label").to_numpy(), [shingle_set(w.as_py(), how.shingle) for w in found.column("words")], how.least, across)
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return links.unionByName(dealt.groupBy("bucket", "x", "y").applyInArrow(whole, "a long, b long"))
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def similar_links(marked: DataFrame, radius: int, how: Similar) -> DataFrame:
+    """node, component of all nodes that are alike to others; marked: node, keys, words."""
+    searched = marked.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.posexplode("keys").alias("table", "key"))
+    met = searched.select(F.xxhash64("table", "key").alias("bucket"), "node").repartition(tasks(marked.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
+    found = written(met.mapInArrow(bucket_pairs(how.few), "a long, b long, bucket long"), "sim-pairs")
+    large = written(found.filter("b is null").select("bucket", F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "sim-large")
+    pairs = written(found.filter("b is not null").select("a", "b").unionByName(star_pairs(large, 0)).distinct(), "sim-different")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sim-wanted")  # a node of a large bucket is in a pair
+    texts = written(marked.select("node", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sim-texts")
+    links = written(decided(texts, pairs, how), "sim-links")
+    for salt in (1, 2):
+        placed = written(components(links), "sim-cc")
+        rows = large.drop("label").join(placed, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+        mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
+        rows = written(rows.join(written(mixed, "sim-mixed"), "bucket"), "sim-open")
+        if rows.isEmpty():
+            return placed
+        new = decided(texts, star_pairs(rows, salt), how) if salt == 1 else block_links(rows, texts, how)
+        links = written(placed.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(new), "sim-links")
+    return components(links)
 
 
 def row_key(id_col: str, text_col: str):
     """The identifier (or none) and the text of a row, as a string."""
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("none")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("none")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 2, similar: Similar = Similar(), block: int = 512) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 2, similar: Similar = Similar()) -> DataFrame:
     """One row for each row of docs: id, key (see row_key), component. Texts of equal words are one node, by a hash of 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [b" ".join(word_list(t)) for t in binary_column(batch, "text")]
-            keys = [search_keys(shingle_set(w, similar.shingle), similar, radius) for w in words]
-            node = [signed(xxhash.xxh3_64_intdigest(w)) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], ["id", "key", "node", "keys", "words"])
-
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    marked = written(narrow.mapInArrow(run, "id long, key string, node long, keys array<long>, words binary"), "sim-marked")
-    found = written(components(similar_links(marked, radius, similar, block)), "sim-cc")
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                words = [b" ".join(word_list(t)) for t in binary_column(some, "text")]
+                keys = [search_keys(shingle_set(w, similar.shingle), similar, radius) for w in words]
+                node = [signed(xxhash.xxh3_64_intdigest(w)) for w in words]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], ["id", "key", "node", "keys", "words"])
+
+    kind = id_kind(docs, id_col)
+    narrow = docs.select(F.col(id_col).cast(kind).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    marked = written(narrow.mapInArrow(run, f"id {kind}, key string, node long, keys array<long>, words binary"), "sim-marked")
+    found = written(similar_links(marked, radius, similar), "sim-cc")
     return marked.select("id", "key", "node").join(found, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
 
 
@@ -534,10 +496,3 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = similar_groups(docs, id_col, text_col, **how).groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least"))
     stay = chosen.select(F.col("least.key").alias("__key"))
     return docs.withColumn("__key", row_key(id_col, text_col)).join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose identifier is the smallest of its group, one row each, with all their columns."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    stay = near_groups(docs, id_col, text_col, **how).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -54,17 +54,16 @@ def test_groups_match_brute_force(spark, limit):
     assert sorted((str(x.doc_id), x.fingerprint, str(x.component_id)) for x in out) == sorted((str(i), f"{p:016x}", str(c)) for (i, _), p, c in zip(rows, prints, want, strict=True))
 
 
-@pytest.mark.parametrize("limit", [4096, 2])
-def test_checked_links(spark, limit):
-    rows = corpus(7)
-    out = {x.doc_id: x.component_id for x in S.near_groups(documents(spark, rows), shingle=0, radius=3, check=S.Check(5, 22, 3), bucket_limit=limit).collect()}
-    a = [[x & (1 << 64) - 1 for x in S.searched_fingerprints((t or "").encode(), 0, 3)] for _, t in rows]
-    b = [int.from_bytes(S.long_fingerprint((t or "").encode(), 5), "big") for _, t in rows]
-    masks = S.covering_masks(3)
-    want = components([i for i, _ in rows], lambda i, j: (b[i] ^ b[j]).bit_count() <= 22 and any(x & m == y & m for x, y in zip(a[i], a[j], strict=True) for m in masks))
-    assert out == {i: c for (i, _), c in zip(rows, want, strict=True)}
-    near = components([i for i, _ in rows], lambda i, j: (b[i] ^ b[j]).bit_count() <= 22 and any((x ^ y).bit_count() <= 3 for x, y in zip(a[i], a[j], strict=True)))
-    assert all(out[i] == out[j] for (i, _), c in zip(rows, near, strict=True) for (j, _), d in zip(rows, near, strict=True) if c == d)
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_large_buckets_by_points(spark, radius):
+    r, rows = random.Random(2), []
+    base = r.getrandbits(64)
+    for k in range(60):
+        base ^= sum(1 << b for b in r.sample(range(64), r.randint(1, 4)))
+        rows.append((k, S.signed(base)))
+    out = {x.node: x.component for x in S.components(S.large_buckets(spark.createDataFrame(rows, "node long, fp long"), radius)).collect()}
+    want = components([i for i, _ in rows], lambda i, j: ((rows[i][1] ^ rows[j][1]) & (1 << 64) - 1).bit_count() <= radius)
+    assert {i: out.get(i, i) for i, _ in rows} == dict(enumerate(want)) and len(set(want)) > 3
 
 
 def edited(r, words, kind):
@@ -86,9 +85,10 @@ def test_all_kinds_of_edits_are_linked(spark, few):
         words = [f"{r.choice('abcdefghij')}{r.randrange(400)}" for _ in range(r.randint(80, 500))]
         rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join(edited(r, words, ["append", "truncate", "block", "word"][k % 4])))]
     sets = [S.shingle_set(b" ".join(S.word_list((t or "").encode())), 5) for _, t in rows]
+    sets = [set(x.tolist()) for x in sets]
     want = components([i for i, _ in rows], lambda i, j: (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1) >= 0.8)
     groups = {}
-    for x in S.similar_groups(documents(spark, rows), similar=S.Similar(few=few), block=8).collect():
+    for x in S.similar_groups(documents(spark, rows), similar=S.Similar(few=few, block=8)).collect():
         groups.setdefault(x.component, []).append(x.id)
     assert {i: min(g) for g in groups.values() for i in g} == {i: c for (i, _), c in zip(rows, want, strict=True)}
     assert sum(c != i for (i, _), c in zip(rows, want, strict=True)) > 50
@@ -102,12 +102,36 @@ def test_components_of_long_chains_and_stars(spark):
 
 def test_one_of_each_group_stays(spark):
     rows = corpus(8)
-    rows += [rows[0], (None, "without a number")]
+    rows += [rows[0], (None, "without a number"), (None, "another without a number"), (rows[3][0], "a number that comes twice")]
     docs = documents(spark, rows)
-    out = S.near_dedup(docs)
+    out = S.similar_dedup(docs)
     assert out.columns == docs.columns
-    groups = S.near_groups(docs).collect()
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted({str(g.component_id) for g in groups})
+    groups = {}
+    for g in S.similar_groups(docs).collect():
+        groups.setdefault(g.component, set()).add((g.id is None, g.id, g.key))
+    least = sorted(str(min(g, key=lambda x: (x[0], x[1] or 0, x[2]))[1]) for g in groups.values())
+    assert sorted(str(r.doc_id) for r in out.collect()) == least
+    assert least.count("None") == 2 and least.count("3") == 2
+
+
+def test_a_large_group_among_others(spark):
+    """A bucket of very many copies with some texts that aren't alike, in blocks of two."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(900)}" for _ in range(300)]
+    rows = [(k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in range(60)]
+    rows += [(100 + k, " ".join(base[: 270 - k] + [f"end{r.random()}" for _ in range(30 + k)])) for k in range(0, 60, 3)]
+    sets = [set(S.shingle_set(t.encode(), 5).tolist()) for _, t in rows]
+    want = components([i for i, _ in rows], lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    groups = {}
+    for x in S.similar_groups(documents(spark, rows), similar=S.Similar(few=2, rows=1, block=2)).collect():
+        groups.setdefault(x.component, []).append(x.id)
+    assert {i: min(g) for g in groups.values() for i in g} == {i: c for (i, _), c in zip(rows, want, strict=True)}
+
+
+def test_text_identifiers(spark):
+    docs = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), (None, "one two three four"), ("c", "else")], "doc_id string, text string")
+    assert sorted((str(x.doc_id), x.component_id) for x in S.near_groups(docs).collect()) == [("None", "a"), ("a", "a"), ("b", "a"), ("c", "c")]
+    assert {x.doc_id for x in S.similar_dedup(docs).collect()} == {"a", "c"}
 
 
 def test_long_texts_are_counted_whole():
