@@ -1,6 +1,6 @@
 import zlib
 
-from sheafwork.llm.sharding import assign_shards, write_shards
+from sheafwork.llm.sharding import DIMS, GROUP, HASH_BITS, assign_shards, grouped, kd_tree, node_of, write_shards
 from tests.llm.helpers import corpus, documents, empty
 
 
@@ -22,12 +22,24 @@ def check(rows, out, shards):
 
 def test_laws_hold(spark):
     rows = corpus(1, 300)
-    rows += rows[:5] + [(None, "x y"), (None, None)]
-    rows = [(i, t) for i, t in rows if t is None or len(t) < 5000]
+    rows += rows[:5] + rows[-2:] + [(None, "x y"), (None, None)] + [(None, "many without a number")] * 50  # one text, twice, is more than a shard
     out = assign_shards(documents(spark, rows), 7).collect()
     check(rows, out, 7)
     loads = [sum(r.size for r in out if r.shard == s) for s in range(7)]
-    assert max(loads) < 1.06 * sum(loads) / 7 and min(loads) > 0.94 * sum(loads) / 7
+    heavy = max(range(7), key=loads.__getitem__)
+    assert {r.size for r in out if r.shard == heavy} == {max(len(t or "") for _, t in rows) + 16}
+    rest = [x for s, x in enumerate(loads) if s != heavy]
+    assert max(rest) < 1.06 * sum(rest) / 6 and min(rest) > 0.94 * sum(rest) / 6
+
+
+def test_heavy_groups_are_evened_out(spark):
+    """Groups of a tenth to a half of a shard's share."""
+    rows = [(i, t) for i, t in corpus(2, 400) if t is None or len(t) < 5000]
+    rows += [(1000 + 100 * g + k, f"group {g} " * 60) for g in range(9) for k in range(4 + 2 * g)]
+    out = assign_shards(documents(spark, rows), 6).collect()
+    check(rows, out, 6)
+    loads = [sum(r.size for r in out if r.shard == s) for s in range(6)]
+    assert max(loads) < 1.06 * sum(loads) / 6 and min(loads) > 0.94 * sum(loads) / 6
 
 
 def test_one_group_larger_than_a_shard(spark):
@@ -38,6 +50,30 @@ def test_one_group_larger_than_a_shard(spark):
     assert loads[3] < 1.3 * loads[0]  # the others share the rest evenly
 
 
+def plain_tree(groups, first, last):
+    """Shards by a K-d tree in memory: at each node the border between two keys that is nearest to the left side's share."""
+    if last - first == 1 or not groups:
+        return dict.fromkeys((g["key"] for g in groups), first)
+    dim = max(DIMS, key=lambda d: (max(g[d] for g in groups) >> HASH_BITS << HASH_BITS) - (min(g[d] for g in groups) >> HASH_BITS << HASH_BITS))
+    total, cut = sum(g["weight"] for g in groups), (first + last) // 2
+    best = min(sorted({g[dim] for g in groups}), key=lambda m: abs(sum(g["weight"] for g in groups if g[dim] < m) - (cut - first) / (last - first) * total))
+    return plain_tree([g for g in groups if g[dim] < best], first, cut) | plain_tree([g for g in groups if g[dim] >= best], cut, last)
+
+
+def test_tree_matches_a_plain_one(spark):
+    rows = corpus(5, 250)
+    rows += rows[:20]
+    _, groups = grouped(documents(spark, rows), "doc_id", "text")
+    got = {tuple(r[c] for c in GROUP): r["shard"] for r in groups.withColumn("shard", node_of(kd_tree(groups, 7), 7)).collect()}
+    want = plain_tree([r.asDict() | {"key": tuple(r[c] for c in GROUP)} for r in groups.collect()], 0, 7)
+    assert got == want and len(set(want.values())) == 7
+
+
+def test_text_identifiers(spark):
+    docs = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "doc_id string, text string")
+    assert {r.doc_id for r in assign_shards(docs, 2).collect()} == {"a", "b", None}
+
+
 def test_few_rows_and_no_rows(spark):
     rows = [(1, "a"), (2, None)]
     check(rows, assign_shards(documents(spark, rows), 40).collect(), 40)
