@@ -39,7 +39,7 @@ GROUP = ["size", "crc", "xx"]
 DIMS = ("lang", "source", "bytes", "place")
 OVERHEAD = 16
 HASH_BITS = 20
-PLACE_BITS = 42
+PLACE_BITS = 32  # with the hash, as many as the sketches keep exactly
 POINTS = 1024
 #: The heaviest groups that are moved in each round of evening out, as parts of a shard's share.
 MOVED = (1 / 2, 1 / 8, 1 / 64)
@@ -189,7 +189,7 @@ def evened(homes: DataFrame, shards: int, part: float, salt: int, points: int =
     if np.abs(surplus).max() <= EVEN * total / shards:
         return homes
     moves = transfers(surplus)
-    key = F.shiftrightunsigned(F.xxhash64(*GROUP, F.lit(salt)), 1)
+    key = F.shiftrightunsigned(F.xxhash64(*GROUP, F.lit(salt)), 12)
     keyed = homes.filter(is_light & F.col("shard").isin(list(moves))).select(F.col("shard").alias("node"), key.alias("key"), "weight")
     marks = {r["node"]: np.unique(np.array(r["q"], np.int64)) for r in keyed.groupBy("node").agg(quantiles("key", points).alias("q")).collect()}
     below = sums_between(keyed, marks)
