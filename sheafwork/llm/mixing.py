@@ -12,7 +12,8 @@ labelled table (quality and toxic) predicts each document's posteriors, so docum
 Then nonnegative document rates are fitted: over all r >= 0, least squares of the domains' expected token totals,
 sum of r x tokens x posterior, against their targets, with a small pull of each rate to 1. Projected gradient with momentum,
 distributed: a step needs one sum over all documents of a number for each domain, and a rate depends on a document's own
-posteriors and the past steps' residuals alone, so it is computed again wherever it is needed and never stored or joined.
+posteriors and the past steps' residuals alone. So a step is one pass over narrow rows without a join; every `REPLAYED` steps
+the rates reached are written, and later steps go on from there.
 
 A rate is a weight; whole copies follow from it by a hash of the identifier: floor(rate + u), with u between 0 and 1 and alike
 for each run. Rates within `snap` of 0 or 1 count as 0 or 1.
@@ -40,6 +41,7 @@ from sheafwork.llm.decontamination import words_of
 from sheafwork.llm.quality import FEATURES, AdditiveModel, features_of
 
 DOMAINS = ("good", "poor", "toxic")
+REPLAYED = 8
 WORD_FEATURES = 5
 WIDE = len(FEATURES) + WORD_FEATURES
 
@@ -149,9 +151,10 @@ def chance(c: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(id_key(c), F.lit(""))), 11) / float(1 << 53)
 
 
-def rates_after(p: np.ndarray, steps: list[tuple[np.ndarray, float, float]], pull: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps so far, and the point at which the next step looks. steps: residual, step size and momentum of each."""
-    rate = look = np.ones(len(p))
+def rates_after(p: np.ndarray, steps: list[tuple[np.ndarray, float, float]], pull: float, scale: float, rate: np.ndarray | None = None, look: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after these steps, and the point at which the next step looks, from given ones or from 1. steps: residual, step size and momentum of each."""
+    if rate is None or look is None:
+        rate = look = np.ones(len(p))
     for residual, size, momentum in steps:
         new = np.maximum(0.0, look - size * (scale * (p @ residual) + pull * (look - 1)))
         look, rate = new + momentum * (new - rate), new
@@ -175,21 +178,38 @@ def fit_rates(members: DataFrame, targets: dict[str, float], *, pull: float, mos
     # its slope is at most scale squared times the largest eigenvalue of the mean outer product of posteriors, which 1 bounds.
     size = 1.0 / (scale**2 + pull)
     steps: list[tuple[np.ndarray, float, float]] = []
+    state = members.select("tokens", *DOMAINS, F.lit(1.0).alias("rate"), F.lit(1.0).alias("look"))
+    at = 0  # steps that the state has taken
     t = 1.0
     before = np.inf
-    for _ in range(most_steps):
-        done = list(steps)
 
-        def run(batches: Iterator[pa.RecordBatch], done=done) -> Iterator[pa.RecordBatch]:
+    def arrays(batch: pa.RecordBatch, done: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        tokens, *p, rate, look = (c.to_numpy() for c in batch.columns)
+        p = np.stack(p, axis=1)
+        return tokens.astype(float), p, *rates_after(p, done, pull, scale, rate, look)
+
+    def summed(done: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(2 * len(DOMAINS))
             for batch in batches:
-                tokens = batch.column(0).to_numpy().astype(float)
-                p = np.stack([batch.column(i + 1).to_numpy() for i in range(len(DOMAINS))], axis=1)
-                rate, look = rates_after(p, done, pull, scale)
+                tokens, p, rate, look = arrays(batch, done)
                 sums += np.concatenate(((look * tokens) @ p, (rate * tokens) @ p))
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"s{i}" for i in range(len(sums))])
 
-        got = members.select("tokens", *DOMAINS).mapInArrow(run, ", ".join(f"s{i} double" for i in range(2 * len(DOMAINS)))).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(2 * len(DOMAINS))]).first()
+        return run
+
+    def moved(done: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, _, rate, look = arrays(batch, done)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rate), pa.array(look)], batch.schema.names)
+
+        return run
+
+    for _ in range(most_steps):
+        if len(steps) - at == REPLAYED:
+            state, at = written(state.mapInArrow(moved(steps[at:]), state.schema), "mix-state"), len(steps)
+        got = state.mapInArrow(summed(steps[at:]), ", ".join(f"s{i} double" for i in range(2 * len(DOMAINS)))).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(2 * len(DOMAINS))]).first()
         look, rate = np.array(got[: len(DOMAINS)]), np.array(got[len(DOMAINS) :])
         now = float(np.abs(rate - target).max() / whole)
         if now < tolerance or abs(before - now) < tolerance / 50 and len(steps) > 20:
@@ -209,7 +229,7 @@ def fitted(narrow: DataFrame, labels: DataFrame, targets: dict[str, float], pull
     return members, model, *fit_rates(members, targets, pull=pull, most_steps=most_steps, tolerance=tolerance, anchor=anchor)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, pull: float = 1e-4, most_steps: int = 60, tolerance: float = 2e-3, snap: float = 0.02, anchor: str | None = None, sample_rows: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, pull: float = 1e-4, most_steps: int = 60, tolerance: float = 2e-3, snap: float = 0.02, anchor: str | None = None, sample_rows: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
     """One row for each row of docs: id, tokens, good, poor, toxic (posteriors), rate, copies."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members, _, steps, scale = fitted(narrow, labels, targets, pull, most_steps, tolerance, anchor, sample_rows, broadcast_rows)
@@ -223,7 +243,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col:
     return found.withColumn("copies", F.floor(F.col("rate") + chance("id")).cast("int")).withColumnRenamed("id", id_col)
 
 
-def take_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, pull: float = 1e-4, most_steps: int = 60, tolerance: float = 2e-3, snap: float = 0.02, anchor: str | None = None, sample_rows: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def take_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", *, pull: float = 1e-4, most_steps: int = 60, tolerance: float = 2e-3, snap: float = 0.02, anchor: str | None = None, sample_rows: int = 20_000, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of docs, each as often as its copies say, with all their columns. Rates are computed where the rows stand; no text is exchanged."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     _, model, steps, scale = fitted(narrow, labels, targets, pull, most_steps, tolerance, anchor, sample_rows, broadcast_rows)

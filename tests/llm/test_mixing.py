@@ -57,7 +57,7 @@ def test_steps_find_the_least_squares(spark):
 def test_rows_are_taken(spark):
     rows, labels = labelled_rows()
     docs = documents(spark, rows)
-    out = M.take_mixed(docs, spark.createDataFrame(labels, SCHEMA), {"good": 0.99, "poor": 0.01, "toxic": 0.0}, anchor="good", snap=0.25)
+    out = M.take_mixed(docs, spark.createDataFrame(labels, SCHEMA), {"good": 0.998, "poor": 0.0, "toxic": 0.002}, anchor="good", tolerance=2e-4)
     assert out.columns == docs.columns
     kept = [r.doc_id for r in out.collect()]
     toxic = {i for i, t in rows if "vileword" in t or "badname" in t}
@@ -65,6 +65,29 @@ def test_rows_are_taken(spark):
     assert not toxic & set(kept) and len(kept) == len(set(kept)) and len(clean & set(kept)) > 0.99 * len(clean)
 
 
+def test_steps_go_on_from_written_rates(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    table = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(rng.integers(5, 60, 50), rng.dirichlet([0.5] * 3, 50), strict=True)], "tokens long, good double, poor double, toxic double")
+    found = []
+    for replayed in (2, 100):
+        monkeypatch.setattr(M, "REPLAYED", replayed)
+        found.append(M.fit_rates(table, {"good": 0.8, "poor": 0.1, "toxic": 0.1}, pull=1e-3, most_steps=9, tolerance=0.0, anchor=None)[0])
+    assert len(found[0]) == 9
+    for (a, *x), (b, *y) in zip(*found, strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-12) and x == y
+
+
+def test_long_and_repeated_texts(spark):
+    rows, labels = labelled_rows(300)
+    rows += [(5000, "plain words here. " * 20_000), (5001, rows[0][1]), rows[0]]
+    out = M.mixed(documents(spark, rows), spark.createDataFrame(labels, SCHEMA), {"good": 0.8, "poor": 0.1, "toxic": 0.1}).collect()
+    assert len(out) == len(rows)
+    by = [(r.doc_id, r.tokens, r.good, r.rate) for r in out]
+    assert [x[1] for x in by if x[0] == 5000] == [60_000]
+    same = {x[1:] for x in by if x[0] in (0, 5001)}
+    assert len(same) == 1 and sum(x[0] == 0 for x in by) == 2
+
+
 def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert M.mixed(documents(spark, [(1, "a b c"), (2, None)]), none, {"good": 0.5, "poor": 0.25, "toxic": 0.25}).count() == 2
