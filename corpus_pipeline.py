@@ -12,8 +12,8 @@ from sheafwork.llm.quality import keep_quality
 from sheafwork.llm.sharding import assign_shards
 from sheafwork.llm.simhash import Similar, similar_dedup
 
-#: Shares of expected tokens. What is good now stays; the rest is brought down to its share of that.
-TARGETS = {"good": 0.99, "poor": 0.01, "toxic": 0.0}
+#: Shares of expected tokens in the mixture, whose whole is what makes the good ones' share as many as they are now.
+TARGETS = {"good": 0.998, "poor": 0.0, "toxic": 0.002}
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near duplicates stays, the one with the smallest identifier.
 
     Candidates: fingerprints of shingles of five words within 2 bits, by covering masks, and 42 bands of min-wise hashes of the
-    same shingles. Decision: an exact Jaccard similarity of 0.8 or more in these shingles.
+    same shingles. Decision: a Jaccard similarity of 0.8 or more of these shingles' sets.
     """
     return similar_dedup(docs, radius=2, similar=Similar(shingle=5, least=0.8))
 
@@ -39,8 +39,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as its rate says: good ones once, toxic and poor ones as far as their targets reach."""
-    return take_mixed(docs, table(spark, sf_dir, "labels"), TARGETS, anchor="good", snap=0.25)
+    """Each document comes as often as its rate says: good ones once, toxic and poor ones as far as their targets reach, others by their posteriors."""
+    return take_mixed(docs, table(spark, sf_dir, "labels"), TARGETS, anchor="good", tolerance=2e-4)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
