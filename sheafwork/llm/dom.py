@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from functools import lru_cache
+from collections import Counter
 
 #: One tag, comment or declaration; also one that the page's end cuts off.
 MARKUP = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|[!?/][^>]*(?:>|\Z)|[a-zA-Z][^>]*(?:>|\Z))""", re.S)
@@ -19,7 +19,7 @@ GROUPS = [
 ]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UNSEEN = {"script", "style", "noscript", "template", "svg", "iframe", "title", "textarea", "select", "button", "object", "canvas", "math", "datalist", "head"}
-# An element that is open is ended by the start of one of these.
+# An element that is open is ended by the start of one of these, if no element that is a border to it stands between them.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
 # Words of class, id and role attributes by what they tell.
 TOKENS = [
@@ -30,6 +30,10 @@ TOKENS = [
     {"related", "share", "social", "recommended", "popular", "meta", "tags", "byline", "author", "trending", "more"},
 ]
 
+SCOPES = {"ul", "ol", "dl", "table", "tbody", "tfoot", "div", "article", "section"}
+BORDERS = {"li": SCOPES | {"tr", "td", "th"}, "td": SCOPES | {"tr"}, "tr": SCOPES, "tbody": SCOPES, "tfoot": SCOPES}
+BORDERS |= {"dt": BORDERS["li"], "dd": BORDERS["li"], "th": BORDERS["td"]}
+
 BLOCK = {name: g for g, names in enumerate(GROUPS) for name in names}
 ENDS_P = set(BLOCK) | {"hr"}
 KNOWN_TOKEN = {word: 1 << i for i, words in enumerate(TOKENS) for word in words}
@@ -48,15 +52,19 @@ class Page:
         self.texts: list[tuple[int, bool, str]] = []  # node, whether a block begins, text
 
 
-@lru_cache(maxsize=4096)
+MARKS: dict[str, int] = {}  # of words met
+
+
 def word_marks(word: str) -> int:
     """Marks of a word, or of known words of four letters or more that it begins or ends with."""
-    if word in KNOWN_TOKEN:
-        return KNOWN_TOKEN[word]
-    found = 0
-    for known, mark in KNOWN_TOKEN.items():
-        if len(known) >= 4 and (word.startswith(known) or word.endswith(known)) or known == "nav" and (word.startswith(known) or word.endswith(known)):
-            found |= mark
+    found = MARKS.get(word, KNOWN_TOKEN.get(word))
+    if found is None:
+        found = 0
+        for known, mark in KNOWN_TOKEN.items():
+            if (len(known) >= 4 or known == "nav") and (word.startswith(known) or word.endswith(known)):
+                found |= mark
+        if len(MARKS) < 4096:
+            MARKS[word] = found
     return found
 
 
@@ -71,6 +79,10 @@ def attribute_marks(attributes: str) -> int:
 def parse(page: str) -> Page:
     out = Page()
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their node, for inline ones the node they stand in
+    blocks = [0]  # places of the open blocks in the stack
+    scopes: list[int] = []  # those of them that end others or can be ended
+    open_blocks: Counter[str] = Counter()
+    inline: list[Counter[str]] = [Counter()]  # for each open block the inline elements that are open in it, but not in a block in it
     at, size, fresh, in_link = 0, len(page), True, 0
     search = MARKUP.search
 
@@ -98,11 +110,23 @@ def parse(page: str) -> Page:
         for name, node in stack[k:]:
             if name in BLOCK:
                 out.end[node] = last
+                open_blocks[name] -= 1
                 fresh = True
             elif name == "a":
                 in_link -= 1
+        while blocks[-1] >= k:
+            blocks.pop()
+            inline.pop()
+        while scopes and scopes[-1] >= k:
+            scopes.pop()
+        for name, _ in stack[max(k, blocks[-1] + 1) :]:
+            inline[-1][name] -= 1
         del stack[k:]
 
+    def innermost(name: str) -> int:
+        """Place of the last open element of that name, which there is: the elements after it are closed with it."""
+        return next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+
     while at < size:
         m = search(page, at)
         if m is None:
@@ -115,13 +139,9 @@ def parse(page: str) -> Page:
         if name is None:
             continue
         name = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name not in BLOCK and stack[k][0] in BLOCK:
-                    break  # an inline end tag doesn't end a block
+        if m[1]:  # an inline end tag doesn't end a block
+            if open_blocks[name] if name in BLOCK else inline[-1][name]:
+                close(innermost(name))
             continue
         if name in UNSEEN and name != "head":
             if not m[3].endswith("/"):
@@ -135,27 +155,18 @@ def parse(page: str) -> Page:
             elif name == "hr":
                 fresh = True
             continue
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if name == "a" and in_link:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "a":
+        if name in ENDS_P and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
+        if name == "a" and inline[-1]["a"]:
+            close(innermost("a"))
+        if name in BORDERS:
+            for k in reversed(scopes):
+                open_name = stack[k][0]
+                if name in ENDED_BY.get(open_name, ()):
                     close(k)
                     break
-                if stack[k][0] in BLOCK:
+                if open_name in BORDERS[name]:
                     break
-        for k in range(len(stack) - 1, 0, -1):
-            open_name = stack[k][0]
-            if open_name in ENDED_BY and name in ENDED_BY[open_name]:
-                close(k)
-                break
-            if open_name in ("ul", "ol", "dl", "table", "div", "article", "section") or open_name == name:
-                break
         if m[3].endswith("/") and name not in BLOCK:
             continue
         if name in BLOCK:
@@ -172,11 +183,17 @@ def parse(page: str) -> Page:
             out.ancestor_marks.append(out.ancestor_marks[above] | out.marks[above])
             label = LABEL.search(m[3]) if "data-kind" in m[3] else None
             out.kind.append(int(label[1]) if label else -1)
+            blocks.append(len(stack))
+            inline.append(Counter())
+            open_blocks[name] += 1
+            if name in SCOPES or name in ENDED_BY:
+                scopes.append(len(stack))
             stack.append((name, node))
             fresh = True
         else:
             if name == "a":
                 in_link += 1
+            inline[-1][name] += 1
             stack.append((name, stack[-1][1]))
     close(1)
     out.end[0] = len(out.parent)

@@ -45,6 +45,16 @@ def test_any_markup_parses_to_a_tree(page):
     blocks_of(p, [True] * n)
 
 
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    makers = [lambda n: "<b>" * n + "</i>" * n, lambda n: "<b>" * n + "<div></div>" * n, lambda n: "<blockquote>" * n + "<li></li>" * n, lambda n: "<tbody>" * n + "<li>" * n, lambda n: "<tr><td><dt>" * n + "<li>" * n, lambda n: "<div>" * n + "</p>" * n]
+    for make in makers:
+        page, began = make(40_000), time.process_time()
+        parse(page)
+        assert time.process_time() - began < 4  # some hundred seconds, if each tag looked through the open elements
+
+
 def sound(p, kept):
     """Kept nodes stand in kept ones, and have text or a kept node in them."""
     full = {p.parent[i] for i in range(1, len(kept)) if kept[i]}
