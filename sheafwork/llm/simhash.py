@@ -17,9 +17,9 @@ point that is a far point of the other, so all that meet in a point that is near
 With a similarity (see Similar), pairs are decided by the Jaccard similarity of their texts' sets of shingles. Candidates
 are what meets in the covering tables of the shingles' fingerprint or in one of the bands of min-wise hashes of the same shingles,
 which depend on the similarity alone and not on the kind of edit. A bucket of few texts gives its pairs. In a larger one all
-are compared with one of them, and with a second one if not all are in one component then. What still stands in different
-components of a bucket is compared in blocks: blocks of the bucket's largest component only with blocks of the others. So a
-group of many copies costs a comparison for each copy and bucket, and no pair that could join two components is left out.
+are compared with one of them. What still stands in different components of a bucket then is compared in blocks, by one byte of
+each min-wise hash, blocks of the bucket's largest component only with blocks of the others; pairs that agree in about as many
+bytes as alike ones do are decided too. So a group of many copies costs a comparison for each copy and bucket.
 
 Components come from a distributed forest of smallest neighbours, of which each round is written to the shared folder.
 
@@ -52,7 +52,8 @@ class Similar:
     """Linked if the sets of shingles of `shingle` words, told apart by hashes of 64 bits, have a Jaccard similarity of `least` or more.
 
     A pair of similarity j agrees in a min-wise hash with probability j, so it misses all `bands` bands of `rows` hashes with
-    (1 - j ** rows) ** bands: 6e-8 at 0.8, less above. Buckets of up to `few` texts give pairs; larger ones are decided whole, in blocks of `block`.
+    (1 - j ** rows) ** bands: 6e-8 at 0.8, less above. Buckets of up to `few` texts give pairs. In larger ones, pairs that agree in
+    a share of `hopeful` of all hashes are decided, in blocks of `block`; one of 0.8 agrees in less than 0.68 of 210 with a chance of 1e-5.
     """
 
     shingle: int = 5
@@ -60,7 +61,8 @@ class Similar:
     bands: int = 42
     rows: int = 5
     few: int = 16
-    block: int = 512
+    block: int = 2048
+    hopeful: float = 0.68
 
 
 def word_list(text: bytes) -> list[bytes]:
@@ -324,8 +326,8 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def search_keys(hashes: np.ndarray, how: Similar, radius: int) -> list[int]:
-    """A key for each covering table of the shingles' fingerprint and one for each band."""
+def search_keys(hashes: np.ndarray, how: Similar, radius: int) -> tuple[list[int], bytes]:
+    """A key for each covering table of the shingles' fingerprint and one for each band, and a byte of each min-wise hash."""
     digest = xxhash.xxh64_intdigest
     fp = int.from_bytes(majority(hashes.astype(">u8").view(np.uint8), 64), "big")
     odd = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, how.bands * how.rows, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -333,7 +335,7 @@ def search_keys(hashes: np.ndarray, how: Similar, radius: int) -> list[int]:
     for at in range(0, len(hashes), 1024):
         np.minimum(least, (odd[:, None] * hashes[None, at : at + 1024]).min(axis=1), out=least)
     bands = least.reshape(how.bands, how.rows)
-    return [signed(fp & m) for m in covering_masks(radius)] + [signed(digest(b.tobytes())) for b in bands]
+    return [signed(fp & m) for m in covering_masks(radius)] + [signed(digest(b.tobytes())) for b in bands], (least >> np.uint64(56) ^ least >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
 def bucket_pairs(few: int):
@@ -386,17 +388,6 @@ def bucket_pairs(few: int):
     return run
 
 
-def linked_sets(node: list[int], label: np.ndarray, sets: list[np.ndarray], least: float, across: int = 0) -> list[tuple[int, int]]:
-    """Links that join all alike sets of different labels; across: only those before that place with those from it on."""
-    label, out = np.unique(label, return_inverse=True)[1], []
-    for i in range(across or 1, len(sets)):
-        for j in np.flatnonzero(label[: across or i] != label[i]).tolist():
-            if label[j] != label[i] and alike(sets[i], sets[j], least):
-                label[label == label[i]] = label[j]
-                out.append((min(node[i], node[j]), max(node[i], node[j])))
-    return out
-
-
 def decided(texts: DataFrame, pairs: DataFrame, how: Similar) -> DataFrame:
     """The pairs (a, b) of nodes that are alike. texts: node, words. Both joins are plain exchanges, so that a node of very many pairs is split over tasks."""
     first, second = (texts.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}")) for c in "ab")
@@ -405,25 +396,25 @@ def decided(texts: DataFrame, pairs: DataFrame, how: Similar) -> DataFrame:
         last, own = None, None
         for batch in batches:
             out = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for a, b, x, y in zip(*batch.columns, strict=True):  # one text at a time
                 if b != last:
-                    last, own = b, shingle_set(y, how.shingle)
-                if alike(shingle_set(x, how.shingle), own, how.least):
-                    out.append((a, b))
+                    last, own = b, shingle_set(y.as_py(), how.shingle)
+                if alike(shingle_set(x.as_py(), how.shingle), own, how.least):
+                    out.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
 
     return pairs.join(first, "a").join(second, "b").select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
 
 
-def star_pairs(rows: DataFrame, salt: int) -> DataFrame:
-    """One node of each bucket with all that have another label. rows: bucket, node, label."""
-    chosen = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "bucket", F.lit(salt))).alias("one"))
-    met = rows.join(written(chosen, "sim-chosen"), "bucket").filter(F.col("label") != F.col("one.label"))
-    return met.select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """One node of each bucket with all others. rows: bucket, node."""
+    chosen = rows.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("one"))
+    met = rows.join(written(chosen, "sim-chosen"), "bucket").filter("node != one")
+    return met.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct()
 
 
-def block_links(rows: DataFrame, texts: DataFrame, how: Similar) -> DataFrame:
-    """Links between the components of each bucket (bucket, node, label), in blocks: those of the largest component meet those of the others, and the others each other."""
+def block_pairs(rows: DataFrame, marks: DataFrame, how: Similar) -> DataFrame:
+    """Hopeful pairs between the components of each bucket (bucket, node, label), in blocks: those of the largest component meet those of the others, and the others each other. marks: node, mark."""
     sizes = written(rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), "sim-labels")
     whole = written(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")), "sim-sizes")
     ceil = lambda c: F.ceil(c / how.block).cast("int")
@@ -431,40 +422,45 @@ def block_links(rows: DataFrame, texts: DataFrame, how: Similar) -> DataFrame:
     is_main = F.col("label") == F.col("main")
     cut = cut.withColumn("own", F.when(is_main, F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("m"))).cast("int"))
     others = F.explode(F.sequence(F.when(is_main, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("m") - 1))
-    dealt = cut.select("bucket", "own", "node", "label", others.alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label").join(texts, "node")
+    dealt = cut.join(marks, "node").select("bucket", "own", "node", "label", "mark", others.alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "mark")
 
     def run(key, found):
-        found = found.sort_by([("own", "ascending"), ("node", "ascending")])
-        own = found.column("own").to_numpy()
-        across = 0 if key[1].as_py() == key[2].as_py() else int((own == key[1].as_py()).sum())
-        alone = key[1].as_py() != key[2].as_py() and across in (0, len(own))
-        out = [] if alone else linked_sets(found.column("node").to_pylist(), found.column("label").to_numpy(), [shingle_set(w.as_py(), how.shingle) for w in found.column("words")], how.least, across)
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long")
+        node, label, own = (found.column(c).to_numpy() for c in ("node", "label", "own"))
+        mark = np.frombuffer(b"".join(found.column("mark").to_pylist()), np.uint8).reshape(len(node), -1)
+        one_block = key[1].as_py() == key[2].as_py()
+        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        out = [np.zeros((0, 2), np.int64)]
+        for k, i in enumerate(left.tolist()):
+            others = left[:k] if one_block else right
+            agree = (mark[others] == mark[i]).sum(axis=1) >= how.hopeful * mark.shape[1]
+            others = others[agree & (label[others] != label[i])]
+            out.append(np.sort(np.stack((np.full(len(others), node[i]), node[others]), axis=1), axis=1))
+        out = np.concatenate(out)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(marked: DataFrame, radius: int, how: Similar) -> DataFrame:
-    """node, component of all nodes that are alike to others; marked: node, keys, words."""
+    """node, component of all nodes that are alike to others; marked: node, keys, mark, words."""
     searched = marked.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.posexplode("keys").alias("table", "key"))
     met = searched.select(F.xxhash64("table", "key").alias("bucket"), "node").repartition(tasks(marked.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
     found = written(met.mapInArrow(bucket_pairs(how.few), "a long, b long, bucket long"), "sim-pairs")
-    large = written(found.filter("b is null").select("bucket", F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "sim-large")
-    pairs = written(found.filter("b is not null").select("a", "b").unionByName(star_pairs(large, 0)).distinct(), "sim-different")
+    large = written(found.filter("b is null").select("bucket", F.col("a").alias("node")).distinct(), "sim-large")
+    pairs = written(found.filter("b is not null").select("a", "b").unionByName(star_pairs(large)).distinct(), "sim-different")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sim-wanted")  # a node of a large bucket is in a pair
-    texts = written(marked.select("node", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sim-texts")
-    links = written(decided(texts, pairs, how), "sim-links")
-    for salt in (1, 2):
-        placed = written(components(links), "sim-cc")
-        rows = large.drop("label").join(placed, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-        mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-        rows = written(rows.join(written(mixed, "sim-mixed"), "bucket"), "sim-open")
-        if rows.isEmpty():
-            return placed
-        new = decided(texts, star_pairs(rows, salt), how) if salt == 1 else block_links(rows, texts, how)
-        links = written(placed.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(new), "sim-links")
-    return components(links)
+    texts = written(marked.select("node", "mark", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sim-texts")
+    placed = written(components(decided(texts, pairs, how)), "sim-cc")
+    rows = large.join(placed, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
+    rows = written(rows.join(written(mixed, "sim-mixed"), "bucket"), "sim-open")
+    if rows.isEmpty():
+        return placed
+    more = written(block_pairs(rows, texts.select("node", "mark"), how).join(pairs, ["a", "b"], "left_anti"), "sim-hopeful")
+    if more.isEmpty():
+        return placed
+    return components(placed.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(decided(texts, more, how)))
 
 
 def row_key(id_col: str, text_col: str):
@@ -480,13 +476,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 words = [b" ".join(word_list(t)) for t in binary_column(some, "text")]
-                keys = [search_keys(shingle_set(w, similar.shingle), similar, radius) for w in words]
+                keys, marks = zip(*[search_keys(shingle_set(w, similar.shingle), similar, radius) for w in words], strict=True)
                 node = [signed(xxhash.xxh3_64_intdigest(w)) for w in words]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], ["id", "key", "node", "keys", "words"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(words, pa.binary())], ["id", "key", "node", "keys", "mark", "words"])
 
     kind = id_kind(docs, id_col)
     narrow = docs.select(F.col(id_col).cast(kind).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    marked = written(narrow.mapInArrow(run, f"id {kind}, key string, node long, keys array<long>, words binary"), "sim-marked")
+    marked = written(narrow.mapInArrow(run, f"id {kind}, key string, node long, keys array<long>, mark binary, words binary"), "sim-marked")
     found = written(similar_links(marked, radius, similar), "sim-cc")
     return marked.select("id", "key", "node").join(found, "node", "left").select("id", "key", F.coalesce("component", "node").alias("component"))
 

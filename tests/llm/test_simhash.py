@@ -123,7 +123,7 @@ def test_a_large_group_among_others(spark):
     sets = [set(S.shingle_set(t.encode(), 5).tolist()) for _, t in rows]
     want = components([i for i, _ in rows], lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     groups = {}
-    for x in S.similar_groups(documents(spark, rows), similar=S.Similar(few=2, rows=1, block=2)).collect():
+    for x in S.similar_groups(documents(spark, rows), similar=S.Similar(few=2, bands=210, rows=1, block=2)).collect():
         groups.setdefault(x.component, []).append(x.id)
     assert {i: min(g) for g in groups.values() for i in g} == {i: c for (i, _), c in zip(rows, want, strict=True)}
 
