@@ -19,7 +19,7 @@ are what meets in the covering tables of the shingles' fingerprint or in one of
 which depend on the similarity alone and not on the kind of edit. A bucket of few texts gives its pairs. In a larger one all
 are compared with one of them. What still stands in different components of a bucket then is compared in blocks, by one byte of
 each min-wise hash, blocks of the bucket's largest component only with blocks of the others; pairs that agree in about as many
-bytes as alike ones do are decided too. So a group of many copies costs a comparison for each copy and bucket.
+bytes as alike ones do are decided there, and only links leave the task. So a group of many copies costs a comparison for each copy and bucket.
 
 Components come from a distributed forest of smallest neighbours, of which each round is written to the shared folder.
 
@@ -61,7 +61,7 @@ class Similar:
     bands: int = 42
     rows: int = 5
     few: int = 16
-    block: int = 2048
+    block: int = 256
     hopeful: float = 0.68
 
 
@@ -413,8 +413,8 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct()
 
 
-def block_pairs(rows: DataFrame, marks: DataFrame, how: Similar) -> DataFrame:
-    """Hopeful pairs between the components of each bucket (bucket, node, label), in blocks: those of the largest component meet those of the others, and the others each other. marks: node, mark."""
+def block_links(rows: DataFrame, texts: DataFrame, how: Similar) -> DataFrame:
+    """Links between the components of each bucket (bucket, node, label), in blocks: those of the largest component meet those of the others, and the others each other. texts: node, mark, words."""
     sizes = written(rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), "sim-labels")
     whole = written(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")), "sim-sizes")
     ceil = lambda c: F.ceil(c / how.block).cast("int")
@@ -422,24 +422,48 @@ def block_pairs(rows: DataFrame, marks: DataFrame, how: Similar) -> DataFrame:
     is_main = F.col("label") == F.col("main")
     cut = cut.withColumn("own", F.when(is_main, F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("m"))).cast("int"))
     others = F.explode(F.sequence(F.when(is_main, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("m") - 1))
-    dealt = cut.join(marks, "node").select("bucket", "own", "node", "label", "mark", others.alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label", "mark")
-
-    def run(key, found):
-        node, label, own = (found.column(c).to_numpy() for c in ("node", "label", "own"))
-        mark = np.frombuffer(b"".join(found.column("mark").to_pylist()), np.uint8).reshape(len(node), -1)
-        one_block = key[1].as_py() == key[2].as_py()
-        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
-        out = [np.zeros((0, 2), np.int64)]
-        for k, i in enumerate(left.tolist()):
-            others = left[:k] if one_block else right
-            agree = (mark[others] == mark[i]).sum(axis=1) >= how.hopeful * mark.shape[1]
-            others = others[agree & (label[others] != label[i])]
-            out.append(np.sort(np.stack((np.full(len(others), node[i]), node[others]), axis=1), axis=1))
-        out = np.concatenate(out)
-        return pa.table({"a": out[:, 0], "b": out[:, 1]})
-
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    dealt = cut.select("bucket", "own", "node", "label", others.alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label").join(texts.select("node", "mark", "words"), "node")
+    order = ["bucket", "x", "y", "own", "node"]
+    dealt = dealt.select(*order, "label", "mark", "words").repartition(tasks(rows.sparkSession), "bucket", "x", "y").sortWithinPartitions(*order)
+
+    def links(held: list[tuple], x: int) -> list[tuple[int, int]]:
+        """Rows (own, node, label, mark, words) of one pair of blocks."""
+        own, node = (np.array([h[i] for h in held]) for i in (0, 1))
+        label = np.unique([h[2] for h in held], return_inverse=True)[1]
+        mark = np.frombuffer(b"".join([h[3] for h in held]), np.uint8).reshape(len(held), -1)
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(held[i][4], how.shingle)
+            return sets[i]
+
+        out = []
+        across = int((own == x).sum()) if own[0] != own[-1] else 0
+        for i in range(across or 1, len(held)) if across or own[0] == own[-1] else ():
+            others = np.flatnonzero(label[: across or i] != label[i])
+            for j in others[(mark[others] == mark[i]).sum(axis=1) >= how.hopeful * mark.shape[1]].tolist():
+                if label[j] != label[i] and alike(set_of(i), set_of(j), how.least):
+                    label[label == label[i]] = label[j]
+                    out.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            out = []
+            for bucket, x, y, *row in zip(*batch.columns, strict=True):
+                this = (bucket.as_py(), x.as_py(), y.as_py())
+                if this != key:
+                    out += links(held, key[1]) if held and (key[1] == key[2] or held[0][0] != held[-1][0]) else []
+                    key, held = this, []
+                held.append(tuple(v.as_py() for v in row))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(2)], ["a", "b"])
+        out = links(held, key[1]) if held and (key[1] == key[2] or held[0][0] != held[-1][0]) else []
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def similar_links(marked: DataFrame, radius: int, how: Similar) -> DataFrame:
@@ -457,10 +481,7 @@ def similar_links(marked: DataFrame, radius: int, how: Similar) -> DataFrame:
     rows = written(rows.join(written(mixed, "sim-mixed"), "bucket"), "sim-open")
     if rows.isEmpty():
         return placed
-    more = written(block_pairs(rows, texts.select("node", "mark"), how).join(pairs, ["a", "b"], "left_anti"), "sim-hopeful")
-    if more.isEmpty():
-        return placed
-    return components(placed.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(decided(texts, more, how)))
+    return components(placed.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(block_links(rows, texts, how)))
 
 
 def row_key(id_col: str, text_col: str):
