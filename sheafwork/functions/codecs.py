@@ -152,8 +152,11 @@ def undo_delta_zigzag(values: np.ndarray) -> np.ndarray:
 
 
 def quantized(values: np.ndarray, tolerance: int) -> np.ndarray:
+    """Rounded down to a multiple of 2^tolerance. Values too large to have such a fraction stay as they are, and so do those that aren't finite."""
     scale = values.dtype.type(2.0**-tolerance)
-    return np.floor(values * scale) / scale
+    with np.errstate(over="ignore", invalid="ignore"):
+        scaled = values * scale
+        return np.where(np.abs(scaled) < 2.0 ** np.finfo(values.dtype).nmant, np.floor(scaled) / scale, values)
 
 
 def bit_lengths(x: np.ndarray) -> np.ndarray:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafwork.functions import codecs
+from sheafwork.options import EncodeOptions
+from sheafwork.plans import choose, leaves
 
 
 @F.arrow_udf(T.LongType())
@@ -33,6 +35,58 @@ def _lists(code):
 
 prefix_varint_bytes = _lists(lambda v: codecs.prefix_varints(v.astype(np.uint64)))
 suffix_varint_bytes = _lists(lambda v: codecs.suffix_varints(v.astype(np.uint64)))
-simple16_bytes = _lists(lambda v: codecs.simple16(v.astype(np.uint64)))
-xor_float_bytes = _lists(lambda v: codecs.xor_floats(v.astype(np.float64)))
-text_block_bytes = _lists(lambda v: codecs.text_block([x.encode() for x in v]))
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in fields.items()])
+
+
+def leaf_roundtrip(kind: str, encoding: str):
+    """Lists of numbers to the bytes of their leaf under one encoding, and the values read from its payload. kind: int, f64 or f32."""
+    dtype = {"int": np.uint64, "f64": np.float64, "f32": np.float32}[kind]
+
+    @F.pandas_udf(_struct(bytes=T.LongType(), back=T.ArrayType(T.DoubleType())))
+    def run(c: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in c:
+            values = np.asarray(v).astype(dtype)
+            if encoding == "Suffix Varint":
+                payload = codecs.suffix_varints(values)
+                back = codecs.read_suffix_varints(payload)
+            else:
+                payload = leaves.payload_of(encoding, values)
+                back = leaves.read_leaf("p", {"p": (kind.upper(), encoding, len(values), payload)}.get)
+            rows.append((leaves.stored_bytes(encoding, payload), back.astype(float).tolist()))
+        return pd.DataFrame(rows, columns=["bytes", "back"])
+
+    return run
+
+
+@F.pandas_udf(_struct(bytes=T.LongType(), back=T.ArrayType(T.StringType())))
+def text_roundtrip(c: pd.Series) -> pd.DataFrame:
+    """Lists of texts to the bytes of their compressed block, and the texts read from it."""
+    rows = []
+    for v in c:
+        texts = [x.encode() for x in v]
+        payload = codecs.text_block(texts)
+        rows.append((len(payload), [x.decode() for x in codecs.read_text_block(payload, [len(x) for x in texts])]))
+    return pd.DataFrame(rows, columns=["bytes", "back"])
+
+
+@F.pandas_udf(_struct(utf8=T.LongType(), dictionary_values=T.LongType(), run_values=T.LongType(), text_block=T.LongType()))
+def text_estimates(c: pd.Series) -> pd.DataFrame:
+    """The engine's estimates over the head of each list of texts; of runs and dictionaries without lengths and codes."""
+    plain = EncodeOptions()
+    rows = []
+    for v in c:
+        head = [x.encode() for x in v[: plain.sample_values]]
+        found = choose.text_candidates(head, plain)
+        codes, lengths = choose.dictionary_of(head)[1], choose.runs_of(head)[1]
+        rows.append((found["UTF-8"], found["Dictionary"] - 2 - choose.int_size(codes, plain, False), found["RLE"] - 2 - choose.int_size(lengths, plain, True), found["Text Block"]))
+    return pd.DataFrame(rows, columns=["utf8", "dictionary_values", "run_values", "text_block"])
+
+
+@F.pandas_udf(T.StringType())
+def chosen_text(c: pd.Series) -> pd.Series:
+    """The encoding that a list of texts gets."""
+    return c.map(lambda v: next(iter(leaves.text_leaves("p", [x.encode() for x in v], EncodeOptions())))[2])

@@ -161,10 +161,12 @@ def variant(b: DataFrame, name: str, tag: str = "tag") -> DataFrame:
     return b.filter(F.col(tag) == name).select("chunk_id", "pos", "value")
 
 
-def undo_union(parts: dict[str, DataFrame]) -> DataFrame:
-    """Variants' branches as one branch with tags."""
-    whole = None
-    for name, part in parts.items():
-        tagged = part.select("chunk_id", "pos", F.lit(name).alias("tag"), "value")
-        whole = tagged if whole is None else whole.unionByName(tagged)
-    return whole
+def union_values(b: DataFrame, tag: str = "tag") -> DataFrame:
+    """Codes and values of all variants in one pass: chunk_id, pos, code, value. A null tag is a variant too."""
+    first = b.withColumn("first", F.min("pos").over(Window.partitionBy("chunk_id", tag)))
+    return first.select("chunk_id", "pos", (F.dense_rank().over(Window.partitionBy("chunk_id").orderBy("first")) - 1).alias("code"), "value")
+
+
+def undo_union(values: DataFrame, tags: DataFrame) -> DataFrame:
+    """Values with their codes and the chunks' tags (see union_tags) as one branch with tags."""
+    return values.join(tags.select("chunk_id", "code", "tag"), ["chunk_id", "code"]).select("chunk_id", "pos", "tag", "value")

@@ -11,6 +11,7 @@ class EncodeOptions:
     chunk_rows: int = 4096
     sample_values: int = 256
     measured_text_size: bool = False  # choose text compression by its real size, not by the fixed estimate
+    only: tuple[str, ...] = ()  # encodings that alone are candidates wherever a leaf has one of them as a candidate
 
 
 @dataclass(frozen=True)

@@ -47,7 +47,7 @@ def int_candidates(values: np.ndarray, top: int, width: str, options: EncodeOpti
         found["Simple16"] = 4 * len(codecs.simple16_layout(values))
     if width == "u32" and len(values) >= 2 and not in_runs:
         found["DeltaZig"] = int(codecs.varint_sizes(codecs.delta_zigzag(values)).sum())
-    if width == "u8":
+    if width == "u8" and "Prefix Varint" not in options.only:
         found["U8 Fixed"] = len(values) + varint_size(len(values))
     else:
         found["Prefix Varint"] = int(codecs.varint_sizes(values).sum())
@@ -101,5 +101,7 @@ def text_candidates(values: list[bytes], options: EncodeOptions) -> dict[str, in
     return found
 
 
-def smallest(found: dict[str, int]) -> str:
-    return min(found, key=found.get)  # the first of equals, in order of declaration
+def smallest(found: dict[str, int], only: tuple[str, ...] = ()) -> str:
+    """The first of equals, in order of declaration; only: the candidates that count, if there are some of them."""
+    kept = {k: v for k, v in found.items() if k in only} or found
+    return min(kept, key=kept.get)

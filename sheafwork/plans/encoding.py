@@ -26,20 +26,11 @@ from sheafwork.functions import codecs
 from sheafwork.names import canonical
 from sheafwork.options import DecodeOptions, EncodeOptions
 from sheafwork.plans import choose
-from sheafwork.plans.leaves import Leaf, Lookup, bool_leaves, float_leaves, int_leaves, read_ints, read_leaf, text_leaves
+from sheafwork.plans.leaves import Leaf, Lookup, bool_leaves, float_leaves, int_leaves, read_ints, read_leaf, stored_bytes, text_leaves
 
+#: Bits of chunk_id: the chunk's place in its task, and the task. What is above is left to batches of streams.
+CHUNK_BITS, TASK_BITS = 20, 22
 BRANCHES = "field string, path string, types string, encoding string, chunk_id long, n_values long, byte_size long, payload binary"
-#: These have no payload, or one that the id could hold, as the first value of runs of truth values.
-ID_ONLY = {"Void", "RLE", "Dictionary", "RLE Boolean", "Nullable", "Object", "Union", "Variable Length", "Zigzag"}
-
-
-def stored_bytes(encoding: str, payload: bytes) -> int:
-    """Bytes of a leaf: its type id, its payload, and the payload's length where it has one."""
-    if encoding in ID_ONLY:
-        return 1
-    if encoding == "Fixed Length":
-        return 1 + choose.varint_size(int.from_bytes(payload, "little"))
-    return 1 + len(payload) + choose.varint_size(len(payload))
 
 
 def shred(path: str, kind: T.DataType, column: pa.Array, options: EncodeOptions, told: dict | None = None) -> Iterator[Leaf]:
@@ -139,16 +130,19 @@ def encode_chunk(schema: T.StructType, chunk_id: int, batch: pa.Table, options:
 
 
 def encode(df: DataFrame, order_by: list[str], options: EncodeOptions = EncodeOptions(), partitions: int | None = None) -> DataFrame:
-    """Encoded branches of a DataFrame in the given order. Rows are range-partitioned by it once, and no task sees more than its range.
+    """Encoded branches of a DataFrame in the given order. Rows are range-partitioned by it once, equal keys by a hash of the row
+    after that, so that a key with very many rows is split; no task sees more than its range.
 
-    chunk_id grows with the order: the task's number times 2^32 and the chunk's place in the task.
+    chunk_id grows with the order: the task's number times 2^CHUNK_BITS and the chunk's place in the task.
     """
     names = [canonical(c) for c in df.columns]
     if len(set(names)) != len(names):
         raise SchemaMismatch("two columns have one canonical name")
     schema = df.schema
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumn("__part", F.spark_partition_id().cast("long"))
+    tie = F.xxhash64(*[F.to_json(F.struct(F.col(f.name))) if any(k in f.dataType.simpleString() for k in ("map", "void")) else F.col(f.name) for f in schema.fields])
+    keyed = df.withColumn("__tie", tie)
+    ordered = keyed.repartitionByRange(n, *order_by, "__tie").sortWithinPartitions(*order_by, "__tie").drop("__tie").withColumn("__part", F.spark_partition_id().cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -162,10 +156,10 @@ def encode(df: DataFrame, order_by: list[str], options: EncodeOptions = EncodeOp
                 held.append(some)
                 rows, at = rows + some.num_rows, at + some.num_rows
                 if rows == options.chunk_rows:
-                    yield encode_chunk(schema, (part << 32) + chunk, pa.Table.from_batches(held), options)
+                    yield encode_chunk(schema, (part << CHUNK_BITS) + chunk, pa.Table.from_batches(held), options)
                     held, rows, chunk = [], 0, chunk + 1
         if held:
-            yield encode_chunk(schema, (part << 32) + chunk, pa.Table.from_batches(held), options)
+            yield encode_chunk(schema, (part << CHUNK_BITS) + chunk, pa.Table.from_batches(held), options)
 
     return ordered.mapInArrow(run, BRANCHES)
 
@@ -318,7 +312,8 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
 
 def decode(branches: DataFrame, schema: T.StructType, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """Rows of the branches under the reader's schema. Branches of other fields are not read; fields are matched by canonical
-    name; a missing field is null if it may be, and else an error. Rows come in order within a chunk."""
+    name; a missing field is null if it may be, and else an error. Rows come in order within a chunk. Rows are those of the reader's
+    stored fields: of a schema none of whose fields is stored, nothing is read and no rows come."""
     wanted = [canonical(f.name) for f in schema.fields]
     needed = branches.filter(F.col("field").isin(wanted)).select("path", "types", "encoding", "chunk_id", "n_values", "payload")
     if not options.parallel:

@@ -20,7 +20,7 @@ def bool_leaves(path: str, values: np.ndarray, options: EncodeOptions, in_runs:
     if not len(values):
         yield path, "Void", "Void", 0, b""
         return
-    if choose.smallest(choose.bool_candidates(values[: options.sample_values], options, in_runs)) == "RLE Boolean":
+    if choose.smallest(choose.bool_candidates(values[: options.sample_values], options, in_runs), options.only) == "RLE Boolean":
         yield path, "Boolean", "RLE Boolean", len(values), bytes([bool(values[0])])
         yield from int_leaves(f"{path}.runs", choose.runs_of(values)[1], options, True)
     else:
@@ -36,7 +36,7 @@ def int_leaves(path: str, values: np.ndarray, options: EncodeOptions, in_runs: b
         yield from bool_leaves(path, values == 1, options, in_runs)
         return
     top, head = int(values.max()), values[: options.sample_values]
-    chosen = choose.smallest(choose.int_candidates(head, top, width, options, in_runs))
+    chosen = choose.smallest(choose.int_candidates(head, top, width, options, in_runs), options.only)
     n = len(values)
     if chosen == "RLE":
         kept, lengths = choose.runs_of(values)
@@ -49,10 +49,32 @@ def int_leaves(path: str, values: np.ndarray, options: EncodeOptions, in_runs: b
 
 def sub_ints(path: str, values: np.ndarray, top: int, width: str, options: EncodeOptions) -> Iterator[Leaf]:
     """Values of runs: of the width of all values, and never runs themselves."""
-    chosen = choose.smallest(choose.int_candidates(values[: options.sample_values], top, width, options, True))
+    chosen = choose.smallest(choose.int_candidates(values[: options.sample_values], top, width, options, True), options.only)
     yield path, "Integer", chosen, len(values), int_payload(chosen, values)
 
 
+#: These have no payload, or one that the id could hold, as the first value of runs of truth values.
+ID_ONLY = {"Void", "RLE", "Dictionary", "RLE Boolean", "Nullable", "Object", "Union", "Variable Length", "Zigzag"}
+
+
+def stored_bytes(encoding: str, payload: bytes) -> int:
+    """Bytes of a leaf: its type id, its payload, and the payload's length where it has one."""
+    if encoding in ID_ONLY:
+        return 1
+    if encoding == "Fixed Length":
+        return 1 + choose.varint_size(int.from_bytes(payload, "little"))
+    return 1 + len(payload) + choose.varint_size(len(payload))
+
+
+def payload_of(encoding: str, values: np.ndarray) -> bytes:
+    """Payload of numbers under a given encoding."""
+    if encoding == "XOR Float":
+        return codecs.xor_floats(values)
+    if encoding.startswith("Fixed F"):
+        return values.astype(values.dtype.newbyteorder("<")).tobytes()
+    return int_payload(encoding, values)
+
+
 def int_payload(chosen: str, values: np.ndarray) -> bytes:
     return {"Simple16": codecs.simple16, "DeltaZig": lambda v: codecs.prefix_varints(codecs.delta_zigzag(v)), "U8 Fixed": lambda v: v.astype(np.uint8).tobytes(), "Prefix Varint": codecs.prefix_varints}[chosen](values)
 
@@ -61,7 +83,7 @@ def float_leaves(path: str, values: np.ndarray, options: EncodeOptions) -> Itera
     if not len(values):
         yield path, "Void", "Void", 0, b""
         return
-    chosen = choose.smallest(choose.float_candidates(values[: options.sample_values], options))
+    chosen = choose.smallest(choose.float_candidates(values[: options.sample_values], options), options.only)
     kind = f"F{8 * values.dtype.itemsize}"
     if chosen == "XOR Float":
         lossy = values if options.lossy_float_tolerance is None else codecs.quantized(values, options.lossy_float_tolerance)
@@ -74,7 +96,7 @@ def text_leaves(path: str, values: list[bytes], options: EncodeOptions) -> Itera
     if not values:
         yield path, "Void", "Void", 0, b""
         return
-    chosen = choose.smallest(choose.text_candidates(values[: options.sample_values], options))
+    chosen = choose.smallest(choose.text_candidates(values[: options.sample_values], options), options.only)
     n = len(values)
     # The whole may have no repeats though its head has, or the other way round.
     if chosen == "RLE":

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +15,10 @@ from sheafwork.functions import columns as C
 from sheafwork.functions import udfs as U
 from sheafwork.names import canonical, with_canonical_names
 from sheafwork.operators import branches as B
-from sheafwork.options import EncodeOptions
+from sheafwork.options import DecodeOptions, EncodeOptions, options
 from sheafwork.plans import report
 from sheafwork.plans.encoding import decode, encode
+from sheafwork.sources.store import new_store, open_store, read_store, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,66 +46,74 @@ def micros(c: str):
 # Size reports
 
 
-def plain_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of orders' columns under the plain encodings: one row for each leaf. One pass, no shuffle but of the sums."""
+def varint_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} < {1 << (7 * n)} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
+
+
+PLAIN = EncodeOptions(only=("Prefix Varint", "UTF-8", "Fixed F64"))
+
+
+def plain_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as one chunk, encoded by the plain encodings alone."""
     t = table(spark, sf_dir, "orders")
-    text = lambda c: F.sum(F.octet_length(c) + C.varint_size(F.octet_length(c)))
-    sums = t.agg(
-        F.sum(C.varint_size("o_orderkey")).alias("o_orderkey"), F.sum(C.varint_size("o_custkey")).alias("o_custkey"), text("o_orderstatus").alias("o_orderstatus"), (F.count(F.lit(1)) * 8).alias("o_totalprice"),
-        F.sum(C.varint_size(micros("o_orderdate"))).alias("o_orderdate"), text("o_orderpriority").alias("o_orderpriority"),
-    )
-    kinds = {"o_orderkey": "Prefix Varint", "o_custkey": "Prefix Varint", "o_orderstatus": "UTF-8", "o_totalprice": "Fixed F64", "o_orderdate": "Prefix Varint", "o_orderpriority": "UTF-8"}
-    leaves = F.explode(F.array(*[F.struct(F.lit(canonical(c)).alias("path"), F.lit(k).alias("encoding"), F.col(c).cast("long").alias("bytes")) for c, k in kinds.items()]))
-    return sums.select(leaves.alias("leaf")).select("leaf.*")
+    return encode(t, ["o_orderkey"], replace(PLAIN, chunk_rows=1 << 30), partitions=1)
 
 
-def varint_sql(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN {c} < {1 << (7 * n)} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
+def leaf_sql(path: str, types: str, encoding: str, size: str, source: str = "orders") -> str:
+    """A leaf's type id, payload, and the payload's length."""
+    return f"SELECT '{path}' AS path, '{types}' AS types, '{encoding}' AS encoding, n, b + 1 + {varint_sql('b')} AS bytes FROM (SELECT count(*) AS n, sum({size})::BIGINT AS b FROM {source})"
 
 
-LEAVES_SQL = f"""
-SELECT 'oOrderkey' AS path, 'Prefix Varint' AS encoding, sum({varint_sql("o_orderkey")})::BIGINT AS bytes FROM orders
-UNION ALL SELECT 'oCustkey', 'Prefix Varint', sum({varint_sql("o_custkey")})::BIGINT FROM orders
-UNION ALL SELECT 'oOrderstatus', 'UTF-8', sum(strlen(o_orderstatus) + {varint_sql("strlen(o_orderstatus)")})::BIGINT FROM orders
-UNION ALL SELECT 'oTotalprice', 'Fixed F64', count(*) * 8 FROM orders
-UNION ALL SELECT 'oOrderdate', 'Prefix Varint', sum({varint_sql("epoch_us(o_orderdate)")})::BIGINT FROM orders
-UNION ALL SELECT 'oOrderpriority', 'UTF-8', sum(strlen(o_orderpriority) + {varint_sql("strlen(o_orderpriority)")})::BIGINT FROM orders
-"""
+def text_sql(c: str) -> str:
+    return f"strlen({c}) + {varint_sql(f'strlen({c})')}"
 
 
-@query(f"SELECT path, encoding, bytes FROM ({LEAVES_SQL})")
+LEAVES_SQL = " UNION ALL ".join([
+    leaf_sql("oOrderkey", "Integer", "Prefix Varint", varint_sql("o_orderkey")), leaf_sql("oCustkey", "Integer", "Prefix Varint", varint_sql("o_custkey")), leaf_sql("oOrderstatus", "String", "UTF-8", text_sql("o_orderstatus")),
+    leaf_sql("oTotalprice", "F64", "Fixed F64", "8"), leaf_sql("oOrderdate", "Integer", "Prefix Varint", varint_sql("epoch_us(o_orderdate)")), leaf_sql("oOrderpriority", "String", "UTF-8", text_sql("o_orderpriority")),
+])
+
+
+@query(f"SELECT path, bytes, n AS n_values, types FROM ({LEAVES_SQL})")
 def size_by_path(spark, sf_dir):
-    return plain_sizes(spark, sf_dir)
+    return report.size_by_path(plain_branches(spark, sf_dir))
 
 
 @query(f"SELECT encoding, count(*) AS branches, sum(bytes)::BIGINT AS bytes FROM ({LEAVES_SQL}) GROUP BY encoding")
 def size_by_encoding(spark, sf_dir):
-    leaves = plain_sizes(spark, sf_dir)
-    return leaves.groupBy("encoding").agg(F.count(F.lit(1)).alias("branches"), F.sum("bytes").alias("bytes"))
+    return report.size_by_encoding(plain_branches(spark, sf_dir))
 
 
-@query(f"SELECT accounted, 17 + 6 * 2 AS other, accounted + 17 + 6 * 2 AS total FROM (SELECT sum(bytes)::BIGINT AS accounted FROM ({LEAVES_SQL}))")
+@query(f"SELECT accounted, 10000000 - accounted AS other, 10000000::BIGINT AS total FROM (SELECT sum(bytes)::BIGINT AS accounted FROM ({LEAVES_SQL}))")
 def size_totals(spark, sf_dir):
-    """Other: a header of 17 bytes, and 2 for each leaf."""
-    found = plain_sizes(spark, sf_dir).agg(F.sum("bytes").alias("accounted"), F.count(F.lit(1)).alias("n"))
-    other = (F.lit(17) + F.col("n") * 2).cast("int")
-    return found.select("accounted", other.alias("other"), (F.col("accounted") + other).alias("total"))
+    """Against a given number of stored bytes."""
+    return report.size_totals(plain_branches(spark, sf_dir), stored_bytes=10_000_000)
+
+
+@query(f"SELECT place::INTEGER AS place, path FROM (SELECT path, row_number() OVER (ORDER BY bytes DESC, path) - 1 AS place FROM ({LEAVES_SQL}))")
+def size_order(spark, sf_dir):
+    """The order of the report by path: the largest first. Its rows are as many as paths."""
+    ordered = report.size_by_path(plain_branches(spark, sf_dir))
+    return ordered.agg(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("b"), "path"))).alias("rows")).select(F.posexplode("rows").alias("place", "r")).select("place", "r.path")
 
 
-@query()
+@query("SELECT path, n_values, types FROM (SELECT 'cCustkey' AS path, count(*) AS n_values, 'Integer' AS types FROM customer UNION ALL SELECT 'cName', count(*), 'String' FROM customer UNION ALL SELECT 'cNationkey', count(*), 'Integer' FROM customer)")
 def encoded_size_by_path(spark, sf_dir):
-    """The chosen encodings of all of customer, by path."""
-    return report.size_by_path(encode(table(spark, sf_dir, "customer"), ["c_custkey"]))
+    """The paths of the chosen encodings of a table of customers, with the number of values that came back from them."""
+    t = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    found = report.size_by_path(encode(t, ["c_custkey"]))
+    return found.filter("path in ('cCustkey', 'cName', 'cNationkey') and bytes > 0").select("path", "n_values", "types")
 
 
-@query()
+@query("SELECT 'Fixed Length' AS encoding, 1::BIGINT AS branches, 2::BIGINT AS bytes UNION ALL SELECT 'Fixed F32', 1, (count(*) * 64 * 4 + 1 + " + varint_sql("count(*) * 256") + ")::BIGINT FROM embeddings")
 def encoded_size_by_encoding(spark, sf_dir):
-    return report.size_by_encoding(encode(table(spark, sf_dir, "part"), ["p_partkey"]))
+    """Vectors of 64 floats: the length once, and the floats, which no other encoding makes smaller."""
+    return report.size_by_encoding(encode(table(spark, sf_dir, "embeddings").select("embedding", "vec_id"), ["vec_id"], EncodeOptions(chunk_rows=1 << 30, only=("Fixed F32",)), partitions=1).filter("field = 'embedding'"))
 
 
-@query()
+@query(f"SELECT accounted, 0::BIGINT AS other, accounted AS total FROM (SELECT sum(bytes)::BIGINT AS accounted FROM ({LEAVES_SQL}))")
 def encoded_size_totals(spark, sf_dir):
-    return report.size_totals(encode(table(spark, sf_dir, "orders"), ["o_orderkey"]))
+    return report.size_totals(plain_branches(spark, sf_dir))
 
 
 # Encode and decode
@@ -124,11 +136,19 @@ def encode_decode_embeddings(spark, sf_dir):
     return decode(encode(t, ["vec_id"], EncodeOptions(chunk_rows=256)), t.schema)
 
 
-@query("SELECT o_orderkey, floor(o_totalprice * 1024) / 1024 AS o_totalprice FROM orders")
+@query("SELECT o_orderkey, floor(o_totalprice * 16) / 16 AS o_totalprice FROM orders")
 def encode_decode_lossy(spark, sf_dir):
-    """Lossy floats where the XOR encoding is chosen; the quantised values are exact."""
-    t = table(spark, sf_dir, "orders").select("o_orderkey", C.quantize("o_totalprice", -10).alias("o_totalprice"))
-    return decode(encode(t, ["o_orderkey"], EncodeOptions(lossy_float_tolerance=-10)), t.schema)
+    """The encoder rounds: values come back as multiples of 1 / 16."""
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return decode(encode(t, ["o_orderkey"], EncodeOptions(lossy_float_tolerance=-4, only=("XOR Float",))), t.schema)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def decode_serial(spark, sf_dir):
+    """The options of encoding combined, and decoding in one task."""
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    chosen = options(EncodeOptions(), {"chunk_rows": 500}, {"chunk_rows": 1000}, {"sample_values": 64})
+    return decode(encode(t, ["o_orderkey"], chosen), t.schema, DecodeOptions(parallel=False))
 
 
 @query("SELECT c_custkey AS cCustkey, c_mktsegment AS cMktsegment FROM customer")
@@ -338,16 +358,26 @@ def suffix_varint_bytes(spark, sf_dir):
     return lists.select("chunk_id", F.octet_length(U.suffix_varint_bytes("values")).cast("long").alias("bytes"))
 
 
-@query(f"SELECT p_partkey // 4096 AS chunk_id, count(*) + {varint_sql('count(*)')} AS bytes FROM part GROUP BY 1")
+def leaf_values(b: DataFrame, kind: str, encoding: str) -> DataFrame:
+    """The leaf of each chunk of a branch: chunk_id, payload and its bytes, and the values that are read from it."""
+    t = b.select(F.col("chunk_id").alias("c"), "pos", "value")
+    lists = t.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values"))
+    return lists.select(F.col("c").alias("chunk_id"), F.explode(F.array(U.leaf_roundtrip(kind, encoding)("values"))).alias("leaf")).select("chunk_id", "leaf.bytes", "leaf.back")
+
+
+@query(f"SELECT p_partkey // 4096 AS chunk_id, count(*) + 1 + {varint_sql('count(*)')} AS bytes, sum(p_size * p_partkey)::BIGINT AS checksum FROM part GROUP BY 1")
 def u8_fixed_bytes(spark, sf_dir):
-    found = B.branch(table(spark, sf_dir, "part"), "p_partkey", "p_size").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
-    return found.select("chunk_id", (F.col("n") + C.varint_size("n")).alias("bytes"))
+    """Bytes of the leaves as the engine writes them, and a sum over the values read from them, weighted by their places' keys."""
+    found = leaf_values(B.branch(table(spark, sf_dir, "part"), "p_partkey", "p_size"), "int", "U8 Fixed")
+    keys = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / B.CHUNK_ROWS).cast("long").alias("chunk_id")).agg(F.array_sort(F.collect_list("p_partkey")).alias("keys"))
+    return found.join(keys, "chunk_id").select("chunk_id", "bytes", F.aggregate(F.zip_with("back", "keys", lambda v, k: v * k), F.lit(0.0), lambda a, x: a + x).cast("long").alias("checksum"))
 
 
-@query(f"SELECT n * 8 + {varint_sql('n * 8')} AS bytes_f64, n * 4 + {varint_sql('n * 4')} AS bytes_f32 FROM (SELECT count(*) AS n FROM lineitem)")
+@query(f"SELECT chunk_id, n * 8 + 1 + {varint_sql('n * 8')} AS bytes_f64, n * 4 + 1 + {varint_sql('n * 4')} AS bytes_f32 FROM (SELECT o_orderkey // 4096 AS chunk_id, count(*) AS n FROM orders GROUP BY 1)")
 def fixed_float_bytes(spark, sf_dir):
-    n = table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n"))
-    return n.select(*[(F.col("n") * w + C.varint_size(F.col("n") * w)).alias(f"bytes_f{8 * w}") for w in (8, 4)])
+    b = orders_branch(spark, sf_dir, "o_totalprice")
+    double, single = (leaf_values(b, k, e).select("chunk_id", F.col("bytes").alias(f"bytes_{k}")) for k, e in (("f64", "Fixed F64"), ("f32", "Fixed F32")))
+    return double.join(single, "chunk_id")
 
 
 BITS_SQL = "SELECT o_orderkey // 4096 AS chunk_id, o_orderkey AS pos, o_totalprice::DOUBLE::BIT::BIGINT AS bits FROM orders"
@@ -358,12 +388,18 @@ def xor_float_bits(spark, sf_dir):
     return B.xor_bits(orders_branch(spark, sf_dir, U.double_bits("o_totalprice")))
 
 
-@query("SELECT o_orderkey // 4096 AS chunk_id, count(*) AS n FROM orders GROUP BY 1")
+def back_sql(source: str, key: str, value: str, width: int = 4096) -> str:
+    return f"SELECT {key} // {width} AS chunk_id, (row_number() OVER (PARTITION BY {key} // {width} ORDER BY {key}) - 1)::INTEGER AS place, {value} AS value FROM {source}"
+
+
+def back_rows(found: DataFrame) -> DataFrame:
+    return found.select("chunk_id", F.posexplode("back").alias("place", "value"))
+
+
+@query(back_sql("orders", "o_orderkey", "o_totalprice"))
 def xor_float_roundtrip(spark, sf_dir):
-    """Values of each chunk that come back bit for bit from the bits."""
-    t = orders_branch(spark, sf_dir, "o_totalprice")
-    same = U.double_bits(U.bits_double(U.double_bits("value"))) == U.double_bits("value")
-    return t.filter(same).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    """Values as they are read from the payloads."""
+    return back_rows(leaf_values(orders_branch(spark, sf_dir, "o_totalprice"), "f64", "XOR Float"))
 
 
 @query(f"SELECT doc_id // 4096 AS chunk_id, sum(strlen(text) + {varint_sql('strlen(text)')})::BIGINT AS bytes FROM documents GROUP BY 1")
@@ -381,22 +417,22 @@ def value_lists(b: DataFrame) -> DataFrame:
     return b.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values"))
 
 
-@query()
-def text_block_bytes(spark, sf_dir):
+@query(back_sql("part", "p_partkey", "p_name", 1024))
+def text_block_roundtrip(spark, sf_dir):
+    """Texts as they are read from the compressed payloads, whose bytes no SQL can tell."""
     lists = value_lists(B.branch(table(spark, sf_dir, "part"), "p_partkey", "p_name", 1024))
-    return lists.select("chunk_id", F.octet_length(U.text_block_bytes("values")).alias("bytes"))
+    found = lists.select("chunk_id", U.text_roundtrip("values").alias("leaf")).filter(F.col("leaf.bytes") > 0)
+    return found.select("chunk_id", F.posexplode("leaf.back").alias("place", "value"))
 
 
-@query()
-def simple16_bytes(spark, sf_dir):
-    lists = value_lists(B.branch(table(spark, sf_dir, "part"), "p_partkey", "p_size"))
-    return lists.select("chunk_id", F.octet_length(U.simple16_bytes("values")).alias("bytes"))
+@query(back_sql("part", "p_partkey", "p_size::DOUBLE"))
+def simple16_roundtrip(spark, sf_dir):
+    return back_rows(leaf_values(B.branch(table(spark, sf_dir, "part"), "p_partkey", "p_size"), "int", "Simple16"))
 
 
-@query()
-def xor_float_bytes(spark, sf_dir):
-    lists = value_lists(orders_branch(spark, sf_dir, "o_totalprice"))
-    return lists.select("chunk_id", F.octet_length(U.xor_float_bytes("values")).alias("bytes"))
+@query(back_sql("orders", "o_orderkey", "o_custkey::DOUBLE"))
+def suffix_varint_roundtrip(spark, sf_dir):
+    return back_rows(leaf_values(orders_branch(spark, sf_dir, "o_custkey"), "int", "Suffix Varint"))
 
 
 # Nullable values
@@ -500,9 +536,9 @@ def union_variants(spark, sf_dir):
 
 @query("SELECT event_id // 4096 AS chunk_id, event_id AS pos, event_type AS tag, value FROM events")
 def union_roundtrip(spark, sf_dir):
+    """Codes and values of all variants, and the tags from the codes."""
     b = tagged(spark, sf_dir)
-    kinds = [r["tag"] for r in b.select("tag").distinct().orderBy("tag").limit(1000).collect()]  # variants of a type, few by nature
-    return B.undo_union({k: B.variant(b, k) for k in kinds})
+    return B.undo_union(B.union_values(b), B.union_tags(b))
 
 
 @query("SELECT event_id, event_type AS tag, CASE WHEN event_type = 'error' THEN value END AS error_value, CASE WHEN event_type = 'signup' THEN user_id END AS signup_user FROM events")
@@ -526,15 +562,18 @@ def fixed_list_decode(spark, sf_dir):
 
 @query("SELECT n_nationkey AS pos, n_name AS name, n_regionkey AS region FROM nation")
 def struct_split(spark, sf_dir):
-    packed = table(spark, sf_dir, "nation").select(F.struct(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("s"))
-    return packed.select("s.*")
+    """A struct as branches of its fields, read back under a schema with fewer and others in another order."""
+    packed = table(spark, sf_dir, "nation").select("n_nationkey", F.struct(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), F.lit("x").alias("unread")).alias("s"))
+    reader = T.StructType([T.StructField("region", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("pos", T.IntegerType())])
+    return decode(encode(packed, ["n_nationkey"]), T.StructType([T.StructField("s", reader)])).select("s.pos", "s.name", "s.region")
 
 
 @query("SELECT s_suppkey AS _0, s_nationkey AS _1, s_acctbal AS _2 FROM supplier")
 def tuple_split(spark, sf_dir):
     parts = ["s_suppkey", "s_nationkey", "s_acctbal"]
-    packed = table(spark, sf_dir, "supplier").select(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(parts)]).alias("t"))
-    return packed.select("t.*")
+    packed = table(spark, sf_dir, "supplier").select("s_suppkey", F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(parts)]).alias("t"))
+    reader = T.StructType([T.StructField("t", packed.schema["t"].dataType, True, {"tuple": True})])
+    return decode(encode(packed, ["s_suppkey"]), reader).select("t.*")
 
 
 @query("SELECT conv_id, list({'turn': turn, 'role': role} ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
@@ -547,23 +586,37 @@ def nested_assembly(spark, sf_dir):
 
 # Choice of encodings
 
-@query()
-def chosen_encoding(spark, sf_dir):
-    """The encoding of each path and chunk of part."""
-    return encode(table(spark, sf_dir, "part"), ["p_partkey"]).select("path", "chunk_id", "encoding", "n_values")
+def choice_sql(names: dict[str, str]) -> str:
+    """The smallest of the estimates, the first declared of equals."""
+    return "CASE " + " ".join(f"WHEN {c} <= least({', '.join(names)}) THEN '{n}'" for c, n in names.items()) + " END"
 
 
-@query(f"""
-WITH x AS (SELECT event_type, strlen(event_type) + {varint_sql('strlen(event_type)')} AS size FROM events WHERE event_id < 256),
-words AS (SELECT sum(size) AS total, count(*) AS n FROM (SELECT DISTINCT event_type, size FROM x)),
-plain AS (SELECT sum(size) AS total, count(*) AS n FROM x)
-SELECT (plain.total + {varint_sql('plain.total')})::BIGINT AS utf8, (words.total + {varint_sql('words.total')})::BIGINT AS dictionary_values, greatest(plain.n, 10) * 10 AS text_block, words.n AS n_words FROM plain, words""")
+CANDIDATES_SQL = f"""
+WITH x AS (SELECT event_id // 4096 AS chunk_id, event_id AS pos, event_type AS value, {text_sql('event_type')} AS size FROM events),
+head AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS place, lag(value) OVER (PARTITION BY chunk_id ORDER BY pos) IS DISTINCT FROM value AS fresh FROM x QUALIFY place <= 256),
+plain AS (SELECT chunk_id, sum(size) AS total, count(*) AS n, sum(CASE WHEN fresh THEN size ELSE 0 END) AS runs, count(*) FILTER (WHERE fresh) AS n_runs FROM head GROUP BY 1),
+words AS (SELECT chunk_id, sum(size) AS total, count(*) AS n FROM (SELECT DISTINCT chunk_id, value, size FROM head) GROUP BY 1)
+SELECT chunk_id, (plain.total + {varint_sql('plain.total')})::BIGINT AS utf8, (words.total + {varint_sql('words.total')})::BIGINT AS dictionary_values, (runs + {varint_sql('runs')})::BIGINT AS run_values, (greatest(plain.n, 10) * 10)::BIGINT AS text_block
+FROM plain JOIN words USING (chunk_id)"""
+
+
+@query(CANDIDATES_SQL)
 def candidate_sizes(spark, sf_dir):
-    """Estimates over the head of a text column: whole, dictionary values, and compressed."""
-    head = table(spark, sf_dir, "events").filter("event_id < 256").select("event_type", (F.octet_length("event_type") + C.varint_size(F.octet_length("event_type"))).alias("size"))
-    by_word = head.groupBy("event_type", "size").agg(F.count(F.lit(1)).alias("n"))
-    found = by_word.agg(F.sum(F.col("size") * F.col("n")).alias("plain"), F.sum("size").alias("words"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_words"))
-    return found.select((F.col("plain") + C.varint_size("plain")).alias("utf8"), (F.col("words") + C.varint_size("words")).alias("dictionary_values"), (F.greatest("n", F.lit(10)) * 10).alias("text_block"), "n_words")
+    """Estimates over the head of each chunk of a text column: whole, values of the dictionary and of runs without their codes and lengths, and compressed."""
+    return value_lists(events_branch(spark, sf_dir, "event_type")).select("chunk_id", U.text_estimates("values").alias("e")).select("chunk_id", "e.*")
+
+
+CHOSEN_SQL = f"""
+WITH x AS (SELECT c_custkey // 4096 AS chunk_id, {text_sql('c_name')} AS size, row_number() OVER (PARTITION BY c_custkey // 4096 ORDER BY c_custkey) AS place FROM customer),
+e AS (SELECT chunk_id, sum(size) + {varint_sql('sum(size)')} AS utf8, greatest(count(*), 10) * 10 AS block FROM x WHERE place <= 256 GROUP BY 1)
+SELECT chunk_id, {choice_sql({'utf8': 'UTF-8', 'block': 'Text Block'})} AS encoding FROM e"""
+
+
+@query(CHOSEN_SQL)
+def chosen_encoding(spark, sf_dir):
+    """The encoding that each chunk of names gets, of which none comes twice in the heads."""
+    lists = value_lists(B.branch(table(spark, sf_dir, "customer"), "c_custkey", "c_name"))
+    return lists.select("chunk_id", U.chosen_text("values").alias("encoding"))
 
 
 # Coercions
@@ -585,3 +638,70 @@ def coerce_bool_int(spark, sf_dir):
 def coerce_f64_f32(spark, sf_dir):
     branches = encode(table(spark, sf_dir, "events").select("event_id", "value"), ["event_id"])
     return decode(branches, T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.FloatType())]))
+
+
+@query("SELECT n_nationkey, n_name, 0::BIGINT AS n_visits FROM nation")
+def void_ints_as_zero(spark, sf_dir):
+    """A required integer that the writer did not have, read as 0."""
+    t = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    schema = T.StructType([*t.schema.fields, T.StructField("n_visits", T.LongType(), False)])
+    return decode(encode(t, ["n_nationkey"]), schema, DecodeOptions(void_ints_as_zero=True))
+
+
+def failure_of(spark: SparkSession, df: DataFrame, case: str) -> DataFrame:
+    """The kind of error that reading raises."""
+    try:
+        df.write.format("noop").mode("overwrite").save()
+        kind = "none"
+    except PythonException as e:
+        kind = next((k for k in ("SchemaMismatch", "InvalidFormat") if k in str(e)), "other")
+    return spark.range(1).select(F.lit(case).alias("reads"), F.lit(kind).alias("error"))
+
+
+ERRORS = {"wrong kind": "SchemaMismatch", "missing field": "SchemaMismatch", "narrow number": "SchemaMismatch", "tuple arity": "SchemaMismatch", "list length": "SchemaMismatch", "unknown variant": "SchemaMismatch", "cut payload": "InvalidFormat", "code without value": "InvalidFormat"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{case}' AS reads, '{kind}' AS error" for case, kind in ERRORS.items()))
+def decode_errors(spark, sf_dir):
+    """Reading under schemas that don't fit, and from payloads that are broken."""
+    t = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.struct(F.lit(1).alias("_0"), F.lit(2).alias("_1")).alias("pair"), F.array(F.lit(7), F.lit(8)).alias("list"), (F.col("n_nationkey") + 70_000).alias("far"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("region"))
+    t = t.withColumn("event", F.struct(F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd").alias("tag"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey")).alias("even"), F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name")).alias("odd")).alias("event", metadata={"union": True}))
+    branches = encode(t.select(*[c for c in t.columns if c != "event"], F.col("event").alias("event", metadata={"union": True})), ["n_nationkey"], partitions=1)
+    one = lambda name, kind, nullable=True, told=None: T.StructType([T.StructField(name, kind, nullable, told)])
+    triple, even = (T.StructType([T.StructField(n, T.IntegerType()) for n in names]) for names in (("_0", "_1", "_2"), ("even",)))
+    broken = branches.withColumn("payload", F.when((F.col("path") == "nName") | F.col("path").startswith("nName."), F.expr("substring(payload, 1, 3)")).otherwise(F.col("payload")))
+    codes = branches.withColumn("payload", F.when(F.col("encoding") == "Union", F.lit(b'["even"]')).otherwise(F.col("payload")))
+    readers = {
+        "wrong kind": (branches, one("n_name", T.LongType())), "missing field": (branches, T.StructType([T.StructField("n_name", T.StringType()), T.StructField("n_gone", T.StringType(), False)])), "narrow number": (branches, one("far", T.ShortType())), "tuple arity": (branches, one("pair", triple, True, {"tuple": True})),
+        "list length": (branches, one("list", T.ArrayType(T.IntegerType()), True, {"fixed_length": 3})), "unknown variant": (branches, one("event", T.StructType([T.StructField("tag", T.StringType()), *even.fields]), True, {"union": True})),
+        "cut payload": (broken, one("n_name", T.StringType())), "code without value": (codes, one("event", t.schema["event"].dataType, True, {"union": True})),
+    }
+    found = [failure_of(spark, decode(b, schema), case) for case, (b, schema) in readers.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier")
+def store_roundtrip(spark, sf_dir):
+    """Written to a store and read from it; fields that aren't asked for aren't read."""
+    t = table(spark, sf_dir, "supplier")
+    path = new_store(spark, "supplier")
+    write_store(t, path, ["s_suppkey"])
+    return read_store(spark, path, T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_acctbal", T.DoubleType())]))
+
+
+@query("SELECT 'sSuppkey' AS field, count(*) AS n_values FROM supplier UNION ALL SELECT 'sName', count(*) FROM supplier UNION ALL SELECT 'sNationkey', count(*) FROM supplier UNION ALL SELECT 'sAcctbal', count(*) FROM supplier")
+def store_open(spark, sf_dir):
+    """What a store holds, without a schema."""
+    path = new_store(spark, "open")
+    write_store(table(spark, sf_dir, "supplier"), path, ["s_suppkey"])
+    return open_store(spark, path).filter(F.col("path") == F.col("field")).groupBy("field").agg(F.sum("n_values").alias("n_values"))
+
+
+@query("SELECT true AS paths, true AS encodings, true AS totals")
+def size_text(spark, sf_dir):
+    """The report as text holds every path, every encoding and the total."""
+    branches = encode(table(spark, sf_dir, "nation"), ["n_nationkey"], partitions=1)
+    text = F.lit(report.size_breakdown(branches))
+    holds = lambda df, c: df.agg(F.min(text.contains(F.concat(F.col("bytes").cast("string"), F.lit(" "), F.col(c)))).alias("x"))
+    whole = report.size_totals(branches).select(text.contains(F.concat(F.col("accounted").cast("string"), F.lit(" accounted"))).alias("totals"))
+    return holds(report.size_by_path(branches), "path").select(F.col("x").alias("paths")).join(holds(report.size_by_encoding(branches), "encoding").select(F.col("x").alias("encodings"))).join(whole)

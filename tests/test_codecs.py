@@ -79,3 +79,9 @@ def test_broken_payloads():
 def test_quantize(value, tolerance):
     q = K.quantized(np.array([value]), tolerance)[0]
     assert 0 <= value - q <= 2.0**tolerance
+
+
+def test_quantize_keeps_what_has_no_fraction():
+    a = np.array([1.7e308, -1e300, np.inf, -np.inf, 2.0**52 + 1, 0.75])
+    assert K.quantized(a, -10).tolist() == a.tolist()
+    assert np.isnan(K.quantized(np.array([np.nan]), -10))[0]
