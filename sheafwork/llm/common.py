@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; one of our own where that is unset and there is one machine, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         shared = getattr(work_dir, "own", None)
         if shared is None:
             shared = work_dir.own = "file://" + tempfile.mkdtemp(prefix="sheafwork-")

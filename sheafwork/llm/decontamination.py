@@ -272,7 +272,7 @@ def scan(phrases: Phrases, names: list[str], clean: bool, last: bool):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", *, window: int = 10, keep: list[str] | None = None, clean: bool = False, block_mb: int = 32, prefix: str = "") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", *, window: int = 10, keep: list[str] | None = None, clean: bool = False, block_mb: int = 4, prefix: str = "") -> DataFrame:
     """One row for each row of docs: the kept columns (by default the identifier), n_words, n_hit, items, word spans (pairs of
     longs, first word and word after the last) and, if `clean`, the text without the hit words. prefix: before the results' names."""
     keep = [id_col] if keep is None else keep

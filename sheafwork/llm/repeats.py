@@ -159,17 +159,15 @@ def merged_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 class RunLengthIndex:
-    """Run-compressed transform of a block, with the suffix positions on both sides of each run's border."""
+    """Samples of a block's run-compressed transform: the suffix positions on both sides of each run's border, and their common length. The runs themselves aren't kept, as no step goes through them."""
 
     def __init__(self, data: bytes):
         text = np.frombuffer(data + END, np.uint8)
         n = len(data)
         order = suffix_array_of_bytes(text[: n + 1])  # with one end mark, which is as good as a symbol: without it a border can be missed
         bwt = text[: n + 1][order - 1]
-        border = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
+        border = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1  # between runs
         self.n = n
-        self.heads = bwt[np.concatenate(([0], border))]
-        self.run_starts = np.concatenate(([0], border))
         self.last, self.first = order[border - 1], order[border]
         self.common = self._common(text, self.last, self.first)
 
