@@ -5,8 +5,9 @@ bounded memory. Shredding works on Arrow columns, which already hold one flat ar
 
 Metadata of a field tells what Spark's types can't: {"union": True} makes a struct a tagged union, whose field `tag` names the
 one other field that is set, or none for a variant without data; {"tuple": True} lets a struct be read only with as many
-fields as were written; {"fixed_length": n} lets a list be read only if all its lists have n elements. A reader's
-{"variants": [...]} names all variants that it knows, for unions with variants without data.
+fields as were written; {"fixed_length": n} lets a list be read only if all its lists have n elements; {"element": {...}} is
+what such metadata say of a list's elements; {"optional": True} has flags stored though no value is null. A reader's {"variants": [...]} names all variants that it knows, for unions with
+variants without data.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ BRANCHES = "field string, path string, types string, encoding string, chunk_id l
 
 def shred(path: str, kind: T.DataType, column: pa.Array, options: EncodeOptions, told: dict | None = None) -> Iterator[Leaf]:
     """Leaves of a column; a nullable part is a flag for each value and the values that are there."""
-    if column.null_count and not isinstance(kind, T.NullType):
+    if (column.null_count or len(column) and told and told.get("optional")) and not isinstance(kind, T.NullType):
         if column.null_count == len(column):
             yield path, "Void", "Void", len(column), b""
             return
         yield path, "Nullable", "Nullable", len(column), b""
         yield from bool_leaves(f"{path}.opt", np.asarray(column.is_valid()), options)
-        yield from shred(f"{path}.values", kind, column.drop_null(), options, told)
+        yield from shred(f"{path}.values", kind, column.drop_null(), options, {k: v for k, v in (told or {}).items() if k != "optional"})
         return
     n = len(column)
     if isinstance(kind, T.StructType) and told and told.get("union"):
@@ -53,7 +54,7 @@ def shred(path: str, kind: T.DataType, column: pa.Array, options: EncodeOptions,
     elif isinstance(kind, T.ArrayType):
         lengths, values = np.asarray(column.value_lengths()).astype(np.uint64), column.flatten()
         yield from listed(path, lengths, "List", options)
-        yield from shred(f"{path}.values", kind.elementType, values, options)
+        yield from shred(f"{path}.values", kind.elementType, values, options, (told or {}).get("element"))
     elif isinstance(kind, T.MapType):
         lengths = np.diff(np.asarray(column.offsets)).astype(np.uint64)
         low, high = column.offsets[0].as_py(), column.offsets[-1].as_py()
@@ -91,6 +92,17 @@ def union_leaves(path: str, kind: T.StructType, column: pa.Array, options: Encod
                 yield from shred(f"{path}.{canonical(name)}", f.dataType, parts[f.name].filter(pa.array(codes == code)), options, f.metadata)
 
 
+def name_bytes(named: T.StructType | list[str], told: dict | None = None) -> int:
+    """Bytes of the names of a struct's fields, or of variants, each with its length, and of a number of fields over 8; a tuple's have none."""
+    if isinstance(named, list):
+        sizes = [len(canonical(v).encode()) for v in named]
+        return sum(n + choose.varint_size(n) for n in sizes)
+    if (told or {}).get("tuple"):
+        return 0
+    n = len(named.fields)
+    return name_bytes(named.names) + (choose.varint_size(n - 9) if n > 8 else 0)
+
+
 def as_integers(kind: T.DataType, column: pa.Array) -> np.ndarray:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return np.asarray(column.cast(pa.timestamp("us", getattr(column.type, "tz", None))).cast(pa.int64()))
@@ -109,8 +121,8 @@ def signed_leaves(path: str, values: np.ndarray, options: EncodeOptions) -> Iter
 
 
 def listed(path: str, lengths: np.ndarray, kind: str, options: EncodeOptions) -> Iterator[Leaf]:
-    if len(lengths) and (lengths == lengths[0]).all():
-        yield path, f"{kind} Fixed", "Fixed Length", len(lengths), int(lengths[0]).to_bytes(8, "little")
+    if kind == "List" and len(lengths) and (lengths == lengths[0]).all():
+        yield path, "List Fixed", "Fixed Length", len(lengths), int(lengths[0]).to_bytes(8, "little")
     else:
         yield path, kind, "Variable Length", len(lengths), b""
         yield from int_leaves(f"{path}.len", lengths, options)
@@ -203,7 +215,7 @@ class Chunk:
             parts = [self.column(f"{path}.{canonical(f.name)}", f.dataType, f.nullable, n, f.metadata) for f in kind.fields]
             return pa.StructArray.from_arrays(parts, fields=list(arrow))
         if isinstance(kind, (T.ArrayType, T.MapType)):
-            return self._list(path, kind, types, encoding, n, told.get("fixed_length"))
+            return self._list(path, kind, types, encoding, n, told)
         if encoding in ("Object", "Union", "Fixed Length", "Variable Length"):
             raise SchemaMismatch(f"{path} is a {types}")
         return self._leaf(path, kind, types, n).cast(arrow)
@@ -230,19 +242,19 @@ class Chunk:
             parts.append(values.take(pa.array(np.where(here, np.cumsum(here) - 1, 0), mask=~here)))
         return pa.StructArray.from_arrays(parts, fields=list(arrow_type(kind)))
 
-    def _list(self, path: str, kind: T.ArrayType | T.MapType, types: str, encoding: str, n: int, fixed: int | None) -> pa.Array:
+    def _list(self, path: str, kind: T.ArrayType | T.MapType, types: str, encoding: str, n: int, told: dict) -> pa.Array:
         if not types.startswith("Map" if isinstance(kind, T.MapType) else "List"):
             raise SchemaMismatch(f"{path} is a {types}")
         if encoding == "Fixed Length":
             lengths = np.full(n, int.from_bytes(self.leaves[path][3], "little"), np.int64)
         else:
             lengths = read_ints(f"{path}.len", self.look).astype(np.int64)
-        if fixed is not None and (lengths != fixed).any():
-            raise SchemaMismatch(f"{path} has lists that don't have {fixed} elements")
+        if "fixed_length" in told and (lengths != told["fixed_length"]).any():
+            raise SchemaMismatch(f"{path} has lists that don't have {told['fixed_length']} elements")
         offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
         total = int(lengths.sum())
         if isinstance(kind, T.ArrayType):
-            values = self.column(f"{path}.values", kind.elementType, kind.containsNull, total) if total else pa.array([], arrow_type(kind.elementType))
+            values = self.column(f"{path}.values", kind.elementType, kind.containsNull, total, told.get("element")) if total else pa.array([], arrow_type(kind.elementType))
             return pa.ListArray.from_arrays(offsets, values)
         keys = self.column(f"{path}.keys", kind.keyType, False, total) if total else pa.array([], arrow_type(kind.keyType))
         values = self.column(f"{path}.values", kind.valueType, kind.valueContainsNull, total) if total else pa.array([], arrow_type(kind.valueType))

@@ -93,8 +93,8 @@ def float_leaves(path: str, values: np.ndarray, options: EncodeOptions) -> Itera
 
 
 def text_leaves(path: str, values: list[bytes], options: EncodeOptions) -> Iterator[Leaf]:
-    if not values:
-        yield path, "Void", "Void", 0, b""
+    if not values:  # texts keep their encoding and a length, unlike numbers
+        yield path, "String", "UTF-8", 0, b""
         return
     chosen = choose.smallest(choose.text_candidates(values[: options.sample_values], options), options.only)
     n = len(values)

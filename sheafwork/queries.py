@@ -18,6 +18,7 @@ from sheafwork.operators import branches as B
 from sheafwork.options import DecodeOptions, EncodeOptions, options
 from sheafwork.plans import report
 from sheafwork.plans.encoding import decode, encode
+from sheafwork.plans.values import decode_value, encode_value, value_size
 from sheafwork.sources.store import new_store, open_store, read_store, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -705,3 +706,76 @@ def size_text(spark, sf_dir):
     holds = lambda df, c: df.agg(F.min(text.contains(F.concat(F.col("bytes").cast("string"), F.lit(" "), F.col(c)))).alias("x"))
     whole = report.size_totals(branches).select(text.contains(F.concat(F.col("accounted").cast("string"), F.lit(" accounted"))).alias("totals"))
     return holds(report.size_by_path(branches), "path").select(F.col("x").alias("paths")).join(holds(report.size_by_encoding(branches), "encoding").select(F.col("x").alias("encodings"))).join(whole)
+
+
+# Single values
+
+
+def own_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with the statuses of their orders by key, in a map; customers without orders have an empty one."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.struct("o_orderkey", "o_orderstatus").alias("entry"))
+    known = table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left")
+    # A map of one customer's orders; collect_list leaves the null entries out.
+    return known.groupBy("c_custkey").agg(F.map_from_entries(F.collect_list("entry")).alias("orders"))
+
+
+def count_class(n: str) -> str:
+    return f"CASE WHEN {n} < 2 THEN {n}::VARCHAR ELSE 'N' END"
+
+
+def first_encoding(leaves):
+    return F.element_at(leaves, 1)["encoding"]
+
+
+def int_bytes_sql(c: str) -> str:
+    """Bytes of a single integer that isn't negative."""
+    return f"CASE WHEN {c} < 2 THEN 1 " + " ".join(f"WHEN {c} < {1 << (8 * n)} THEN {n + 1}" for n in range(1, 8)) + " ELSE 9 END"
+
+
+@query(f"SELECT c_custkey, 'List ' || {count_class('count(o_orderkey)')} AS encoding, count(o_orderkey) AS n, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS keys FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def single_lists(spark, sf_dir):
+    """Each customer's list of order keys by itself, written and read: of none, one and several."""
+    kind = T.ArrayType(T.LongType())
+    stored = own_orders(spark, sf_dir).select("c_custkey", encode_value(kind)(F.array_sort(F.map_keys("orders"))).alias("stored"))
+    read = stored.select("c_custkey", first_encoding(F.col("stored")).alias("encoding"), decode_value(kind)(F.col("stored")).alias("read"))
+    return read.select("c_custkey", "encoding", F.size("read").cast("long").alias("n"), F.array_join(F.col("read").cast("array<string>"), ",").alias("keys"))
+
+
+@query(f"SELECT c_custkey, 'Map ' || {count_class('count(o_orderkey)')} AS encoding, coalesce(string_agg(o_orderkey::VARCHAR || '=' || o_orderstatus, ',' ORDER BY o_orderkey), '') AS entries FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def single_maps(spark, sf_dir):
+    """Each customer's map of orders by itself, written and read."""
+    kind = T.MapType(T.LongType(), T.StringType())
+    stored = own_orders(spark, sf_dir).select("c_custkey", encode_value(kind)(F.col("orders")).alias("stored"))
+    read = stored.select("c_custkey", first_encoding(F.col("stored")).alias("encoding"), decode_value(kind)(F.col("stored")).alias("read"))
+    entries = F.transform(F.array_sort(F.map_entries("read")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
+    return read.select("c_custkey", "encoding", F.array_join(entries, ",").alias("entries"))
+
+
+@query(f"SELECT o_orderkey, o_orderkey::DOUBLE AS key, {int_bytes_sql('o_orderkey')}::BIGINT AS bytes FROM orders")
+def single_int_as_float(spark, sf_dir):
+    """Single integers, in the bytes that they need, read as floats."""
+    stored = table(spark, sf_dir, "orders").select("o_orderkey", encode_value(T.LongType())(F.col("o_orderkey")).alias("stored"))
+    return stored.select("o_orderkey", decode_value(T.DoubleType())(F.col("stored")).alias("key"), value_size(F.col("stored")).alias("bytes"))
+
+
+@query(f"SELECT n_nationkey, n_name, (1 + 11 + 6 + 11 + {int_bytes_sql('n_nationkey')} + 1 + strlen(n_name) + CASE WHEN strlen(n_name) < 4 THEN 0 ELSE 1 END + {int_bytes_sql('n_regionkey')})::BIGINT AS bytes FROM nation")
+def single_structs(spark, sf_dir):
+    """Each nation as a struct by itself: the names of its fields (nNationkey, nName, nRegionkey), then single values."""
+    t = table(spark, sf_dir, "nation")
+    kind = T.StructType(t.schema.fields)
+    stored = t.select(encode_value(kind)(F.struct(*t.columns)).alias("stored"))
+    return stored.select(decode_value(kind)(F.col("stored")).alias("read"), value_size(F.col("stored")).alias("bytes")).select("read.n_nationkey", "read.n_name", "bytes")
+
+
+@query("SELECT event_type, count(*) AS n, sum(1 + 1 + strlen(event_type) + CASE WHEN value = 0 OR value IN (1, -1) THEN 1 ELSE 9 END)::BIGINT AS bytes, max(value) AS largest FROM events GROUP BY event_type")
+def single_variants(spark, sf_dir):
+    """Each event as a variant by itself, whose data is its value."""
+    t = table(spark, sf_dir, "events")
+    names = ["click", "error", "purchase", "signup", "view"]
+    told = {"union": True}
+    # Every event type has a field; a type that isn't listed would be an error of the reader, not be lost.
+    kind = T.StructType([T.StructField("tag", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+    event = F.struct(F.col("event_type").alias("tag"), *[F.when(F.col("event_type") == n, F.col("value")).alias(n) for n in names])
+    stored = t.select(encode_value(kind, told)(event).alias("stored"))
+    read = stored.select(decode_value(kind, told)(F.col("stored")).alias("read"), value_size(F.col("stored")).alias("size"))
+    return read.groupBy(F.col("read.tag").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max(F.coalesce(*[F.col(f"read.{n}") for n in names])).alias("largest"))
