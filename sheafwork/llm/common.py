@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -57,6 +58,15 @@ def id_key(c: str = "doc_id") -> Column:
     return F.col(c).cast("string")
 
 
+def id_kind(docs: DataFrame, id_col: str) -> str:
+    """Identifiers are whole numbers or else text."""
+    return "long" if isinstance(docs.schema[id_col].dataType, T.IntegralType) else "string"
+
+
+def arrow_id(kind: str) -> pa.DataType:
+    return pa.int64() if kind == "long" else pa.string()
+
+
 def training_rows(labels: DataFrame, label_cols: list[str], sample_rows: int) -> DataFrame:
     """id and labels of labelled rows outside the held-out fold, about sample_rows of them at most, chosen by a hash of the identifier.
 

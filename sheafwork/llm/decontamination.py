@@ -12,7 +12,7 @@ digits, a-z (A-Z in lower case) and characters beyond ASCII.
 A benchmark over `block_mb` of text is taken in blocks, one pass for each; each pass adds to the spans found before.
 
 Defined results: null and empty texts have no words and no hits. Items without words have no phrases; repeated items count
-once by identifier; items without an identifier mark spans and aren't counted. Repeated documents are rows of their own.
+once by identifier; items without an identifier mark spans and aren't counted. Identifiers that are no whole numbers are text. Repeated documents are rows of their own.
 Empty tables give empty or hitless results. Other columns are passed on if asked for, and ignored else.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafwork.llm.common import binary_column
+from sheafwork.llm.common import arrow_id, binary_column, id_kind
 from sheafwork.llm.suffixes import suffix_array
 
 WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
@@ -51,7 +51,7 @@ class Vocabulary(dict):
 class Phrases:
     """The test phrases of a block of items: word numbers from 1, the different phrases by length, and their items."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
+    def __init__(self, items: list[tuple[int | str | None, bytes]], window: int):
         self.vocabulary = Vocabulary()
         owners: dict[tuple[int, ...], set] = {}
         pairs: set[tuple[int, int]] = set()
@@ -217,11 +217,13 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-RESULT = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.binary()), ("clean_text", pa.string())]
-RESULT_DDL = "n_words long, n_hit long, items array<long>, spans binary, clean_text string"
+def results_of(kind: str) -> tuple[pa.Schema, str]:
+    """Columns of the results for items whose identifiers are of a kind: in Arrow, and as DDL."""
+    schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(arrow_id(kind))), ("spans", pa.binary()), ("clean_text", pa.string())])
+    return schema, f"n_words long, n_hit long, items array<{kind}>, spans binary, clean_text string"
 
 
-def scan(phrases: Phrases, names: list[str], clean: bool, last: bool):
+def scan(phrases: Phrases, names: list[str], clean: bool, last: bool, results: pa.Schema):
     """Rows with text, spans and items so far, to rows with the spans and items of this block's phrases too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +251,8 @@ def scan(phrases: Phrases, names: list[str], clean: bool, last: bool):
                     for i, s in enumerate(spans):
                         if s:
                             kept[i] = without(texts[i], byte_spans(texts[i], np.frombuffer(s, np.int64).reshape(-1, 2))).decode()
-                made = [pa.array(x, kind) for x, (_, kind) in zip((counts, hits, items, spans, kept), RESULT, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + made, [*names, *(n for n, _ in RESULT)])
+                made = [pa.array(x, f.type) for x, f in zip((counts, hits, items, spans, kept), results, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + made, [*names, *results.names])
                 base += len(texts)
 
         docs = 0
@@ -276,20 +278,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row for each row of docs: the kept columns (by default the identifier), n_words, n_hit, items, word spans (pairs of
     longs, first word and word after the last) and, if `clean`, the text without the hit words. prefix: before the results' names."""
     keep = [id_col] if keep is None else keep
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("text"))
+    kind = id_kind(benchmark, item_col)
+    made, ddl = results_of(kind)
+    items = benchmark.select(F.col(item_col).cast(kind).alias("item"), F.col("text").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // (block_mb * BLOCK_UNIT)))
     names = [f"__keep{i}" for i in range(len(keep))]
     kinds = [docs.schema[c].dataType for c in keep]
-    state = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("text"), F.lit(b"").alias("spans"), F.array().cast("array<long>").alias("items"))
+    state = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("text"), F.lit(b"").alias("spans"), F.array().cast(f"array<{kind}>").alias("items"))
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         phrases = Phrases([(r["item"], (r["text"] or "").encode()) for r in own.collect()], window)  # a block's size is bounded
         last = b == blocks - 1
         carried = names if last else [*names, "text"]
         kept = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)] + ([] if last else [T.StructField("text", T.StringType())])
-        schema = T.StructType(kept + T.StructType.fromDDL(RESULT_DDL).fields)
-        state = state.select(*names, "text", "spans", "items").mapInArrow(scan(phrases, carried, clean, last), schema)
+        schema = T.StructType(kept + T.StructType.fromDDL(ddl).fields)
+        state = state.select(*names, "text", "spans", "items").mapInArrow(scan(phrases, carried, clean, last, made), schema)
     results = ["n_words", "n_hit", "items", "spans", *(["clean_text"] if clean else [])]
     return state.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[F.col(n).alias(prefix + n) for n in results])
 

@@ -13,12 +13,13 @@ equality; each terminal node holds the smallest and the largest identifier and t
 Defined results: a null text is an empty text, so null and empty texts are one class. Repeated rows and repeated
 identifiers count as rows; if rows of one text share the owner's identifier, all of them have `kept` true. An empty table
 gives an empty result. Other columns are ignored. Null identifiers: such a row is a row of its class, and never its owner
-unless all its rows have none.
+unless all its rows have none. Identifiers that are no whole numbers are text, in order of their code points.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import tempfile
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import binary_column, tasks, written
+from sheafwork.llm.common import arrow_id, binary_column, id_kind, tasks, written
 
 
 class Terminal:
@@ -129,12 +130,16 @@ class PatriciaTrie:
             stack.extend((child, text) for child in x[1].values())
 
 
-LOCAL = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("copy", pa.int64()), ("sha", pa.string()), ("length", pa.int64()), ("hash", pa.int64()), ("text", pa.binary()), ("rows", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-LOCAL_DDL = "row long, id long, copy long, sha string, length long, hash long, text binary, rows long, lo long, hi long"
+def local_schema(kind: str) -> tuple[pa.Schema, str]:
+    """For identifiers of a kind: in Arrow, and as DDL."""
+    own, whole = arrow_id(kind), pa.int64()
+    schema = pa.schema([("row", whole), ("id", own), ("copy", whole), ("sha", pa.string()), ("length", whole), ("hash", whole), ("text", pa.binary()), ("rows", whole), ("lo", own), ("hi", own)])
+    return schema, f"row long, id {kind}, copy long, sha string, length long, hash long, text binary, rows long, lo {kind}, hi {kind}"
 
 
-def local_owners(budget: int):
+def local_owners(budget: int, kind: str):
     """Rows of a task to (a) a narrow record for each row and (b) one record with text for each different text."""
+    schema = local_schema(kind)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie()
@@ -147,10 +152,10 @@ def local_owners(budget: int):
                 some.append((None, None, t.copy, None, length, hashed, text, t.rows, t.lo, t.hi))
                 held += len(text)
                 if held > 4 << 20 or len(some) >= 10_000:
-                    yield batch_of(some)
+                    yield batch_of(some, schema)
                     some, held = [], 0
             if some:
-                yield batch_of(some)
+                yield batch_of(some, schema)
 
         for batch in batches:
             ids, rows, hashes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "row", "hash"))
@@ -161,7 +166,7 @@ def local_owners(budget: int):
                     keys[row] = (len(text), hashed)
                 terminal.merge(1, i, i)
                 out.append((row, i, terminal.copy, hashlib.sha256(text).hexdigest(), None, None, None, None, None, None))
-            yield batch_of(out)
+            yield batch_of(out, schema)
             while trie.size > budget:
                 yield from copies(trie.spill())
         yield from copies(trie.drain())
@@ -169,14 +174,11 @@ def local_owners(budget: int):
     return run
 
 
-def batch_of(rows: list[tuple], schema: pa.Schema = LOCAL) -> pa.RecordBatch:
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-CLASSES = pa.schema([("copy", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("rows", pa.int64())])
-
-
 class Spilled:
     """Strings of one key that don't fit: (copy, rows, lo, hi, text) by first byte of the text, in files that go with the object."""
 
@@ -188,8 +190,7 @@ class Spilled:
         first = text[0] if text else 256
         if first not in self.files:
             self.files[first] = open(os.path.join(self.folder.name, str(first)), "w+b")  # noqa: SIM115
-        head = f"{copy} {rows} {'' if lo is None else lo},{'' if hi is None else hi} {len(text)}\n".encode()
-        self.files[first].write(head + text)
+        self.files[first].write(json.dumps([copy, rows, lo, hi, len(text)]).encode() + b"\n" + text)
 
     def each(self) -> Iterator[Iterator[tuple]]:
         for f in self.files.values():
@@ -201,13 +202,13 @@ class Spilled:
     @staticmethod
     def _rows(f) -> Iterator[tuple]:
         while head := f.readline():
-            copy, rows, ends, n = head.split()
-            lo, hi = ends.split(b",")
-            yield f.read(int(n)), int(copy), int(rows), int(lo) if lo else None, int(hi) if hi else None
+            copy, rows, lo, hi, n = json.loads(head)
+            yield f.read(n), copy, rows, lo, hi
 
 
-def global_owners(budget: int):
+def global_owners(budget: int, kind: str):
     """Copies of a task, sorted by (length, hash), to each copy's class. A trie holds one key's texts and goes with the key."""
+    schema = pa.schema([("copy", pa.int64()), ("lo", arrow_id(kind)), ("hi", arrow_id(kind)), ("rows", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, reached, spilled, key = PatriciaTrie(), [], None, None
@@ -221,13 +222,13 @@ def global_owners(budget: int):
         def done() -> Iterator[pa.RecordBatch]:
             nonlocal trie, reached, spilled
             if reached:
-                yield batch_of([(c, t.lo, t.hi, t.rows) for c, t in reached], CLASSES)
+                yield batch_of([(c, t.lo, t.hi, t.rows) for c, t in reached], schema)
             if spilled is not None:
                 for rows in spilled.each():
                     t, to = PatriciaTrie(), []
                     for x in rows:
                         insert(*x, t, to)
-                    yield batch_of([(c, k.lo, k.hi, k.rows) for c, k in to], CLASSES)
+                    yield batch_of([(c, k.lo, k.hi, k.rows) for c, k in to], schema)
                 spilled = None
             trie, reached = PatriciaTrie(), []
 
@@ -249,7 +250,7 @@ def global_owners(budget: int):
                 else:
                     insert(text, copy, rows, lo, hi, trie, reached)
             if held:
-                yield batch_of([(c, t.lo, t.hi, t.rows) for c, t in held], CLASSES)
+                yield batch_of([(c, t.lo, t.hi, t.rows) for c, t in held], schema)
         yield from done()
 
     return run
@@ -271,12 +272,13 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep: whether the row with the smallest or the largest identifier of equal texts stays. trie_mb: what a task's trie may hold.
     """
     budget = trie_mb << 20
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = id_kind(docs, id_col)
+    narrow = docs.select(F.col(id_col).cast(kind).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = narrow.select("id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
-    local = written(keyed.mapInArrow(local_owners(budget), LOCAL_DDL), "exact-local")
+    local = written(keyed.mapInArrow(local_owners(budget, kind), local_schema(kind)[1]), "exact-local")
     n = tasks(docs.sparkSession)
     copies = local.filter("text is not null").select("length", "hash", "copy", "text", "rows", "lo", "hi").repartition(n, "length", "hash").sortWithinPartitions("length", "hash")
-    classes = copies.mapInArrow(global_owners(budget), "copy long, lo long, hi long, rows long")
+    classes = copies.mapInArrow(global_owners(budget, kind), f"copy long, lo {kind}, hi {kind}, rows long")
     owner = "lo" if keep == "smallest" else "hi"
     members = local.filter("row is not null").select("id", "copy", "sha")
     out = members.join(classes.select("copy", F.col(owner).alias("keep_id"), F.col("rows").alias("group_size")), "copy")

@@ -22,7 +22,7 @@ large for a task.
 
 Defined results: null and empty texts have no bytes. Every row is a document, so strings of rows that come twice repeat, also
 if their identifiers are equal; rows of one identifier and different texts are told apart by the text. Null identifiers are
-an identifier like others. An empty table gives an empty result. Other columns are ignored.
+an identifier like others; identifiers that are no whole numbers are text. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import binary_column, tasks, written
+from sheafwork.llm.common import binary_column, id_kind, tasks, written
 from sheafwork.llm.suffixes import suffix_array_of_bytes
 
 PIECE = 32
@@ -339,23 +339,27 @@ def same_document(a: DataFrame, b: DataFrame):
     return a["id"].eqNullSafe(b["id"]) & (a["version"] == b["version"])
 
 
-RESULT_DDL = "id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept_sha256 string, kept binary"
+RESULT_DDL = "n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept_sha256 string, kept binary"
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, block_bytes: int = 900_000, texts: bool = True) -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_removed, spans (byte ranges that are removed), kept_sha256 and, if `texts`, the kept bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    kind = id_kind(docs, id_col)
+    own = F.col(id_col).cast(kind)
+    # Inside, a document goes by a whole number and the hash of its text.
+    key = own if kind == "long" else F.when(own.isNotNull(), F.xxhash64(own))
+    narrow = docs.select(key.alias("id"), F.xxhash64(text).alias("version"), text.alias("text"), own.alias("own"))
     starts = repeated_starts(narrow, length, block_bytes)
     marked = starts.groupBy("id", "version").agg(F.collect_list(F.struct("a", "e")).alias("starts"))  # of one document
-    joined = narrow.join(marked, same_document(narrow, marked), "left").select(narrow["id"], narrow["text"], "starts")
+    joined = narrow.join(marked, same_document(narrow, marked), "left").select(narrow["own"], narrow["text"], "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, data, own in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), batch.column(2).to_pylist(), strict=True):
+            for data, starts in zip(binary_column(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 spans: list[list[int]] = []
-                for a, b in sorted((x["a"], x["e"] + length) for x in own or ()):
+                for a, b in sorted((x["a"], x["e"] + length) for x in starts or ()):
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], b)
                     else:
@@ -365,13 +369,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     parts.append(data[at:a])
                     at = b
                 kept = b"".join([*parts, data[at:]])
-                out.append((i, len(data), len(data) - len(kept), [{"a": a, "b": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            yield table_of(out, RESULT)
+                out.append((len(data), len(data) - len(kept), [{"a": a, "b": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept if texts else None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *table_of(out, RESULT).columns], ["id", *RESULT.names])
 
-    return joined.mapInArrow(run, RESULT_DDL).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(run, f"id {kind}, {RESULT_DDL}").withColumnRenamed("id", id_col)
 
 
-RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+RESULT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -33,9 +33,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sheafwork.llm.common import binary_column, tasks
+from sheafwork.llm.common import binary_column, id_kind, tasks
 
 BREAK = re.compile(rb"(?<=[.!?])\s+|\n\s*")
 
@@ -226,11 +225,6 @@ def later_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).take(out) for i in (2, 3, 4, 5)], ["id", "version", "at", "n"])
 
 
-def id_kind(docs: DataFrame, id_col: str) -> str:
-    """Identifiers are whole numbers or else text."""
-    return "long" if isinstance(docs.schema[id_col].dataType, T.IntegralType) else "string"
-
-
 RESULT = pa.schema([("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("bytes_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 RESULT_DDL = "n_sentences long, n_removed long, bytes_removed long, kept_sha256 string, kept string"
 

@@ -71,6 +71,16 @@ def test_report_matches_brute_force(spark, monkeypatch):
     assert rows_of(D.leak_report(docs, bench, block_mb=1)) == want
 
 
+def test_identifiers_of_text(spark):
+    rows = [(1, "one two three four five"), (2, None), (3, "three four five six")]
+    bench = spark.createDataFrame([("b", "two three four"), ("a", "three four five"), ("a", "three four five"), (None, "five six")], "item_id string, text string")
+    docs = documents(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    out = {r.doc_id: r for r in D.find_leaks(docs, bench).collect()}
+    assert out["d1"]["items"] == ["a", "b"] and out["d2"]["items"] == [] and out["d3"]["items"] == ["a"] and out["d3"].n_hit == 4
+    report = {r.doc_id: r for r in D.leak_report(docs, bench).collect()}
+    assert report["d1"].items_sha256 == hashlib.sha256(b"a,b").hexdigest()
+
+
 def test_clean_text(spark):
     rows = [(1, "Say: One two, three FOUR five!"), (2, None), (3, "nothing")]
     bench = spark.createDataFrame([(1, "two three four")], "item_id long, text string")

@@ -2,6 +2,7 @@ import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sheafwork.llm.exact_dedup import PatriciaTrie, exact_dedup, exact_owners, shared_prefix
 from tests.llm.helpers import corpus, documents, empty
@@ -52,6 +53,14 @@ def test_owners_match_brute_force(spark):
     assert rows_of(exact_owners(docs, keep="smallest", trie_mb=0)) == expected(rows, min)
 
 
+def test_identifiers_of_text(spark):
+    rows = [(None if i is None else f"k\n{i:03}", t) for i, t in [*corpus(), (None, "a"), (7, "a")]]
+    docs = documents(spark, corpus()[:1]).limit(0).drop("doc_id").withColumn("doc_id", F.lit(""))
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), allowMissingColumns=True)
+    assert rows_of(exact_owners(docs, keep="largest")) == expected(rows, max)
+    assert rows_of(exact_owners(docs, keep="smallest", trie_mb=0)) == expected(rows, min)
+
+
 def test_rows_that_stay(spark):
     rows = corpus()
     docs = documents(spark, rows)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sheafwork.llm import repeats as R
 from sheafwork.llm.suffixes import suffix_array, suffix_array_of_bytes
@@ -59,13 +60,20 @@ def expected(rows, length):
 
 @pytest.mark.parametrize("block", [900_000, 40])
 def test_report_matches_brute_force(spark, block):
-    rows = corpus(4)
-    rows = [(i, t) for i, t in rows if t is None or len(t) < 5000] + [(500, "xyz" * 60), (501, "q" * 300)]
+    rows = corpus(4) + [(500, "xyz" * 60), (501, "q" * 300)]
+    rows.append((502, corpus(4)[-2][1][30_000:]))  # the second half of the long text
     rows += [rows[0], rows[1], (rows[2][0], "another text " * 20), (None, rows[3][1])]
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in R.repeat_report(documents(spark, rows), length=90, block_bytes=block).collect())
     assert got == expected(rows, 90)
 
 
+def test_identifiers_of_text(spark):
+    rows = [(i, t) for i, t in corpus(4) if t is None or len(t) < 5000] + [(7, None), (None, "xyz" * 60)]
+    docs = documents(spark, rows).withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id")))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in R.repeat_report(docs, length=90).collect())
+    assert got == sorted((f"doc {i}" if i != "None" else i, *rest) for i, *rest in expected(rows, 90))
+
+
 def test_parts_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(R, "PART", 37)
     rows = [(i, t) for i, t in corpus(4) if t is None or len(t) < 3000]
