@@ -347,12 +347,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = id_kind(docs, id_col)
     own = F.col(id_col).cast(kind)
-    # Inside, a document goes by a whole number and the hash of its text.
-    key = own if kind == "long" else F.when(own.isNotNull(), F.xxhash64(own))
-    narrow = docs.select(key.alias("id"), F.xxhash64(text).alias("version"), text.alias("text"), own.alias("own"))
+    # Inside, a document goes by a whole number and the hash of its text. Where that is the identifier, no column is added: both joins then use one exchange.
+    named = {"id": own} if kind == "long" else {"id": F.when(own.isNotNull(), F.xxhash64(own)), "own": own}
+    narrow = docs.select(*[c.alias(n) for n, c in named.items()], F.xxhash64(text).alias("version"), text.alias("text"))
     starts = repeated_starts(narrow, length, block_bytes)
     marked = starts.groupBy("id", "version").agg(F.collect_list(F.struct("a", "e")).alias("starts"))  # of one document
-    joined = narrow.join(marked, same_document(narrow, marked), "left").select(narrow["own"], narrow["text"], "starts")
+    joined = narrow.join(marked, same_document(narrow, marked), "left").select(narrow[list(named)[-1]], narrow["text"], "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
