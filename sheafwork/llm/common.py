@@ -68,17 +68,22 @@ def arrow_id(kind: str) -> pa.DataType:
 
 
 def training_rows(labels: DataFrame, label_cols: list[str], sample_rows: int) -> DataFrame:
-    """id and labels of labelled rows outside the held-out fold, about sample_rows of them at most, chosen by a hash of the identifier.
+    """Different pairs of id and labels outside the held-out fold, about sample_rows of them at most, chosen by a hash of the identifier.
 
-    Their number is bounded whatever the table's size, so that they can be sent to the documents.
+    Their number is bounded whatever the table's size, and however often an identifier comes, so that they can be sent to the documents.
     """
-    known = labels.select(F.col("doc_id").alias("id"), *[F.col(c).cast("int").alias(c) for c in label_cols]).filter(" and ".join(f"{c} in (0, 1)" for c in label_cols)).filter(fold() != 0)
+    known = labels.select(F.col("doc_id").alias("id"), *[F.col(c).cast("int").alias(c) for c in label_cols]).filter(" and ".join(f"{c} in (0, 1)" for c in label_cols)).filter(fold() != 0).distinct()
     n = known.count()
     if n > sample_rows:
         known = known.filter(F.shiftrightunsigned(F.xxhash64("id"), 34) < int((1 << 30) * sample_rows / n))
     return known
 
 
+def one_of_each(featured: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of features x for each of the keys, the smallest, so that no more rows than labelled ones are collected."""
+    return featured.groupBy(*keys).agg(F.min("x").alias("x"))
+
+
 def fold(id_col: str = "id") -> Column:
     """Remainder by which rows are held out: 0."""
     return F.crc32(F.coalesce(id_key(id_col), F.lit("")).cast("binary")) % 5

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import binary_column, id_key, training_rows, written
+from sheafwork.llm.common import binary_column, id_key, one_of_each, training_rows, written
 from sheafwork.llm.decontamination import words_of
 from sheafwork.llm.quality import FEATURES, AdditiveModel, features_of
 
@@ -126,7 +126,8 @@ def fit_membership(docs: DataFrame, labels: DataFrame, sample_rows: int, broadca
 
     known = training_rows(labels, ["quality", "toxic"], sample_rows)
     marked = docs.join(F.broadcast(known), "id").select("id", "quality", "toxic", "text")
-    got = marked.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, quality int, toxic int, x array<float>").toPandas().sort_values(["id", "quality", "toxic"])  # about sample_rows rows
+    featured = marked.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, quality int, toxic int, x array<float>")
+    got = one_of_each(featured, ["id", "quality", "toxic"]).toPandas().sort_values(["id", "quality", "toxic"])  # about sample_rows rows
     return Membership(weights, np.array(got["x"].tolist(), float).reshape(-1, WIDE), got["quality"].to_numpy(float), got["toxic"].to_numpy(float))
 
 

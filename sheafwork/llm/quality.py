@@ -11,7 +11,8 @@ that, rows are taken by a hash of the identifier. Features and scores cover all
 
 Defined results: null and empty texts have all-zero features and get the model's score for them. Labels other than 0 and 1,
 null too, are not used. Without training rows every score is 0.5; with one class only, the score is its smoothed share. Null
-identifiers count as empty text for the fold. Repeated rows are scored each. Empty tables give an empty result.
+identifiers count as empty text for the fold. Repeated rows are scored each; a labelled identifier is one
+training row, whatever rows share it. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import binary_column, fold, training_rows
+from sheafwork.llm.common import binary_column, fold, one_of_each, training_rows
 
 FEATURES = (
     "log_bytes", "log_words", "upper", "digit", "space", "newline", "beyond_ascii", "stop_marks", "commas", "loud_marks", "bars", "symbols", "brackets",
@@ -205,7 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, sample_rows: int)
 
     known = training_rows(labels, [label_col], sample_rows)
     marked = docs.join(F.broadcast(known), "id").select("id", F.col(label_col).alias("y"), "text")
-    got = marked.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, y int, x array<float>").toPandas().sort_values(["id", "y"])  # one order, so that sums are the same each time
+    featured = marked.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, y int, x array<float>")
+    got = one_of_each(featured, ["id", "y"]).toPandas().sort_values(["id", "y"])  # one order, so that sums are the same each time
     return AdditiveModel().fit(np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float))
 
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -40,6 +41,25 @@ def test_targets_are_met(spark):
     assert all((by[i].toxic > 0.5) == ("vileword" in t or "badname" in t) for i, t in rows[:800])
 
 
+def test_posteriors_match_plain_counts(spark):
+    rows, labels = labelled_rows(300)
+    table = spark.createDataFrame(labels, SCHEMA)
+    out = {r.doc_id: r for r in M.mixed(documents(spark, rows), table, {"good": 0.8, "poor": 0.1, "toxic": 0.1}).collect()}
+    text = {i: t.encode() for i, t in rows}
+    known = [x for x in sorted(labels) if zlib.crc32(str(x[0]).encode()) % 5]
+    sides = [[set(M.words_of(text[i])) for i, _, toxic in known if toxic == side] for side in (0, 1)]
+    weights = {}
+    for w in set().union(*sides[1]):
+        n0, n1 = (sum(w in words for words in side) for side in sides)
+        if n1 >= max(5, -(-len(sides[1]) // 400)):
+            weights[w] = np.log((n1 + 0.5) / (len(sides[1]) + 1)) - np.log((n0 + 0.5) / (len(sides[0]) + 1))
+    assert {b"vileword", b"badname"} <= set(weights)
+    model = M.Membership(weights, M.table_of([text[i] for i, _, _ in known], weights), np.array([float(q) for _, q, _ in known]), np.array([float(t) for _, _, t in known]))
+    want = model.posteriors([t for _, t in sorted(text.items())])
+    got = np.array([[out[i][d] for d in M.DOMAINS] for i in sorted(text)])
+    assert np.abs(got - want).max() < 1e-6
+
+
 def test_steps_find_the_least_squares(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.4] * 3, 60)
