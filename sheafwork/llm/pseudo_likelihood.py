@@ -1,13 +1,14 @@
 """Language-model scoring: masked pseudo-likelihood.
 
 A window network predicts every word from the words on both sides: each place of the window has a table with a row for each
-word, the rows are summed and go through tanh, and a softmax in two levels (a class of words, then the word in its class) gives
-the word's probability. A document's score is the sum of its words' conditional log-probabilities.
-
-1. Words are counted over the whole corpus. The most frequent ones are numbered by rank, in classes of equal size. All others
-   share the numbers of the last classes, by their last two bytes; such a word's probability is that of its shared number times
-   the share of its own count in that number's count. Those counts are kept in cells, by a hash of the word. Classes,
-   members and cells grow with the number of different words, up to the limits of `Shape`.
+word, the rows are summed and go through tanh, and a softmax in levels (a class of words, a group in the class, then the word in
+its group) gives the word's probability. A document's score is the sum of its words' conditional log-probabilities.
+
+1. Words are counted over the whole corpus. All of them are numbered by rank, in classes and groups of equal size, as long as
+   they are no more than `most_numbered`; of more, the most frequent ones. Others share the last numbers, by their
+   last two bytes; such a word's probability is that of its shared number times the share of its own count in that number's
+   count. Those counts are kept in cells, by a hash of the word. Classes, groups, members and cells grow with the number of
+   different words, up to the limits of `Shape`.
 2. Documents become lists of numbers, once. For training they are dealt to virtual shards by a hash of identifier and text. The
    shards' number follows from the corpus alone, and so does the order in a shard, and a shard is one row of the table that is
    written. So scores don't depend on how the tables are partitioned. Equal rows are in one shard.
@@ -24,6 +25,7 @@ scored each. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +33,6 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,34 +42,48 @@ from sheafwork.llm.decontamination import words_of
 
 @dataclass(frozen=True)
 class Shape:
-    """classes, members and cells: 0 for as many as the corpus asks for."""
+    """classes, members and cells: 0 for as many as the corpus asks for. Where classes and members are both 0, so are the groups of a class."""
 
     classes: int = 0
     members: int = 0
+    groups: int = 1
     hidden: int = 16
     side: int = 1
-    shared: int = 4  # the last so many classes are of words without a number of their own
+    shared: int = 4  # the last so many classes (or groups, where classes have any) are of words without a number of their own
     cells: int = 0
-    rate: float = 0.15
+    rate: float = 0.3
     rounds: int = 3
-    batch: int = 8192
+    batch: int = 16384
+    steps: int = 64  # of a shard's round at least, by smaller batches
     shard_words: int = 2_000_000
     most_classes: int = 256
+    most_numbered: int = 1 << 16
     most_cells: int = 1 << 21
 
     def sized(self, kinds: int) -> Shape:
-        """For a corpus of so many different words: classes and members grow with its fourth root, so the frequent words with its square root."""
+        """For a corpus of so many different words: classes grow with its fourth root, groups and members so that each word has a number, up to `most_numbered`."""
         side = int(min(self.most_classes, max(2 * self.shared, round(0.8 * kinds**0.25))))
         cells = int(min(self.most_cells, 1 << max(10, (2 * kinds).bit_length())))
-        return replace(self, classes=self.classes or side, members=self.members or side, cells=self.cells or cells)
+        if self.classes or self.members:
+            return replace(self, classes=self.classes or side, members=self.members or side, cells=self.cells or cells)
+        each = max(self.shared, math.ceil(math.sqrt(min(kinds, self.most_numbered) / (side - 1))))
+        return replace(self, classes=side, groups=each, members=each, cells=self.cells or cells)
+
+    @property
+    def class_size(self) -> int:
+        return self.groups * self.members
 
     @property
     def numbered(self) -> int:
-        return (self.classes - self.shared) * self.members
+        return self.size - self.shared_numbers
 
     @property
     def size(self) -> int:
-        return self.classes * self.members
+        return self.classes * self.class_size
+
+    @property
+    def shared_numbers(self) -> int:
+        return self.shared * self.members
 
 
 class Vocabulary:
@@ -91,11 +106,11 @@ class Vocabulary:
 
     def cell(self, word: bytes) -> int:
         """Cells of one shared number have one remainder."""
-        many = self.shape.shared * self.shape.members
+        many = self.shape.shared_numbers
         return zlib.crc32(word) % max(1, self.shape.cells // many) * many + zlib.crc32(word[-2:]) % many
 
     def shared_number(self, cell):
-        return self.shape.numbered + cell % (self.shape.shared * self.shape.members)
+        return self.shape.numbered + cell % self.shape.shared_numbers
 
     def read(self, text: bytes) -> tuple[np.ndarray, float]:
         """Numbers of a text's words, and the sum of the logarithms of the shares that words have in their numbers."""
@@ -114,7 +129,9 @@ class Vocabulary:
 class WindowNetwork:
     def __init__(self, shape: Shape, flat: np.ndarray | None = None):
         self.shape = s = shape
-        self.dims = [(2 * s.side, s.size + 1, s.hidden), (s.hidden,), (s.hidden, s.classes), (s.classes,), (s.classes, s.hidden, s.members), (s.classes, s.members)]
+        self.dims = [(2 * s.side, s.size + 1, s.hidden), (s.hidden,), (s.hidden, s.classes), (s.classes,), (s.classes * s.groups, s.hidden, s.members), (s.classes * s.groups, s.members)]
+        if s.groups > 1:
+            self.dims += [(s.classes, s.hidden, s.groups), (s.classes, s.groups)]
         if flat is None:
             flat = (np.random.default_rng(11).standard_normal(sum(int(np.prod(d)) for d in self.dims)) * 0.05).astype(np.float32)
         self.flat, self.parts, at = flat, [], 0
@@ -126,9 +143,12 @@ class WindowNetwork:
 
     def start_from(self, total: np.ndarray) -> WindowNetwork:
         """Biases from the words' frequencies."""
-        counts = total.reshape(self.shape.classes, self.shape.members) + 0.1
-        self.parts[3][:] = np.log(counts.sum(axis=1) / counts.sum())
-        self.parts[5][:] = np.log(counts / counts.sum(axis=1, keepdims=True))
+        s = self.shape
+        counts = total.reshape(s.classes, s.groups, s.members) + 0.1
+        self.parts[3][:] = np.log(counts.sum(axis=(1, 2)) / counts.sum())
+        self.parts[5][:] = np.log(counts / counts.sum(axis=2, keepdims=True)).reshape(-1, s.members)
+        if s.groups > 1:
+            self.parts[7][:] = np.log(counts.sum(axis=2) / counts.sum(axis=(1, 2))[:, None])
         return self
 
     def hidden(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -139,43 +159,66 @@ class WindowNetwork:
         return np.tanh(total, out=total)
 
     @staticmethod
-    def normed(logits: np.ndarray) -> np.ndarray:
-        """Log-softmax by rows, in place."""
+    def picked(logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        """Each row's logarithm of the softmax at its choice; logits is used up."""
+        logits -= logits.max(axis=1, keepdims=True)
+        found = logits[np.arange(len(choice)), choice]
+        return found - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+    @staticmethod
+    def slopes(logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        """Of the negative logarithm of the softmax at each row's choice, in place."""
         logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        logits[np.arange(len(choice)), choice] -= 1
         return logits
 
-    def by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Class, rows with a target of the class, and their members."""
-        group = target // self.shape.members
-        order = np.argsort(group, kind="stable")
-        edges = np.flatnonzero(np.diff(group[order])) + 1
-        for rows in np.split(order, edges):
-            if len(rows):
-                yield int(group[rows[0]]), rows, target[rows] % self.shape.members
+    def levels(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Below the classes: the weights' part (biases follow), and each sorted target's set of weights and choice in it."""
+        s = self.shape
+        if s.groups > 1:
+            yield 6, target // s.class_size, target // s.members % s.groups
+        yield 4, target // s.members, target % s.members
+
+    def logits(self, part: int, h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+        """Logits of all choices at a level, by sorted keys; key, first and last row of each run of a key; the first rows."""
+        weights, bias = self.parts[part], self.parts[part + 1]
+        first = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+        runs = list(zip(key[first].tolist(), first.tolist(), [*first[1:].tolist(), len(key)], strict=True))
+        out = bias[key]
+        for k, a, b in runs:
+            out[a:b] += h[a:b] @ weights[k]
+        return out, runs, first
 
     def log_probability(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h, target = self.hidden(numbers, at), numbers[at]
-        _, _, class_w, class_b, word_w, word_b = self.parts
-        out = self.normed(h @ class_w + class_b)[np.arange(len(at)), target // self.shape.members]
-        for c, rows, member in self.by_class(target):
-            out[rows] += self.normed(h[rows] @ word_w[c] + word_b[c])[np.arange(len(rows)), member]
+        if not len(at):
+            return np.zeros(0)
+        order = np.argsort(numbers[at], kind="stable")
+        h, target = self.hidden(numbers, at[order]), numbers[at[order]]
+        found = self.picked(h @ self.parts[2] + self.parts[3], target // self.shape.class_size)
+        for part, key, choice in self.levels(target):
+            found += self.picked(self.logits(part, h, key)[0], choice)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradient(self, numbers: np.ndarray, at: np.ndarray) -> list[tuple[int, object, np.ndarray]]:
         """Of the mean negative log-probability: part, rows of the part (or all), values."""
+        at = at[np.argsort(numbers[at], kind="stable")]
         h, target, n = self.hidden(numbers, at), numbers[at], np.float32(len(at))
-        _, _, class_w, class_b, word_w, word_b = self.parts
-        d = np.exp(self.normed(h @ class_w + class_b))
-        d[np.arange(len(at)), target // self.shape.members] -= 1
+        d = self.slopes(h @ self.parts[2] + self.parts[3], target // self.shape.class_size)
         out: list[tuple[int, object, np.ndarray]] = [(2, slice(None), h.T @ d / n), (3, slice(None), d.sum(axis=0) / n)]
-        dh = d @ class_w.T
-        for c, rows, member in self.by_class(target):
-            own = h[rows]
-            d = np.exp(self.normed(own @ word_w[c] + word_b[c]))
-            d[np.arange(len(rows)), member] -= 1
-            out += [(4, c, own.T @ d / n), (5, c, d.sum(axis=0) / n)]
-            dh[rows] += d @ word_w[c].T
+        dh = d @ self.parts[2].T
+        for part, key, choice in self.levels(target):
+            logits, runs, first = self.logits(part, h, key)
+            d, weights = self.slopes(logits, choice), self.parts[part]
+            own = np.empty((len(runs), *weights.shape[1:]), weights.dtype)
+            for i, (k, a, b) in enumerate(runs):
+                np.matmul(h[a:b].T, d[a:b], out=own[i])
+                dh[a:b] += d[a:b] @ weights[k].T
+            own /= n
+            out += [(part, key[first], own), (part + 1, key[first], np.add.reduceat(d, first, axis=0) / n)]
         dh *= 1 - h * h
         dh /= n
         out.append((1, slice(None), dh.sum(axis=0)))
@@ -216,15 +259,15 @@ def round_of(n: int, rounds: int) -> np.ndarray:
 
 
 PIECE = 4096
-PIECES_DDL = "piece int, part int, weight double, vals binary"
+PIECES_DDL = "piece int, weight double, vals binary"
 
 
-def piece_batch(piece: int, part: int, weight: float, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part], pa.int32()), pa.array([float(weight)]), pa.array([values.tobytes()], pa.binary())], ["piece", "part", "weight", "vals"])
+def piece_batch(piece: int, weight: float, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([float(weight)]), pa.array([values.astype(np.float32).tobytes()], pa.binary())], ["piece", "weight", "vals"])
 
 
 def trained(shape: Shape, flat: np.ndarray, this: int):
-    """Shards (words with edges) to pieces of the sum of their networks, weighted by their places: piece, part, weight, values."""
+    """Shards (words with edges) to pieces of the mean change of their networks, weighted by their places: piece, weight, values."""
     rate = shape.rate / (1 + this)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,32 +277,37 @@ def trained(shape: Shape, flat: np.ndarray, this: int):
                 words = np.frombuffer(row.as_buffer(), np.int32)
                 places = np.flatnonzero((words < shape.size) & (round_of(len(words), shape.rounds) == this))
                 net, squares = WindowNetwork(shape, flat.copy()), WindowNetwork(shape, np.full_like(flat, 1e-6))  # sums of squared gradients scale the steps
-                for at in range(0, len(places), shape.batch):
-                    for part, rows, g in net.gradient(words, places[at : at + shape.batch]):
-                        squares.parts[part][rows] += g * g
-                        net.parts[part][rows] -= rate * g / np.sqrt(squares.parts[part][rows])
+                batch = min(shape.batch, max(256, len(places) // shape.steps))
+                for at in range(0, len(places), batch):
+                    for part, rows, g in net.gradient(words, places[at : at + batch]):
+                        sums = squares.parts[part][rows]
+                        sums += g * g
+                        squares.parts[part][rows] = sums
+                        net.parts[part][rows] -= rate * g / np.sqrt(sums)
+                net.flat -= flat  # what wasn't learned is 0, which compresses
                 total += net.flat * np.float64(len(places))
                 whole += len(places)
         if whole:
+            total /= whole
             for k, at in enumerate(range(0, len(flat), PIECE)):
-                yield piece_batch(k, TaskContext.get().partitionId() % 64, whole, total[at : at + PIECE])
+                yield piece_batch(k, whole, total[at : at + PIECE])
 
     return run
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of a task, in order, to one sum for each (piece, part)."""
+    """Pieces of a task, in order, to one weighted mean for each."""
     key, weight, total = None, 0.0, np.zeros(0)
     for batch in batches:
-        for piece, part, w, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != (piece, part):
+        for piece, w, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != piece:
                 if key is not None:
-                    yield piece_batch(*key, weight, total)
-                key, weight, total = (piece, part), 0.0, np.zeros(len(values) // 8)
+                    yield piece_batch(key, weight, total / weight)
+                key, weight, total = piece, 0.0, np.zeros(len(values) // 4)
             weight += w
-            total += np.frombuffer(values)
+            total += np.frombuffer(values, np.float32) * np.float64(w)
     if key is not None:
-        yield piece_batch(*key, weight, total)
+        yield piece_batch(key, weight, total / weight)
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
@@ -288,10 +336,15 @@ def counted_words(docs: DataFrame) -> DataFrame:
 def read_vocabulary(docs: DataFrame, shape: Shape) -> tuple[Vocabulary, int]:
     """The vocabulary of the corpus, and the number of its words."""
     words = counted_words(docs)
-    whole = words.agg(F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    shape = shape.sized(whole["kinds"])
-    top = words.orderBy(F.desc("n"), "word").limit(shape.numbered).collect()  # classes x members at most
-    known = {bytes(r["word"]): r["n"] for r in top}
+    kinds = sorted((r["n"], r["kinds"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("kinds")).collect())  # different counts alone: fewer than twice the root of the words
+    shape = shape.sized(sum(k for _, k in kinds))
+    least, left = 0, shape.numbered
+    for least, k in reversed(kinds):
+        left -= k
+        if left <= 0:
+            break
+    top = written(words.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(shape.numbered), "lm-top").collect()  # in tasks, since the driver would get so many from each of them
+    known = {bytes(r["word"]): r["n"] for r in sorted(top, key=lambda r: (-r["n"], bytes(r["word"])))}
     frame = Vocabulary([], [], np.zeros(0, np.int64), shape)
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,11 +352,11 @@ def read_vocabulary(docs: DataFrame, shape: Shape) -> tuple[Vocabulary, int]:
             found = [(frame.cell(w), n) for w, n in zip(binary_column(batch, "word"), batch.column(1).to_pylist(), strict=True) if w not in known]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["cell", "n"])
 
-    cells = np.zeros(shape.cells + shape.shared * shape.members, np.float32)
+    cells = np.zeros(shape.cells + shape.shared_numbers, np.float32)
     counts = words.mapInArrow(celled, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     for batch in counts.select(F.col("cell").cast("int"), F.col("n").cast("float")).toArrow().to_batches():  # a row for each cell at most
         cells[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return Vocabulary(list(known), list(known.values()), cells, shape), whole["n"]
+    return Vocabulary(list(known), list(known.values()), cells, shape), sum(n * k for n, k in kinds)
 
 
 def numbered_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -348,10 +401,9 @@ def train_network(shards: DataFrame, vocabulary: Vocabulary) -> WindowNetwork:
     net = WindowNetwork(shape).start_from(vocabulary.total)
     for this in range(shape.rounds):
         pieces = shards.mapInArrow(trained(shape, net.flat, this), PIECES_DDL)
-        few = pieces.repartition("piece", "part").sortWithinPartitions("piece", "part").mapInArrow(summed, PIECES_DDL).withColumn("part", F.lit(0))
-        whole = few.repartition("piece").sortWithinPartitions("piece").mapInArrow(summed, PIECES_DDL).orderBy("piece").collect()  # one set of parameters
+        whole = sorted(pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(summed, PIECES_DDL).collect())  # one set of parameters
         if whole:
-            net = WindowNetwork(shape, np.concatenate([np.frombuffer(r["vals"]) / r["weight"] for r in whole]).astype(np.float32))
+            net = WindowNetwork(shape, net.flat + np.concatenate([np.frombuffer(r["vals"], np.float32) for r in whole]))
     return net
 
 
@@ -376,9 +428,11 @@ def score_numbers(lists: list[bytes], net: WindowNetwork) -> tuple[np.ndarray, n
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shape: Shape = Shape()) -> DataFrame:
     """One row for each row of docs: id, n_words, log_likelihood, mean_log_likelihood."""
-    documents, _, net = fit(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shape)
+    documents, _, made = fit(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shape)
+    shape, flat = made.shape, made.flat  # sent once, without its parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = WindowNetwork(shape, flat)
         for batch, lists in small_batches(batches, "numbers"):
             counts, logs = score_numbers(lists, net)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(logs + batch.column(2).to_numpy())], ["id", "n_words", "log_likelihood"])

@@ -119,3 +119,39 @@ def test_counts_cover_all_words(spark):
 
 def test_empty_table(spark):
     assert P.score_documents(empty(spark), shape=SMALL).count() == 0
+
+
+def test_every_word_has_a_number_as_far_as_the_limit_reaches(spark):
+    assert all(P.Shape().sized(n).numbered >= min(n, P.Shape().most_numbered) for n in (1, 10, 28, 300, 10**4, 65_536, 10**6, 10**12))
+    rows = corpus(13)
+    vocabulary, n = P.read_vocabulary(narrow(documents(spark, rows)), P.Shape())
+    counts = Counter(w for _, t in rows for w in P.words_of((t or "").encode()))
+    assert set(vocabulary.numbers) == set(counts) and vocabulary.total[: len(counts)].sum() == n == sum(counts.values())
+
+
+GROUPS = replace(SMALL, classes=2, groups=3, members=5)
+
+
+def test_gradient_with_groups():
+    net = P.WindowNetwork(GROUPS, np.random.default_rng(0).standard_normal(P.WindowNetwork(GROUPS).flat.size) * 0.5)
+    words = np.array([30, 30, 3, 4, 29, 7, 30, 30, 0, 17, 30, 30])
+    at = np.flatnonzero(words < 30)
+    whole = P.WindowNetwork(GROUPS, np.zeros_like(net.flat))
+    for part, rows, g in net.gradient(words, at):
+        whole.parts[part][rows] += g
+    for k in range(0, net.flat.size, 3):
+        old, ends = net.flat[k], []
+        for e in (1e-5, -1e-5):
+            net.flat[k] = old + e
+            ends.append(-net.log_probability(words, at).mean())
+        net.flat[k] = old
+        assert abs((ends[0] - ends[1]) / 2e-5 - whole.flat[k]) < 1e-6
+
+
+def test_probabilities_of_groups_sum_to_one_and_start_from_counts():
+    counts = np.arange(30.0)
+    net = P.WindowNetwork(GROUPS).start_from(counts)
+    net.parts[0][:] = net.parts[1][:] = 0
+    words = np.concatenate([[30, 30], np.arange(30), [30, 30]])
+    found = np.exp([net.log_probability(words, np.array([k]))[0] for k in range(2, 32)])
+    assert np.allclose(found, (counts + 0.1) / (counts + 0.1).sum(), atol=1e-5)
