@@ -225,11 +225,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, threshold: float = 0.3, sample_rows: int = 30_000) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns; each row is judged by itself, where it stands."""
+    """The rows of docs that are not rejected, with all their columns; each row is judged by itself, where it stands.
+
+    Texts alone go to Python and a score comes back, so that whole rows aren't held there and in Arrow's buffers both ways.
+    """
     model = train(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels, label_col, sample_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.score(table_of(binary_column(batch, text_col)).astype(float)) >= threshold))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(texts), 512):
+            batch = pa.RecordBatch.from_arrays([texts.slice(at, 512)], ["text"])
+            found.append(model.score(table_of(binary_column(batch, "text")).astype(float)))
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(score(F.col(text_col)) >= threshold)

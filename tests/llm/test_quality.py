@@ -146,3 +146,14 @@ def test_sample_is_bounded(spark):
 
     labels = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     assert 700 < training_rows(labels, ["quality"], 1000).count() < 1300
+
+
+def test_texts_alone_go_to_python(spark):
+    rows, labels = labelled_rows(60)
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    docs = documents(spark, rows + [(None, None), (99, "")]).withColumn("wide", F.repeat("text", 40))
+    out = Q.keep_quality(docs, table)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    kept = {r.doc_id for r in Q.score_quality(docs, table).collect() if r.predicted}
+    assert out.columns == docs.columns and out.count() > 0 and {r.doc_id for r in out.collect()} == kept
