@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -105,9 +106,13 @@ class Vocabulary:
         return made
 
     def cell(self, word: bytes) -> int:
+        return int(self.cells_of([word])[0])
+
+    def cells_of(self, words: list[bytes]) -> np.ndarray:
         """Cells of one shared number have one remainder."""
-        many = self.shape.shared_numbers
-        return zlib.crc32(word) % max(1, self.shape.cells // many) * many + zlib.crc32(word[-2:]) % many
+        many, n = self.shape.shared_numbers, len(words)
+        whole = np.fromiter(map(zlib.crc32, words), np.int64, n)
+        return whole % max(1, self.shape.cells // many) * many + np.fromiter((zlib.crc32(w[-2:]) for w in words), np.int64, n) % many
 
     def shared_number(self, cell):
         return self.shape.numbered + cell % self.shape.shared_numbers
@@ -115,17 +120,47 @@ class Vocabulary:
     def read(self, text: bytes) -> tuple[np.ndarray, float]:
         """Numbers of a text's words, and the sum of the logarithms of the shares that words have in their numbers."""
         words = words_of(text)
-        get = self.numbers.get
-        found = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        found = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
         rare = np.flatnonzero(found < 0)
         if not len(rare):
             return found, 0.0
-        cells = np.fromiter((self.cell(words[i]) for i in rare.tolist()), np.int64, len(rare))
+        cells = self.cells_of([words[i] for i in rare.tolist()])
         found[rare] = self.shared_number(cells)
         # A cell that wasn't counted can only be of another corpus.
         return found, float(np.log(np.maximum(self.cells[cells], 0.5) / np.maximum(self.total[found[rare]], 1.0)).sum())
 
 
+def sorted_order(key: np.ndarray) -> np.ndarray:
+    """A stable order; numbers are sorted several times faster than indices by them."""
+    return np.sort(key.astype(np.int64) << 32 | np.arange(len(key))) & 0xFFFFFFFF
+
+
+def first_of_runs(key: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+
+
+class Runs:
+    """Runs of equal sorted keys. Long ones (first row, row after the last, key) are multiplied by themselves, short ones in stacks.
+
+    A stack: its runs and their keys, as many rows for each of them (the last is repeated to fill up), and which places of these are real.
+    """
+
+    def __init__(self, key: np.ndarray, heights: tuple[int, ...] = (1, 2, 4, 8, 16)):
+        self.first = first_of_runs(key)
+        self.keys = key[self.first]
+        last = np.append(self.first[1:], len(key))
+        size = last - self.first
+        self.stacks, low = [], 0
+        for high in heights:
+            some = np.flatnonzero((size > low) & (size <= high))
+            if len(some):
+                rows, ends = self.first[some, None] + np.arange(high), last[some, None]
+                self.stacks.append((some, self.keys[some], np.minimum(rows, ends - 1), np.flatnonzero(rows < ends)))
+            low = high
+        self.long_at = np.flatnonzero(size > low).tolist()
+        self.long = list(zip(self.first[self.long_at].tolist(), last[self.long_at].tolist(), self.keys[self.long_at].tolist(), strict=True))
+
+
 class WindowNetwork:
     def __init__(self, shape: Shape, flat: np.ndarray | None = None):
         self.shape = s = shape
@@ -155,22 +190,31 @@ class WindowNetwork:
         tables, bias = self.parts[:2]
         total = np.broadcast_to(bias, (len(at), self.shape.hidden)).copy()
         for table, k in zip(tables, self.offsets, strict=True):
-            total += table[numbers[at + k]]
+            total += table.take(numbers[at + k], axis=0)
         return np.tanh(total, out=total)
 
     @staticmethod
-    def picked(logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
-        """Each row's logarithm of the softmax at its choice; logits is used up."""
-        logits -= logits.max(axis=1, keepdims=True)
-        found = logits[np.arange(len(choice)), choice]
-        return found - np.log(np.exp(logits, out=logits).sum(axis=1))
+    def shifted(logits: np.ndarray) -> np.ndarray:
+        """Rows less their largest, in place, where a logit is so large that it matters for the exponentials."""
+        if max(logits.max(), -logits.min()) > 30:
+            logits -= logits.max(axis=1, keepdims=True)
+        return logits
 
     @staticmethod
-    def slopes(logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    def exponentials(logits: np.ndarray) -> np.ndarray:
+        """Exponentials in place, and their sums by row; a product with ones is several times faster than a sum along rows."""
+        return np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
+
+    @classmethod
+    def picked(cls, logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        """Each row's logarithm of the softmax at its choice; logits is used up."""
+        found = cls.shifted(logits)[np.arange(len(choice)), choice]
+        return found - np.log(cls.exponentials(logits))
+
+    @classmethod
+    def slopes(cls, logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
         """Of the negative logarithm of the softmax at each row's choice, in place."""
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits *= (1 / cls.exponentials(cls.shifted(logits)))[:, None]
         logits[np.arange(len(choice)), choice] -= 1
         return logits
 
@@ -181,52 +225,61 @@ class WindowNetwork:
             yield 6, target // s.class_size, target // s.members % s.groups
         yield 4, target // s.members, target % s.members
 
-    def logits(self, part: int, h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
-        """Logits of all choices at a level, by sorted keys; key, first and last row of each run of a key; the first rows."""
-        weights, bias = self.parts[part], self.parts[part + 1]
-        first = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
-        runs = list(zip(key[first].tolist(), first.tolist(), [*first[1:].tolist(), len(key)], strict=True))
-        out = bias[key]
-        for k, a, b in runs:
+    def logits(self, part: int, h: np.ndarray, key: np.ndarray, runs: Runs) -> np.ndarray:
+        """Logits of all choices at a level, by sorted keys."""
+        weights, out = self.parts[part], self.parts[part + 1].take(key, axis=0)
+        for a, b, k in runs.long:
             out[a:b] += h[a:b] @ weights[k]
-        return out, runs, first
+        for _, keys, rows, real in runs.stacks:
+            out[rows.take(real)] += (h.take(rows, axis=0) @ weights.take(keys, axis=0)).reshape(-1, out.shape[1]).take(real, axis=0)
+        return out
 
     def log_probability(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
         if not len(at):
             return np.zeros(0)
-        order = np.argsort(numbers[at], kind="stable")
+        order = sorted_order(numbers[at])
         h, target = self.hidden(numbers, at[order]), numbers[at[order]]
         found = self.picked(h @ self.parts[2] + self.parts[3], target // self.shape.class_size)
         for part, key, choice in self.levels(target):
-            found += self.picked(self.logits(part, h, key)[0], choice)
+            found += self.picked(self.logits(part, h, key, Runs(key)), choice)
         out = np.empty_like(found)
         out[order] = found
         return out
 
     def gradient(self, numbers: np.ndarray, at: np.ndarray) -> list[tuple[int, object, np.ndarray]]:
-        """Of the mean negative log-probability: part, rows of the part (or all), values."""
-        at = at[np.argsort(numbers[at], kind="stable")]
+        """Of the mean negative log-probability: part, rows of the part (none: all), values."""
+        at = at[sorted_order(numbers[at])]
         h, target, n = self.hidden(numbers, at), numbers[at], np.float32(len(at))
         d = self.slopes(h @ self.parts[2] + self.parts[3], target // self.shape.class_size)
-        out: list[tuple[int, object, np.ndarray]] = [(2, slice(None), h.T @ d / n), (3, slice(None), d.sum(axis=0) / n)]
+        d /= n
+        out: list[tuple[int, object, np.ndarray]] = [(2, None, h.T @ d), (3, None, d.sum(axis=0))]
         dh = d @ self.parts[2].T
         for part, key, choice in self.levels(target):
-            logits, runs, first = self.logits(part, h, key)
-            d, weights = self.slopes(logits, choice), self.parts[part]
-            own = np.empty((len(runs), *weights.shape[1:]), weights.dtype)
-            for i, (k, a, b) in enumerate(runs):
+            runs, weights = Runs(key), self.parts[part]
+            d = self.slopes(self.logits(part, h, key, runs), choice)
+            d /= n
+            own = np.empty((len(runs.keys), *weights.shape[1:]), weights.dtype)
+            own_bias = np.empty((len(runs.keys), d.shape[1]), d.dtype)
+            for i, (a, b, k) in zip(runs.long_at, runs.long, strict=True):
                 np.matmul(h[a:b].T, d[a:b], out=own[i])
+                np.sum(d[a:b], axis=0, out=own_bias[i])
                 dh[a:b] += d[a:b] @ weights[k].T
-            own /= n
-            out += [(part, key[first], own), (part + 1, key[first], np.add.reduceat(d, first, axis=0) / n)]
+            for some, keys, rows, real in runs.stacks:
+                stack = np.zeros((rows.size, d.shape[1]), d.dtype)  # what only fills up counts for nothing
+                stack[real] = d.take(rows.take(real), axis=0)
+                stack = stack.reshape(*rows.shape, -1)
+                across = h.take(rows, axis=0).transpose(0, 2, 1)
+                own[some] = across * stack if rows.shape[1] == 1 else across @ stack
+                own_bias[some] = np.ones(rows.shape[1], d.dtype) @ stack
+                dh[rows.take(real)] += (stack @ weights.take(keys, axis=0).transpose(0, 2, 1)).reshape(-1, h.shape[1]).take(real, axis=0)
+            out += [(part, runs.keys, own), (part + 1, runs.keys, own_bias)]
         dh *= 1 - h * h
-        dh /= n
-        out.append((1, slice(None), dh.sum(axis=0)))
+        out.append((1, None, dh.sum(axis=0)))
         for k, offset in enumerate(self.offsets):
             word = numbers[at + offset]
-            order = np.argsort(word, kind="stable")
-            first = np.concatenate(([0], np.flatnonzero(np.diff(word[order])) + 1))
-            out.append((0, (k, word[order][first]), np.add.reduceat(dh[order], first, axis=0)))
+            order = sorted_order(word)
+            first = first_of_runs(word[order])
+            out.append((0, (k, word[order][first]), np.add.reduceat(dh.take(order, axis=0), first, axis=0)))
         return out
 
 
@@ -280,10 +333,18 @@ def trained(shape: Shape, flat: np.ndarray, this: int):
                 batch = min(shape.batch, max(256, len(places) // shape.steps))
                 for at in range(0, len(places), batch):
                     for part, rows, g in net.gradient(words, places[at : at + batch]):
-                        sums = squares.parts[part][rows]
-                        sums += g * g
-                        squares.parts[part][rows] = sums
-                        net.parts[part][rows] -= rate * g / np.sqrt(sums)
+                        values, sums = net.parts[part], squares.parts[part]
+                        if isinstance(rows, tuple):
+                            values, sums, rows = values[rows[0]], sums[rows[0]], rows[1]
+                        g2 = g * g
+                        g2 += sums if rows is None else sums.take(rows, axis=0)
+                        sums[... if rows is None else rows] = g2
+                        g *= rate
+                        g /= np.sqrt(g2, out=g2)
+                        if rows is None:
+                            values -= g
+                        else:
+                            values[rows] = np.subtract(values.take(rows, axis=0), g, out=g)
                 net.flat -= flat  # what wasn't learned is 0, which compresses
                 total += net.flat * np.float64(len(places))
                 whole += len(places)
@@ -349,8 +410,8 @@ def read_vocabulary(docs: DataFrame, shape: Shape) -> tuple[Vocabulary, int]:
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(frame.cell(w), n) for w, n in zip(binary_column(batch, "word"), batch.column(1).to_pylist(), strict=True) if w not in known]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["cell", "n"])
+            found = [(w, n) for w, n in zip(binary_column(batch, "word"), batch.column(1).to_pylist(), strict=True) if w not in known]
+            yield pa.RecordBatch.from_arrays([pa.array(frame.cells_of([w for w, _ in found])), pa.array([n for _, n in found], pa.int64())], ["cell", "n"])
 
     cells = np.zeros(shape.cells + shape.shared_numbers, np.float32)
     counts = words.mapInArrow(celled, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))

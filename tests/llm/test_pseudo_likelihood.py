@@ -155,3 +155,34 @@ def test_probabilities_of_groups_sum_to_one_and_start_from_counts():
     words = np.concatenate([[30, 30], np.arange(30), [30, 30]])
     found = np.exp([net.log_probability(words, np.array([k]))[0] for k in range(2, 32)])
     assert np.allclose(found, (counts + 0.1) / (counts + 0.1).sum(), atol=1e-5)
+
+
+def test_runs_are_multiplied_in_stacks():
+    """Words of thousands of groups cost a few products, not some for each group; long and short runs give what plain loops give."""
+    r = np.random.default_rng(4)
+    key = np.sort(np.concatenate([np.repeat(np.arange(3000), r.integers(1, 17, 3000)), np.full(40, 7)]))
+    runs = P.Runs(key)
+    assert len(runs.stacks) <= 5 and len(runs.long) == 1
+    shape = P.Shape(classes=50, groups=60, members=3, hidden=4)
+    net = P.WindowNetwork(shape, r.standard_normal(P.WindowNetwork(shape).flat.size))
+    h = r.standard_normal((len(key), 4))
+    assert np.allclose(net.logits(4, h, key, runs), [x @ net.parts[4][k] + net.parts[5][k] for x, k in zip(h, key, strict=True)])
+    words = np.concatenate(([shape.size], np.sort(r.integers(0, shape.size, 4000) ** 2 // shape.size), [shape.size]))
+    at = np.flatnonzero(words < shape.size)
+    found = {part: (rows, g) for part, rows, g in net.gradient(words, at) if part in (4, 5)}
+    h, target = net.hidden(words, at), words[at]
+    d = np.array([x @ net.parts[4][k] + net.parts[5][k] for x, k in zip(h, target // 3, strict=True)])
+    d = np.exp(d - d.max(axis=1, keepdims=True))
+    d = d / d.sum(axis=1, keepdims=True) - (np.arange(3) == (target % 3)[:, None])
+    rows, g = found[4]
+    assert rows.tolist() == sorted(set((target // 3).tolist()))
+    for k, own, own_bias in zip(rows, g, found[5][1], strict=True):
+        some = target // 3 == k
+        assert np.allclose(own, h[some].T @ d[some] / len(at)) and np.allclose(own_bias, d[some].sum(axis=0) / len(at))
+
+
+def test_large_logits():
+    logits, choice = np.array([[900.0, 0, -900], [0, 1, 2]]), np.array([2, 1])
+    plain = [-1800, 1 - math.log(1 + math.e + math.e**2)]
+    assert np.allclose(P.WindowNetwork.picked(logits.copy(), choice), plain)
+    assert np.allclose(P.WindowNetwork.slopes(logits.copy(), choice)[0], [1, 0, -1])
