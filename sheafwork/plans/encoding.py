@@ -141,15 +141,19 @@ def encode_chunk(schema: T.StructType, chunk_id: int, batch: pa.Table, options:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def unique_names(df: DataFrame) -> None:
+    names = [canonical(c) for c in df.columns]
+    if len(set(names)) != len(names):
+        raise SchemaMismatch("two columns have one canonical name")
+
+
 def encode(df: DataFrame, order_by: list[str], options: EncodeOptions = EncodeOptions(), partitions: int | None = None) -> DataFrame:
     """Encoded branches of a DataFrame in the given order. Rows are range-partitioned by it once, equal keys by a hash of the row
     after that, so that a key with very many rows is split; no task sees more than its range.
 
     chunk_id grows with the order: the task's number times 2^CHUNK_BITS and the chunk's place in the task.
     """
-    names = [canonical(c) for c in df.columns]
-    if len(set(names)) != len(names):
-        raise SchemaMismatch("two columns have one canonical name")
+    unique_names(df)
     schema = df.schema
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(*[F.to_json(F.struct(F.col(f.name))) if any(k in f.dataType.simpleString() for k in ("map", "void")) else F.col(f.name) for f in schema.fields])
