@@ -70,3 +70,9 @@ def no_chunk_of_the_whole(monkeypatch, spark, tmp_path, name):
 def test_size_by_path(monkeypatch, spark, tmp_path):
     found = no_chunk_of_the_whole(monkeypatch, spark, tmp_path, "size_by_path")
     assert sorted((r.path, r.bytes, r.n_values) for r in found) == sorted((p, b, n) for _, p, _, _, n, b in rows(one_chunk(orders(spark), ["o_orderkey"], PLAIN)))
+
+
+def test_size_by_encoding(monkeypatch, spark, tmp_path):
+    found = no_chunk_of_the_whole(monkeypatch, spark, tmp_path, "size_by_encoding")
+    want = rows(one_chunk(orders(spark), ["o_orderkey"], PLAIN))
+    assert {(r.encoding, r.branches, r.bytes) for r in found} == {(e, sum(w[3] == e for w in want), sum(w[5] for w in want if w[3] == e)) for e in PLAIN.only}
