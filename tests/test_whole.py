@@ -76,3 +76,9 @@ def test_size_by_encoding(monkeypatch, spark, tmp_path):
     found = no_chunk_of_the_whole(monkeypatch, spark, tmp_path, "size_by_encoding")
     want = rows(one_chunk(orders(spark), ["o_orderkey"], PLAIN))
     assert {(r.encoding, r.branches, r.bytes) for r in found} == {(e, sum(w[3] == e for w in want), sum(w[5] for w in want if w[3] == e)) for e in PLAIN.only}
+
+
+def test_encoded_size_totals(monkeypatch, spark, tmp_path):
+    found = no_chunk_of_the_whole(monkeypatch, spark, tmp_path, "encoded_size_totals")
+    want = rows(one_chunk(orders(spark), ["o_orderkey"], PLAIN))
+    assert [tuple(r) for r in found] == [(total := sum(w[5] for w in want), 0, total)]
