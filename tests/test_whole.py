@@ -88,3 +88,9 @@ def test_size_order(monkeypatch, spark, tmp_path):
     found = no_chunk_of_the_whole(monkeypatch, spark, tmp_path, "size_order")
     want = rows(one_chunk(orders(spark), ["o_orderkey"], PLAIN))
     assert sorted((r.place, r.path) for r in found) == [(i, w[1]) for i, w in enumerate(sorted(want, key=lambda w: (-w[5], w[1])))]
+
+
+def test_size_totals(monkeypatch, spark, tmp_path):
+    found = no_chunk_of_the_whole(monkeypatch, spark, tmp_path, "size_totals")
+    want = rows(one_chunk(orders(spark), ["o_orderkey"], PLAIN))
+    assert [tuple(r) for r in found] == [(total := sum(w[5] for w in want), 10_000_000 - total, 10_000_000)]
