@@ -31,6 +31,7 @@ from sheafwork.plans.leaves import Leaf, Lookup, bool_leaves, float_leaves, int_
 
 #: Bits of chunk_id: the chunk's place in its task, and the task. What is above is left to batches of streams.
 CHUNK_BITS, TASK_BITS = 20, 22
+PARTS = ("path", "types", "encoding", "n_values", "payload")
 BRANCHES = "field string, path string, types string, encoding string, chunk_id long, n_values long, byte_size long, payload binary"
 
 
@@ -322,24 +323,43 @@ def relaxed(kind: T.DataType) -> T.DataType:
     return kind
 
 
+#: Arrow types by the identity of the type that is kept with them: types are slow to hash.
+ARROW_TYPES: dict[int, tuple[T.DataType, pa.DataType]] = {}
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
-    return to_arrow_type(relaxed(kind), timestamp_utc=True)
+    found = ARROW_TYPES.get(id(kind))
+    if found is None or found[0] is not kind:  # a pickled copy has other identities
+        if len(ARROW_TYPES) > 1000:
+            ARROW_TYPES.clear()
+        found = ARROW_TYPES[id(kind)] = kind, to_arrow_type(relaxed(kind), timestamp_utc=True)
+    return found[1]
 
 
 def decode(branches: DataFrame, schema: T.StructType, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """Rows of the branches under the reader's schema. Branches of other fields are not read; fields are matched by canonical
     name; a missing field is null if it may be, and else an error. Rows come in order within a chunk. Rows are those of the reader's
-    stored fields: of a schema none of whose fields is stored, nothing is read and no rows come."""
+    stored fields: of a schema none of whose fields is stored, nothing is read and no rows come.
+
+    Not in parallel, the leaves of each chunk are put together in many tasks, and one task decodes the chunks as they come."""
     wanted = [canonical(f.name) for f in schema.fields]
-    needed = branches.filter(F.col("field").isin(wanted)).select("path", "types", "encoding", "chunk_id", "n_values", "payload")
-    if not options.parallel:
-        needed = needed.coalesce(1)
+    needed = branches.filter(F.col("field").isin(wanted)).select("chunk_id", *PARTS)
 
-    def run(key, leaves):
-        columns = [leaves.column(c).to_pylist() for c in ("path", "types", "encoding", "n_values", "payload")]
-        chunk = Chunk(zip(*columns, strict=True), options)
+    def chunk_rows(leaves: Iterator[tuple]) -> pa.Table:
+        chunk = Chunk(leaves, options)
         n = max((chunk.leaves[w][2] for w in wanted if w in chunk.leaves), default=0)
         arrays = [chunk.column(w, f.dataType, f.nullable, n, f.metadata) for w, f in zip(wanted, schema.fields, strict=True)]
         return pa.table(arrays, names=[f.name for f in schema.fields])
 
-    return needed.groupBy("chunk_id").applyInArrow(run, relaxed(schema))
+    def run(key, leaves):
+        return chunk_rows(zip(*[leaves.column(c).to_pylist() for c in PARTS], strict=True))
+
+    def run_serial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for leaves in batch.column(0):
+                yield from chunk_rows(tuple(x[c] for c in PARTS) for x in leaves.as_py()).to_batches()
+
+    if options.parallel:
+        return needed.groupBy("chunk_id").applyInArrow(run, relaxed(schema))
+    chunks = needed.groupBy("chunk_id").agg(F.collect_list(F.struct(*PARTS)).alias("leaves")).select("leaves")
+    return chunks.repartition(1).mapInArrow(run_serial, relaxed(schema))

@@ -202,3 +202,13 @@ def test_tuples_and_fixed_lists(spark):
     for bad in (T.StructField("t", triple, True, {"tuple": True}), T.StructField("l", T.ArrayType(T.LongType()), True, {"fixed_length": 3})):
         with pytest.raises(PythonException, match="SchemaMismatch"):
             decode(branches, T.StructType([bad])).collect()
+
+
+def test_serial_decoding_holds_one_batch(spark):
+    """One task decodes, and neither encodes nor sorts: it reads whole chunks from an exchange."""
+    df = spark.range(5000).withColumn("v", F.col("id") * 7 % 13)
+    back = decode(encode(df, ["id"], EncodeOptions(chunk_rows=100)), df.schema, DecodeOptions(parallel=False))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    steps = plan[: plan.index("Exchange SinglePartition" if "Exchange SinglePartition" in plan else "Exchange RoundRobinPartitioning(1)")]
+    assert steps.count("MapInArrow") == 1 and "Sort" not in steps and "Coalesce" not in steps
+    assert back.rdd.getNumPartitions() == 1 and same(back, df)
