@@ -223,7 +223,8 @@ class Chunk:
             return self._list(path, kind, types, encoding, n, told)
         if encoding in ("Object", "Union", "Fixed Length", "Variable Length"):
             raise SchemaMismatch(f"{path} is a {types}")
-        return self._leaf(path, kind, types, n).cast(arrow)
+        values = self._leaf(path, kind, types, n)
+        return values if values.type == arrow else values.cast(arrow)
 
     def _union(self, path: str, kind: T.StructType, n: int, told: dict) -> pa.Array:
         names, codes = json.loads(self.leaves[path][3]), read_ints(f"{path}.discriminants", self.look).astype(np.int64)

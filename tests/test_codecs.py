@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from sheafwork.errors import InvalidFormat
 from sheafwork.functions import codecs as K
+from sheafwork.plans import choose
 
 U64 = st.integers(0, 2**64 - 1)
 
@@ -85,3 +86,31 @@ def test_quantize_keeps_what_has_no_fraction():
     a = np.array([1.7e308, -1e300, np.inf, -np.inf, 2.0**52 + 1, 0.75])
     assert K.quantized(a, -10).tolist() == a.tolist()
     assert np.isnan(K.quantized(np.array([np.nan]), -10))[0]
+
+
+def test_few_values_are_coded_as_many(monkeypatch):
+    """What is done value by value gives what numpy gives, at every size of a value and for cut payloads."""
+    rng = np.random.default_rng(3)
+    few = K.FEW
+    for n in [*range(1, 12), 28, 29, few]:
+        for bits in (1, 2, 5, 9, 14, 28, 32, 56, 57, 64):
+            values = rng.integers(0, 1 << bits, n, np.uint64, endpoint=False) if bits < 64 else rng.integers(0, (1 << 64) - 1, n, np.uint64, endpoint=True)
+            values[::3] >>= np.uint64(bits // 2)
+            texts = [bytes(int(v) % 200) for v in values]
+            found = []
+            for limit in (few, 0):
+                monkeypatch.setattr(K, "FEW", limit)
+                payload = K.prefix_varints(values)
+                kept, lengths = choose.runs_of(values)
+                words, times = choose.runs_of(texts)
+                cut = []
+                for data, count in ((payload[:-1], n), (payload[:-1], None), (payload, n + 1)):
+                    try:
+                        cut.append(K.read_prefix_varints(data, count).tolist())
+                    except InvalidFormat as e:
+                        cut.append(str(e))
+                found.append((
+                    payload, K.varints_size(values), K.read_prefix_varints(payload, n).tolist(), K.read_prefix_varints(payload).tolist(), cut, kept.tolist(), lengths.tolist(), words, times.tolist(),
+                    K.length_prefixed(texts), K.delta_zigzag(values).tolist(), K.simple16_layout(values) if bits <= 28 else None,
+                ))
+            assert found[0] == found[1] and found[0][2] == values.tolist()
