@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafwork.errors import InvalidFormat, SchemaMismatch
+from sheafwork.functions import codecs
 from sheafwork.options import DecodeOptions, EncodeOptions, options
 from sheafwork.plans.encoding import arrow_type
-from sheafwork.plans.values import Single, decode_value, encode_value, single, value_size
+from sheafwork.plans.values import Single, decode_value, encode_value, scalar_variants, single, value_size
 
 LONG, BYTE, BOOL, F64, F32, TEXT = T.LongType(), T.ByteType(), T.BooleanType(), T.DoubleType(), T.FloatType(), T.StringType()
 PLAIN = EncodeOptions()
@@ -208,3 +209,16 @@ def test_columns(spark):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 9
     with pytest.raises(PythonException, match="SchemaMismatch"):
         stored.select(decode_value(LONG)(F.col("stored"))).collect()
+
+
+def test_variants_are_read_as_one_array():
+    """Variants whose data are scalars, as one array for a batch and each by itself."""
+    told = {"union": True}
+    kind = T.StructType([T.StructField("tag", T.StringType()), T.StructField("a_b", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("s", T.StringType())])
+    rows = [None, {"tag": "aB", "a_b": 0.5}, {"tag": "n", "n": -7}, {"tag": "n"}, {"tag": "s", "s": ""}, {"tag": "other"}, {"tag": "a_b", "a_b": -0.0}]
+    column = pa.array(rows, arrow_type(kind))
+    stored = encode_value(kind, told).func(column)
+    parts = [[(x["path"], x["types"], x["encoding"], x["n_values"], x["payload"]) for x in row] for row in stored.to_pylist()]
+    one_by_one = pa.concat_arrays([Single(p, DecodeOptions()).single("value", kind, True, told) for p in parts])
+    whole = scalar_variants("value", kind, (Single(p, DecodeOptions()) for p in parts), told)
+    assert whole.to_pylist() == one_by_one.to_pylist() == decode_value(kind, told).func(stored).to_pylist() == column.to_pylist()
