@@ -222,3 +222,16 @@ def test_variants_are_read_as_one_array():
     one_by_one = pa.concat_arrays([Single(p, DecodeOptions()).single("value", kind, True, told) for p in parts])
     whole = scalar_variants("value", kind, (Single(p, DecodeOptions()) for p in parts), told)
     assert whole.to_pylist() == one_by_one.to_pylist() == decode_value(kind, told).func(stored).to_pylist() == column.to_pylist()
+
+
+def test_lists_of_few_values_need_no_arrays_of_them(monkeypatch):
+    """Single lists of few integers are written and read without numpy's variable-length integers, and come back."""
+
+    def refused(*args, **kwargs):
+        raise AssertionError("few values were coded as many")
+
+    for name in ("varint_sizes", "varint_starts", "bit_lengths"):
+        monkeypatch.setattr(codecs, name, refused)
+    kind = T.ArrayType(T.LongType())
+    column = pa.array([[], [5], [3, 9_000_000, 9_000_001], list(range(1, 1000, 20))], arrow_type(kind))
+    assert decode_value(kind).func(encode_value(kind).func(column)).to_pylist() == column.to_pylist()
